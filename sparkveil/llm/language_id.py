@@ -222,9 +222,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, **options) -> Network | None:
-    """Train on at most sample_docs labelled rows that are not held out, chosen by a hash of id and text length."""
+    """Train on at most sample_docs labelled rows that are not held out, chosen by a hash of the id."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    order = F.xxhash64(F.col(doc_id), F.octet_length(F.col(text)))
+    order = F.xxhash64(F.col(doc_id).cast("string"))
+    # a cut that about twice the sample passes, so that no task sends more rows than the sample needs
+    n = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id))).count()
+    if n > 4 * sample_docs:
+        rows = rows.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 2 * sample_docs / n))
     place = F.pmod(order, F.greatest(F.length(F.col(text)) - WINDOW, F.lit(0)) + 1) + 1
     sample = rows.select(order.alias("_order"), F.substring(F.col(text), place.cast("int"), F.lit(WINDOW)).alias("_text"), F.col(lang).alias("_lang")).orderBy("_order", "_text").limit(sample_docs).collect()
     return train([(r["_text"], r["_lang"]) for r in sample], **options)

@@ -29,6 +29,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ from pyspark.sql import types as T
 from .common import new_path, on_workers
 
 END_ID = 2
-BLOCK_IDS, BLOCK_DOCS, SLICE_DOCS = 1 << 20, 2048, 128
-CACHE_WORDS, CACHE_LENGTH = 600_000, 48
+BLOCK_IDS, BLOCK_DOCS, SLICE_DOCS, SLICE_BYTES = 1 << 20, 2048, 512, 4 << 20
+CACHE_WORDS, CACHE_LENGTH = 900_000, 48
 SCHEMA = "shard int, block int, n_docs int, n_ids long, base long, payload binary, index binary"
 _HEAD = struct.Struct("<4sBIIQ")
 #: Letters followed by marks that never join them; both are pre-tokens of their own.
@@ -226,8 +227,8 @@ class Encoder:
         if missing:
             self._learn(missing)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in missing:
-            if len(w) > CACHE_LENGTH:
+        for w in missing:  # long words, and words with marks at the end, would fill the cache and seldom come again
+            if len(w) > CACHE_LENGTH or not w.isalpha():
                 del known[w]
         return out
 
@@ -241,6 +242,19 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def slices(texts: pa.Array, docs: int = SLICE_DOCS, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, count) of runs of at most `docs` texts and, but for a single longer one, `size` bytes."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = total = 0
+    for at, n in enumerate(lengths):
+        if at > start and (at - start >= docs or total + n > size):
+            yield start, at - start
+            start, total = at, 0
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths) - start
+
+
 def _write(path: str, end_id: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder, shard = _encoder(path), TaskContext.get().partitionId()
     end = int(end_id).to_bytes(encoder.width, "little")
@@ -259,8 +273,8 @@ def _write(path: str, end_id: int, batches: Iterable[pa.RecordBatch]) -> Iterato
 
     for batch in batches:
         keys, texts = batch.column("_id"), batch.column("_text")
-        for at in range(0, batch.num_rows, SLICE_DOCS):
-            for i, body in zip(keys.slice(at, SLICE_DOCS).to_pylist(), encoder.encode(texts.slice(at, SLICE_DOCS).to_pylist()), strict=True):
+        for at, n in slices(texts):
+            for i, body in zip(keys.slice(at, n).to_pylist(), encoder.encode(texts.slice(at, n).to_pylist()), strict=True):
                 # all rows of an id stand in one block, or a later one would count its repetitions anew
                 if ids and i != ids[-1] and (size >= BLOCK_IDS or len(ids) >= BLOCK_DOCS):
                     yield row()
