@@ -20,7 +20,6 @@ each other and have keys (id, 0), (id, 1), ...; null ids come first. An empty ta
 from __future__ import annotations
 
 import os
-import re
 import struct
 import sys
 import zlib
@@ -42,8 +41,10 @@ BLOCK_IDS, BLOCK_DOCS, SLICE_DOCS, SLICE_BYTES = 1 << 20, 2048, 512, 4 << 20
 CACHE_WORDS, CACHE_LENGTH = 900_000, 48
 SCHEMA = "shard int, block int, n_docs int, n_ids long, base long, payload binary, index binary"
 _HEAD = struct.Struct("<4sBIIQ")
-#: Letters followed by marks that never join them; both are pre-tokens of their own.
-_TWO = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]+)")
+#: A Latin letter, the marks after it and the white space after those. The marks are a pre-token of their own (they
+#: join neither side: no combining character, no apostrophe, no special token among them), so a space may part them.
+#: U+0130 is left out, as its lower case ends in a combining character.
+_MARKS = "([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F])([!-&(-/:;=?@\\[-`{}~]+)(\\s|$)"
 _M64 = (1 << 64) - 1
 
 
@@ -201,36 +202,25 @@ class Encoder:
             out.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
         return out
 
-    def _learn(self, missing: list[str]) -> None:
-        known = self.known
-        letters, rest, two = [], [], []
-        for w in missing:
-            if self.ends is not None and w.isalpha():
-                letters.append(w)
-            elif self.ends is not None and (m := _TWO.fullmatch(w)):
-                two.append((w, m[1], m[2]))
-            else:
-                rest.append(w)
-        parts = {x for _, a, b in two for x in (a, b)}.difference(known, letters)
-        letters += [x for x in parts if x.isalpha()]
-        rest += [x for x in parts.difference(rest) if not x.isalpha()]
-        known.update(self._words(letters))
-        known.update(zip(rest, map(self._packed, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        known.update((w, known[a] + known[b]) for w, a, b in two)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _learned(self, missing: list[str]) -> dict[str, bytes]:
+        letters = [w for w in missing if w.isalpha()] if self.ends is not None else []
+        rest = list(set(missing).difference(letters)) if len(letters) < len(missing) else []
+        return self._words(letters) | dict(zip(rest, map(self._packed, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parted = pc.replace_substring_regex(pc.fill_null(texts, ""), _MARKS, r"\1 \2\3").to_pylist()
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        known = self.known
-        missing = list(set().union(*split).difference(known))
+        split = [t.replace("\n", " ").split(" ") for t in parted]
+        different = list(set().union(*split))
+        local = dict(zip(different, map(self.known.get, different), strict=True))  # small, so that most lookups stay in the processor's caches
+        missing = [w for w, ids in local.items() if ids is None]
         if missing:
-            self._learn(missing)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in missing:  # long words, and words with marks at the end, would fill the cache and seldom come again
-            if len(w) > CACHE_LENGTH or not w.isalpha():
-                del known[w]
-        return out
+            fresh = self._learned(missing)
+            local.update(fresh)
+            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_LENGTH)
+        return [b"".join(map(local.__getitem__, words)) for words in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -274,7 +264,7 @@ def _write(path: str, end_id: int, batches: Iterable[pa.RecordBatch]) -> Iterato
     for batch in batches:
         keys, texts = batch.column("_id"), batch.column("_text")
         for at, n in slices(texts):
-            for i, body in zip(keys.slice(at, n).to_pylist(), encoder.encode(texts.slice(at, n).to_pylist()), strict=True):
+            for i, body in zip(keys.slice(at, n).to_pylist(), encoder.encode(texts.slice(at, n)), strict=True):
                 # all rows of an id stand in one block, or a later one would count its repetitions anew
                 if ids and i != ids[-1] and (size >= BLOCK_IDS or len(ids) >= BLOCK_DOCS):
                     yield row()
