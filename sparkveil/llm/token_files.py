@@ -19,6 +19,7 @@ each other and have keys (id, 0), (id, 1), ...; null ids come first. An empty ta
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import sys
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from .common import new_path, on_workers
 
 END_ID = 2
-BLOCK_IDS, BLOCK_DOCS, SLICE_DOCS, SLICE_BYTES = 1 << 20, 2048, 512, 4 << 20
+BLOCK_IDS, BLOCK_DOCS, SLICE_DOCS, SLICE_BYTES = 1 << 20, 2048, 1024, 8 << 20
 CACHE_WORDS, CACHE_LENGTH = 900_000, 48
 SCHEMA = "shard int, block int, n_docs int, n_ids long, base long, payload binary, index binary"
 _HEAD = struct.Struct("<4sBIIQ")
@@ -209,18 +210,31 @@ class Encoder:
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        parted = pc.replace_substring_regex(pc.fill_null(texts, ""), _MARKS, r"\1 \2\3").to_pylist()
+        parted = pc.replace_substring(pc.replace_substring_regex(pc.fill_null(texts, ""), _MARKS, r"\1 \2\3"), "\n", " ")
+        split = pc.split_pattern(parted, " ")
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in parted]
-        different = list(set().union(*split))
-        local = dict(zip(different, map(self.known.get, different), strict=True))  # small, so that most lookups stay in the processor's caches
-        missing = [w for w, ids in local.items() if ids is None]
+        ids = list(map(self.known.get, different))
+        missing = [k for k, got in enumerate(ids) if got is None]
         if missing:
-            fresh = self._learned(missing)
-            local.update(fresh)
-            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_LENGTH)
-        return [b"".join(map(local.__getitem__, words)) for words in split]
+            fresh = self._learned([different[k] for k in missing])
+            for k in missing:
+                ids[k] = fresh[different[k]]
+            self.known.update((w, got) for w, got in fresh.items() if len(w) <= CACHE_LENGTH)
+        return self._joined(ids, words.indices.to_numpy(), np.asarray(split.offsets))
+
+    def _joined(self, ids: list[bytes], word: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Documents are runs word[ends[k] : ends[k + 1]] of numbers of different words; ids are those words' ids."""
+        all_ids = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        start = np.cumsum(size) - size
+        each = size[word]
+        until = np.concatenate([[0], np.cumsum(each)])
+        data = all_ids[np.repeat(start[word] - until[:-1], each) + np.arange(until[-1])].tobytes()
+        cut = (until[ends - ends[0]] * self.width).tolist()
+        return [data[a:b] for a, b in itertools.pairwise(cut)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
