@@ -232,7 +232,7 @@ def proposals(text: Column) -> Column:
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _base and _more, arrays of (start, rank, end, kind, value), sorted; _more are the spans that the trees add."""
-    rows = docs.withColumn("_body", F.translate(F.coalesce(F.col(text), F.lit("")), MARK, OTHER))
+    rows = docs.withColumn("_body", F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(OTHER)))
     rows = rows.withColumn("_base", base_spans(F.col("_body"))).withColumn("_p", proposals(F.col("_body")))
     over = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
     better = lambda x, y: (x["p"] > y["p"]) | ((x["p"] == y["p"]) & ((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["rank"] < y["rank"]))))
