@@ -62,7 +62,7 @@ def restored(text: Column, mapping: Column, escape: bool = False) -> Column:
     """text with each known placeholder replaced by its value; unknown ones stay. mapping: map<tag, value>. escape writes values as inside a JSON string."""
     pieces = spans.parts(spans.unmarked(text), PLACEHOLDER)
     value = lambda p: F.try_element_at(mapping, p)
-    shown = lambda v: F.regexp_replace(F.to_json(F.array(v)), r'^\["|"\]$', "") if escape else v
+    shown = lambda v: F.when(v.isNotNull(), F.regexp_replace(F.to_json(F.array(v)), r'^\["|"\]$', "")) if escape else v
     return F.when(text.contains("<"), F.array_join(F.transform(pieces, lambda p: F.coalesce(shown(value(p)), p)), "")).otherwise(text)
 
 

@@ -42,7 +42,7 @@ def expand(parts: DataFrame, chains: DataFrame, models: DataFrame, depth: int =
 def resolve(requests: DataFrame, chains: DataFrame, models: DataFrame, prefix: str = "", most: int = MOST_TARGETS) -> DataFrame:
     """requests(id, model) -> (id, n, target): the ordered targets without repetition; a plain model has none."""
     name = scalars.bare(F.col("model"), prefix)
-    parts = F.filter(F.transform(F.split(name, r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(name, r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     rows = requests.select("id", parts.alias("parts"))
     known = chains.select(F.col("name").alias("_name")).distinct()
     rows = rows.join(known, (F.size("parts") == 1) & (F.try_element_at("parts", F.lit(1)) == F.col("_name")), "left")
@@ -182,7 +182,7 @@ def group_error(name: Column, entries: Column) -> Column:
 
 
 def clean_entries(entries: Column) -> Column:
-    return F.array_distinct(F.transform(entries, F.trim))
+    return F.array_distinct(F.transform(entries, lambda e: F.trim(e)))
 
 
 def rename_group(chains: DataFrame, old: str, new: str) -> DataFrame:

@@ -1,0 +1,161 @@
+"""Server-sent events over chunked streams, in batch and as Structured Streaming with the same kernel.
+
+Input rows are (stream_id, seq, chunk). A stream's text is cut anywhere; events end at blank lines, and a
+placeholder that a cut has split must still be restored. `Rehydrator` holds back what may be the start of one.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions.workers import on_workers
+
+#: Fixed value: the longest text that may be a placeholder.
+HOLD = 100
+_TAG = re.compile(r"<[A-Za-z0-9_:.-]{1,98}>")
+_OPEN = re.compile(r"<[A-Za-z0-9_:.-]*\Z")
+
+
+class Rehydrator:
+    """Restores placeholders in text that comes in pieces; a tail that may yet become one waits for the next piece."""
+
+    def __init__(self, mapping: dict[str, str], held: str = ""):
+        self.mapping, self.held = mapping, held
+
+    def feed(self, piece: str) -> str:
+        text = self.held + piece
+        tail = _OPEN.search(text)
+        cut = tail.start() if tail and len(text) - tail.start() <= HOLD else len(text)
+        self.held = text[cut:]
+        return _TAG.sub(lambda m: self.mapping.get(m[0], m[0]), text[:cut])
+
+    def finish(self) -> str:
+        out, self.held = _TAG.sub(lambda m: self.mapping.get(m[0], m[0]), self.held), ""
+        return out
+
+
+class Framer:
+    """Lines to events: a blank line ends one, CR at a line's end goes."""
+
+    def __init__(self, buffer: str = ""):
+        self.buffer = buffer
+
+    def feed(self, chunk: str) -> list[str]:
+        text = self.buffer + chunk
+        waits = "\r" if text.endswith("\r") else ""  # its LF may be in the next chunk
+        *events, rest = text[: len(text) - len(waits)].replace("\r\n", "\n").split("\n\n")
+        self.buffer = rest + waits
+        return [e for e in events if e]
+
+
+class BlockConverter:
+    """Chat deltas to typed blocks: opens, fills and closes blocks as text and tool calls alternate."""
+
+    def __init__(self):
+        self.index, self.open, self.stop, self.done = -1, None, "end_turn", False
+
+    def feed(self, event: str) -> Iterator[dict]:
+        for line in event.split("\n"):
+            if not line.startswith("data:") or self.done:
+                continue
+            data = line[5:].strip()
+            if data == "[DONE]":
+                yield from self.finish()
+                return
+            choice = (json.loads(data).get("choices") or [{}])[0]
+            delta = choice.get("delta") or {}
+            if delta.get("content"):
+                yield from self._to("text", None)
+                yield {"type": "content_block_delta", "index": self.index, "text": delta["content"]}
+            for call in delta.get("tool_calls") or []:
+                yield from self._to("tool_use", call.get("index", 0))
+                yield {"type": "content_block_delta", "index": self.index, "partial_json": call.get("function", {}).get("arguments", "")}
+                self.stop = "tool_use"
+            if choice.get("finish_reason") == "length":
+                self.stop = "max_tokens"
+
+    def _to(self, kind: str, which) -> Iterator[dict]:
+        if self.open != (kind, which):
+            if self.open:
+                yield {"type": "content_block_stop", "index": self.index}
+            self.index, self.open = self.index + 1, (kind, which)
+            yield {"type": "content_block_start", "index": self.index, "block": kind}
+
+    def finish(self) -> Iterator[dict]:
+        if not self.done:
+            if self.open:
+                yield {"type": "content_block_stop", "index": self.index}
+            self.done = True
+            yield {"type": "message_stop", "stop_reason": self.stop}
+
+
+def reassembled(chunks: DataFrame) -> DataFrame:
+    """(stream_id, seq, chunk) -> stream_id, n, data: the data lines of whole events, in the JVM. One stream's chunks meet in one row, so streams, not chunks, are spread."""
+    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("_all"))
+    events = F.filter(F.split(F.regexp_replace("_all", "\r\n", "\n"), "\n\n"), lambda e: e.startswith("data:"))
+    return whole.select("stream_id", F.posexplode(events).alias("n", "event")).select("stream_id", "n", F.trim(F.substr("event", F.lit(6))).alias("data"))
+
+
+def restored_streams(chunks: DataFrame, mapping: dict[str, str], chunk: str = "chunk") -> DataFrame:
+    """Batch: stream_id and text with placeholders restored across chunk borders."""
+    on_workers()
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        kernel = Rehydrator(mapping)
+        text = "".join(map(kernel.feed, pdf.sort_values("seq")[chunk])) + kernel.finish()
+        return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]], "text": [text]})
+    return chunks.groupBy("stream_id").applyInPandas(one, f"stream_id {chunks.schema['stream_id'].dataType.simpleString()}, text string")
+
+
+def restoring_stream(chunks: DataFrame, mapping: dict[str, str], idle: str = "6 hours") -> DataFrame:
+    """Streaming: the same kernel with its held text as state; a row with a null chunk, or the timeout, ends a stream and flushes it."""
+    on_workers()
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kernel, out, ended = Rehydrator(mapping, state.get[0] if state.exists else ""), [], state.hasTimedOut
+        last = state.get[1] if state.exists else -1
+        if not ended:
+            for pdf in batches:
+                for r in pdf.sort_values("seq").itertuples():
+                    if r.seq <= last:  # a chunk that a restart brings again
+                        continue
+                    last = r.seq
+                    ended = ended or r.chunk is None
+                    out.append((last, kernel.feed(r.chunk) if r.chunk is not None else ""))
+        if ended:
+            out.append((last + 1, kernel.finish()))
+            state.remove()
+        else:
+            state.update((kernel.held, last))
+            state.setTimeoutDuration(milliseconds)
+        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": [s for s, _ in out], "text": [t for _, t in out]})
+    key = chunks.schema["stream_id"].dataType.simpleString()
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {key}, seq long, text string", "held string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    converter = BlockConverter()
+    rows = [e for data in pdf.sort_values("n")["data"] for e in converter.feed("data: " + data)] + list(converter.finish())
+    return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[0], "n": range(len(rows)), "type": [r["type"] for r in rows], "block": [r.get("index", -1) for r in rows], "body": [r.get("text", r.get("partial_json", r.get("block", r.get("stop_reason", "")))) for r in rows]})
+
+
+def to_blocks(chunks: DataFrame) -> DataFrame:
+    """(stream_id, seq, chunk) of chat deltas -> stream_id, n, type, block, body."""
+    on_workers()
+    key = chunks.schema["stream_id"].dataType.simpleString()
+    return reassembled(chunks).groupBy("stream_id").applyInPandas(_blocks, f"stream_id {key}, n long, type string, block long, body string")
+
+
+def gaps(rows: DataFrame, by: str, ts: str, seconds: Column | int, tie: str) -> DataFrame:
+    """Where a stream was silent for longer than `seconds`: by, ts and the silence after it. Keep-alives and idle ends both follow from it."""
+    from pyspark.sql import Window
+
+    after = F.lead(ts).over(Window.partitionBy(by).orderBy(ts, tie))
+    silence = F.unix_timestamp(after) - F.unix_timestamp(ts)
+    return rows.select(by, ts, tie, silence.alias("silence")).where(F.col("silence") > seconds)
