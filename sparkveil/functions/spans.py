@@ -25,6 +25,11 @@ def none() -> Column:
     return F.array().cast(TYPE)
 
 
+def computed_once(c: Column) -> Column:
+    """c itself. The condition always holds, but as the optimizer cannot know, it pushes no filter on c below c, which would compute all patterns once for each mention."""
+    return F.when(F.rand(0) >= 0, c)
+
+
 def parts(text: Column, value: str, before: str = "") -> Column:
     """text (unmarked) in parts; those at odd places match `value`, which `before` must precede."""
     return F.split(F.regexp_replace(text, f"({before})(?<val>{value})" if before else f"(?<val>{value})", f"{'$1' if before else ''}{MARK}${{val}}{MARK}"), MARK, -1)

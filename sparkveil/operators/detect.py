@@ -44,7 +44,8 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans", kinds: lis
         found.append(F.col("_addresses"))
     rows = rows.withColumn("_all", F.concat(*found) if found else spans.none())
     first = F.aggregate("_all", spans.none(), lambda acc, s: F.when(F.exists(acc, lambda k: spans.overlap(k, s)), acc).otherwise(F.array_append(acc, s)))
-    return rows.select(*(c for c in names if c != out), F.array_sort(F.when(F.size("_all") > 1, first).otherwise(F.col("_all"))).alias(out))
+    found_spans = F.array_sort(F.when(F.size("_all") > 1, first).otherwise(F.col("_all")))
+    return rows.select(*(c for c in names if c != out), spans.computed_once(found_spans).alias(out))
 
 
 def link_spans(text: Column) -> Column:
