@@ -55,7 +55,7 @@ def _rule(kind: str, nth: int = 0) -> rules.Rule:
 
 
 def _found(df: DataFrame, key: str, text: str, rule: rules.Rule) -> DataFrame:
-    hits = detect.of_rule(spans.unmarked(F.col(text)), rule)
+    hits = spans.computed_once(detect.of_rule(spans.unmarked(F.col(text)), rule))
     return df.select(key, hits.alias("_h")).where(F.size("_h") > 0).select(key, F.size("_h").alias("n"), joined(F.transform("_h", lambda s: s["value"])).alias("found"))
 
 
@@ -100,7 +100,7 @@ def detect_token_documents(spark, sf_dir):
 @query(" UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, n, found FROM ({found_sql(k, 'pages', 'page_id', 'html')})" for k in RE2))
 def detect_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", spans.unmarked(F.col("html")).alias("_t"))
-    hits = F.concat(*(detect.of_rule(F.col("_t"), _rule(k, 1 if k == "PHONE" else 0)) for k in RE2))
+    hits = spans.computed_once(F.concat(*(detect.of_rule(F.col("_t"), _rule(k, 1 if k == "PHONE" else 0)) for k in RE2)))
     rows = pages.select("page_id", hits.alias("_h")).where(F.size("_h") > 0)
     each = rows.select("page_id", "_h", F.explode(F.array_distinct(F.transform("_h", lambda s: s["kind"]))).alias("kind"))
     own = F.filter("_h", lambda s: s["kind"] == F.col("kind"))
@@ -175,7 +175,7 @@ def _masked_sql(kind: str) -> str:
 
 def _masked(spark, sf_dir, kind):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = docs.withColumn("_h", detect.of_rule(spans.unmarked(F.col("text")), _rule(kind))).where(F.size("_h") > 0)
+    hits = docs.withColumn("_h", spans.computed_once(detect.of_rule(spans.unmarked(F.col("text")), _rule(kind)))).where(F.size("_h") > 0)
     return hits.select("doc_id", F.md5(spans.replaced(F.col("text"), F.col("_h"), lambda s: F.lit(f"<{kind}>"))).alias("masked_md5"), F.size("_h").alias("n"))
 
 
@@ -203,7 +203,7 @@ def tag_letters(spark, sf_dir):
 def _conversation_values(spark, sf_dir):
     """A document's card and email values, placed in a turn of the conversation that its id leads to."""
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("conv_id"), (F.col("doc_id") % 7).alias("turn"), "doc_id", spans.unmarked(F.col("text")).alias("_t"))
-    hits = F.concat(*(detect.of_rule(F.col("_t"), _rule(k)) for k in ("CARD", "EMAIL")))
+    hits = spans.computed_once(F.concat(*(detect.of_rule(F.col("_t"), _rule(k)) for k in ("CARD", "EMAIL"))))
     return docs.select("conv_id", "turn", "doc_id", F.explode(hits).alias("s")).select("conv_id", "turn", "doc_id", "s.kind", "s.start", "s.value")
 
 

@@ -41,6 +41,24 @@ def test_priority(spark):
     assert [s["kind"] for s in detect.with_spans(df).first()["spans"]] == ["ANTHROPIC_KEY"]
 
 
+def test_filters_do_not_recompute_spans(spark):
+    df = spark.createDataFrame([("a@b.co",)], "text string")
+    got = detect.with_spans(df, kinds=["EMAIL"]).where(F.size("spans") > 0).select(F.explode("spans").alias("s"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 1 and got.count() == 1
+
+
+def test_detection_in_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"text":"a@b.co"}')
+    stream = detect.with_spans(spark.readStream.schema("text string").json(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("found").trigger(once=True).start()
+    try:
+        assert q.awaitTermination(50)
+    finally:
+        q.stop()
+    assert [s["kind"] for s in spark.table("found").first()["spans"]] == ["EMAIL"]
+
+
 def test_kinds_are_pruned(spark):
     df = spark.createDataFrame([("a@b.co 4111111111111111",)], "text string")
     got = detect.with_spans(df, kinds=["EMAIL"])
