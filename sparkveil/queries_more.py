@@ -73,16 +73,16 @@ def ner_windows(spark, sf_dir):
     return spark.createDataFrame(rows, "text_id int, first int, stop int")
 
 
-@query("""WITH w AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS word FROM conversations WHERE turn = 0) WHERE length(word) >= 5),
-p AS (SELECT DISTINCT word AS part FROM w WHERE length(word) >= 8 AND word < 'e'), k AS (SELECT part AS word FROM p UNION SELECT 'raw' || part FROM p),
+@query("""WITH w AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS word FROM conversations) WHERE length(word) >= 5),
+p AS (SELECT DISTINCT word AS part FROM w WHERE length(word) >= 8), k AS (SELECT part AS word FROM p UNION SELECT 'raw' || part FROM p),
 d AS (SELECT word, part, levenshtein(word, part) AS distance FROM w JOIN p ON left(word, 1) = left(part, 1) WHERE word NOT IN (SELECT word FROM k)),
 n AS (SELECT * FROM d WHERE distance BETWEEN 1 AND 2), b AS (SELECT word, min(distance) AS distance FROM n GROUP BY word)
 SELECT word, 'raw' || min(part) AS raw, distance FROM n JOIN b USING (word, distance) GROUP BY word, distance HAVING count(DISTINCT part) = 1""")
 def fuzzy_name_match(spark, sf_dir):
-    """Long words of the first turns that start with a to d stand for names; the other words are matched to them."""
-    text = table(spark, sf_dir, "conversations").where("turn = 0")
+    """Long words of the conversations stand for names; the other words are matched to them."""
+    text = table(spark, sf_dir, "conversations")
     words = text.select(F.explode(F.split(F.col("text"), "[^A-Za-z]+")).alias("w")).select(F.lower("w").alias("word")).where(F.length("word") >= 5).distinct()
-    names = words.where((F.length("word") >= 8) & (F.col("word") < "e")).select(F.col("word").alias("surrogate"), F.concat(F.lit("raw"), "word").alias("raw"))
+    names = words.where(F.length("word") >= 8).select(F.col("word").alias("surrogate"), F.concat(F.lit("raw"), "word").alias("raw"))
     return rehydrate.fuzzy_matches(words, names)
 
 
@@ -110,8 +110,8 @@ def surrogate_pick(spark, sf_dir):
 
 @query()
 def surrogate_person(spark, sf_dir):
-    """Customers as people of the conversation of their nation."""
-    people = table(spark, sf_dir, "customer").where("c_custkey <= 300").select(F.col("c_nationkey").alias("conv_id"), F.col("c_custkey").alias("at"), F.lit("ORG").alias("kind"), F.col("c_name").alias("raw"))
+    """Customers as values of the conversation of their nation."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("conv_id"), F.col("c_custkey").alias("at"), F.lit("ADDRESS").alias("kind"), F.col("c_name").alias("raw"))
     return surrogate.assign(people.withColumn("words", F.split("raw", " ")))
 
 
@@ -351,13 +351,13 @@ def usage_last(spark, sf_dir):
 
 def _chunks(spark, sf_dir, size=7):
     """Each turn's text as an event, the stream of a conversation cut every `size` characters."""
-    turns = table(spark, sf_dir, "conversations").where("conv_id < 40").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     whole = turns.select(F.col("conv_id").alias("stream_id"), F.array_join(F.transform("t", lambda x: F.concat(F.lit("data: "), F.regexp_replace(x["text"], r"\s+", " "), F.lit("\n\n"))), "").alias("s"))
     n = F.ceil(F.length("s") / size).cast("int")
     return whole.select("stream_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("s", i * size + 1, F.lit(size)))).alias("seq", "chunk"))
 
 
-@query("SELECT conv_id AS stream_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS n, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS data_md5 FROM conversations WHERE conv_id < 40")
+@query("SELECT conv_id AS stream_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS n, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS data_md5 FROM conversations")
 def sse_reassemble(spark, sf_dir):
     return sse.reassembled(_chunks(spark, sf_dir)).select("stream_id", "n", F.md5("data").alias("data_md5"))
 
