@@ -46,7 +46,14 @@ _BAD_NAME = re.compile(
     re.I,
 )
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+#: Elements whose content is no markup: only their own end tag ends them.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I) for tag in ("script", "style", "textarea", "title", "iframe")}
+#: Quotes count in a tag only after an equals sign; where one is never closed, the tag ends at the next >.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|([^<]++|<)",
+    re.S,
+)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RUN = re.compile(r"\s+")
 
@@ -91,8 +98,9 @@ def blocks(html: str) -> list[_Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(html):
-        text = m[4]
+    at = 0
+    while m := _TOKEN.match(html, at):
+        at, text = m.end(), m[4]
         if text is not None:
             if not skip:
                 parts.append(text)
@@ -102,6 +110,13 @@ def blocks(html: str) -> list[_Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if tag in RAW and not closing:
+            if tag == "title" and not skip:
+                close()
+            if not m[3].endswith("/"):
+                end = RAW[tag].search(html, at)
+                at = end.end() if end else len(html)
+            continue
         if skip:
             if tag == skip:
                 depth += -1 if closing else 1
@@ -109,7 +124,7 @@ def blocks(html: str) -> list[_Block]:
                     skip = ""
             continue
         if tag in NO_TEXT and not closing:
-            if tag in BLOCKS or tag == "title":
+            if tag in BLOCKS:
                 close()
             if not m[3].endswith("/"):
                 skip, depth = tag, 1
@@ -127,11 +142,11 @@ def blocks(html: str) -> list[_Block]:
         if tag in VOID:
             continue
         if closing:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == tag:
-                    if not own and place != (stack[at - 1][1] if at else 0):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    if not own and place != (stack[k - 1][1] if k else 0):
                         close()
-                    del stack[at:]
+                    del stack[k:]
                     place = stack[-1][1] if stack else 0
                     break
         elif own or m[3]:

@@ -439,3 +439,18 @@ def test_queries_run(spark):
     for name, f in queries.QUERIES.items():
         source = "pages" if name.startswith(("op1_", "op7_")) else "documents"
         assert f(spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count(), name
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        ("<script>if (i<n) s = \"don't\"; if (a<b) t='x';</script><article><p>Kept one.</p></article>", "Kept one."),
+        ("<article><p>Before.</p><script>var s = '<p>' + \"</div>\";</script><p>After.</p></article>", "Before.\nAfter."),
+        ("<article><a title=it's>one</a> <p>that's two</p></article>", "one\nthat's two"),
+        ("<article><p data-x='a>b'>one</p><p data-y=\"open>two</p></article>", "one\ntwo"),
+        ("<form><script>x = '</form>';</script>no</form><article>yes</article>", "yes"),
+        ("<article>a </> b</article><style>p > a { color: red }", "a b"),
+    ],
+)
+def test_html_scripts_and_quotes(markup, text):
+    assert html_text.main_text(markup) == text
