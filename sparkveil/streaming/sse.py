@@ -159,3 +159,70 @@ def gaps(rows: DataFrame, by: str, ts: str, seconds: Column | int, tie: str) ->
     after = F.lead(ts).over(Window.partitionBy(by).orderBy(ts, tie))
     silence = F.unix_timestamp(after) - F.unix_timestamp(ts)
     return rows.select(by, ts, tie, silence.alias("silence")).where(F.col("silence") > seconds)
+
+
+#: Fixed value: the comment that keeps a silent connection open.
+KEEPALIVE = ": keepalive\n\n"
+
+
+def comment(name: str, body: Column) -> Column:
+    return F.concat(F.lit(f": {name} "), body, F.lit("\n\n"))
+
+
+def error_event(anthropic: Column, body: Column) -> Column:
+    """A gateway error (struct with message) as the last event of a stream of either dialect."""
+    own = F.to_json(F.struct(F.lit("error").alias("type"), F.struct(F.lit("api_error").alias("type"), body["message"].alias("message"), body.alias("gateway")).alias("error")))
+    return F.when(anthropic, F.concat(F.lit("event: error\ndata: "), own, F.lit("\n\n"))).otherwise(F.concat(F.lit("data: "), F.to_json(F.struct(body.alias("error"))), F.lit("\n\ndata: [DONE]\n\n")))
+
+
+def decorated(chunks: DataFrame, keepalive: int = 10, total: int | None = None, served: Column | None = None, usage: Column | None = None, stream: str = "stream_id", seq: str = "seq", at: str = "at", chunk: str = "chunk") -> DataFrame:
+    """chunks(stream, seq, at in seconds from the start, chunk) -> stream, seq, part, text: what a client sees.
+
+    part 0 is the chunk itself; 1 holds the keep-alives of the silence after it, sent only between
+    events; 2 the error that ends a stream beyond `total` seconds (later chunks are not sent). The
+    JSON columns served and usage, if given, go out as comments: part -1 before a stream's first
+    chunk, and part 3 after the last chunk of a stream that ends by itself.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(stream).orderBy(seq)
+    rows = chunks.withColumn("_next", F.lead(at).over(order)).withColumn("_first", F.row_number().over(order))
+    late = F.lit(False) if total is None else F.col(at) >= total
+    rows = rows.where(~late)
+    upto = F.col("_next") if total is None else F.when(F.col("_next").isNotNull(), F.least("_next", F.lit(total)))
+    boundary = F.col(chunk).endswith("\n\n") | F.col(chunk).endswith("\r\n\r\n")
+    pings = F.greatest(F.coalesce(F.ceil((upto - F.col(at)) / keepalive) - 1, F.lit(0)), F.lit(0)).cast("int")
+    kept = F.when(boundary, F.repeat(F.lit(KEEPALIVE), pings)).otherwise("")
+    over = F.lit(False) if total is None else F.coalesce(F.col("_next") >= total, F.lit(False))
+    body = F.struct(F.lit("stream exceeded its total time").alias("message"), F.lit("gateway_timeout").alias("type"), F.lit("total_timeout").alias("reason"))
+    gap = F.when(boundary, "").otherwise("\n\n")
+    end = F.concat(gap, error_event(F.lit(False), body))
+    texts = {0: F.col(chunk), 1: kept, 2: F.when(over, end).otherwise("")}
+    if served is not None:
+        texts[-1] = F.when(F.col("_first") == 1, comment("gateway-served", served)).otherwise("")
+    if usage is not None:
+        texts[3] = F.when(F.col("_next").isNull(), F.concat(gap, comment("gateway-usage", usage))).otherwise("")
+    parts = F.array(*(F.struct(F.lit(n).alias("part"), text.alias("text")) for n, text in sorted(texts.items())))
+    return rows.select(stream, seq, F.explode(parts).alias("p")).select(stream, seq, "p.part", "p.text").where("text <> ''")
+
+
+class LastGood:
+    """A small table that is read again when its source changes; a source that does not parse leaves the last good one in place.
+
+    For foreachBatch: `current()` is asked once a batch. read() must raise on a broken source, and version() tells changes apart.
+    """
+
+    def __init__(self, read, version):
+        self.read, self.version, self.seen, self.rows, self.error = read, version, None, None, None
+
+    def current(self):
+        now = self.version()
+        if now != self.seen:
+            self.seen = now
+            try:
+                self.rows, self.error = self.read(), None
+            except Exception as e:
+                self.error = str(e)
+                if self.rows is None:
+                    raise
+        return self.rows

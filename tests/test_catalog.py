@@ -1,0 +1,163 @@
+import datetime
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkveil.functions import content, register
+from sparkveil.operators import conversation, tagger
+from sparkveil.operators.names import Names
+from sparkveil.plans import catalog
+from sparkveil.streaming import sse
+
+
+def test_settings_are_brought_within_bounds():
+    got = tagger.Settings.of({"url": "u", "kinds": ["person", "X", 3], "min_score": 7, "org_min_score": True, "allow": [" A ", ""], "timeout_ms": 1, "disable_groups": ["g "], "max_bytes": -1})
+    assert (got.kinds, got.min_score, got.org_min_score, got.allow, got.timeout_ms, got.disable_groups, got.max_bytes) == (("PERSON",), 1.0, 0.7, {"a"}, 100, {"g"}, 256 << 10)
+    assert got.enabled and not tagger.Settings.of({"url": "u", "enabled": False}).enabled and not tagger.Settings.of(None).enabled and not tagger.Settings.of({"url": " "}).enabled
+
+
+@pytest.mark.parametrize(("sizes", "want"), [([], []), ([4, 4, 4], [[0, 1], [2]]), ([99, 1], [[0], [1]]), ([1] * 5, [[0, 1, 2], [3, 4]])])
+def test_calls(sizes, want):
+    assert list(tagger.calls(["x" * n for n in sizes], most_bytes=8, most_texts=3)) == want
+
+
+def test_poison_texts_are_left_out_and_outages_raise():
+    def run(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [[(0, 1, "PERSON", 0.12345)] for _ in texts]
+
+    got = tagger.answered(run, ["a", "bad", "c"])
+    assert got[1] is None and got[0] == got[2] == [{"start": 0, "end": 1, "kind": "PERSON", "score": 0.123}]
+    assert tagger.answered(lambda texts: [[(0, 9, "X", 1.0)] for _ in texts], ["short"]) == [None]
+    with pytest.raises(ConnectionError):
+        tagger.answered(lambda texts: (_ for _ in ()).throw(ConnectionError()), ["a"])
+
+
+def test_halving():
+    def run(items):
+        if 3 in items:
+            raise ValueError
+        return items
+
+    assert tagger.halved(run, [1, 2, 3, 4, 5]) == ([1, 2, 4, 5], 1)
+    assert tagger.halved(run, []) == ([], 0)
+
+
+def test_words_of_a_tagger(spark):
+    text = "ab-cd !!!! é_1 " + "x" * 65 + " ok"
+    got = spark.createDataFrame([(text,), ("",)], "t string").select(tagger.words(F.col("t")).alias("w")).collect()
+    assert [text[w["start"] : w["end"]] for w in got[0]["w"]] == ["ab-cd", "!", "!", "!", "é_1", "ok"] and got[1]["w"] == []
+
+
+def test_off_for(spark):
+    rows = spark.createDataFrame([("a| b",), ("c",), ("",)], "m string")
+    assert [r[0] for r in rows.select(tagger.off_for(F.col("m"), ["b"])).collect()] == [True, False, False]
+    assert not rows.where(tagger.off_for(F.col("m"), [])).count()
+
+
+def test_names_in_bodies():
+    n = Names({"Mira": "Lena", "<A>": 'say "x"'}, tools={"<SECRET:k>": "v"})
+    body = {"id": "mira", "content": "Mira <A> <SECRET:k>", "tool": {"arguments": json.dumps({"to": "mira <A>"}), "input": {"k": "<SECRET:k>"}}, "list": ["MIRA", 1, None]}
+    got = n.walk(body)
+    assert got["id"] == "mira" and got["content"] == 'Lena say "x" <SECRET:k>' and got["list"] == ["LENA", 1, None]
+    assert json.loads(got["tool"]["arguments"]) == {"to": 'lena say "x"'} and got["tool"]["input"] == {"k": "v"}
+
+
+@pytest.mark.parametrize(("text", "want"), [("mirac", "lena"), ("admira", "admira"), ("Mirabelle", "Mirabelle"), ("", ""), ("<B>", "<B>"), ("Miral MIRA", "Lena LENA")])
+def test_misspelt_names(text, want):
+    assert Names({"Mirab": "Lena", "Miraz": "Lena", "Mira": "Lena"}).restore(text) == want
+
+
+def test_ambiguous_spellings_stay():
+    assert Names({"Karan": "A", "Karin": "B"}).restore("karon karan") == "karon a"
+
+
+def test_masked_conversations_never_leak(spark):
+    rows = spark.createDataFrame([(1, 0, "mail a.b@c.org now"), (1, 1, "again a.b@c.org"), (2, 0, "mail x@y.org"), (3, 0, "mail z@y.org"), (4, 0, None)], "conv_id int, turn int, text string")
+    tiers = spark.createDataFrame([(1, "public"), (2, "local"), (4, "public")], "conv_id int, tier string")
+    none = spark.createDataFrame([], "kind string")
+    got = {(r["conv_id"], r["turn"]): r for r in conversation.masked(rows, tiers, spark.createDataFrame([], "tier string, kind string"), none).collect()}
+    assert got[1, 0]["masked"] == "mail <EMAIL_A> now" and got[1, 1]["masked"] == "again <EMAIL_A>" and got[1, 0]["entities"] == 1
+    assert got[2, 0]["masked"] == "mail x@y.org" and got[3, 0]["masked"] is None and got[3, 0]["blocked_reason"] == "no tier"
+    assert got[4, 0]["masked"] in (None, "") and got[4, 0]["occurrences"] == 0
+
+
+def test_residents(spark):
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    lives = conversation.lives(spark.createDataFrame([(1, at(0)), (1, at(7)), (2, at(9)), (3, at(10))], "conv_id int, ts timestamp"))
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    assert [(r["conv_id"], r["life"]) for r in conversation.resident(lives, now).collect()] == [(3, 1), (2, 1), (1, 2)]
+    assert [r["conv_id"] for r in conversation.resident(lives, now, most=1).collect()] == [3]
+
+
+def test_heads(spark):
+    rows = spark.createDataFrame([("North Star Works",), ("Starling",), ("North Starling",)], "n string")
+    assert [r[0] for r in rows.select(conversation.head_length(F.col("n"), ["North", "North Star"])).collect()] == [2, 1, 1]
+
+
+def test_pins_are_set_and_cleared(spark):
+    columns = "`group` string, session string, model string, last_used long"
+    pins = spark.createDataFrame([("g", "a", "m", 1), ("g", "b", "m", 2)], columns)
+    changes = spark.createDataFrame([("g", "a", "n", 3, 1), ("g", "b", None, 4, 1), ("g", "c", "m", 5, 1), ("g", "c", "o", 6, 2)], columns + ", at long")
+    assert [tuple(r) for r in catalog.set_pins(pins, changes).collect()] == [("g", "c", "o", 6), ("g", "a", "n", 3)]
+    assert catalog.set_pins(pins, changes, most=1).count() == 1
+
+
+def test_targets_and_known(spark):
+    homes = spark.createDataFrame([("home", "http://h", None)], "name string, base string, model string")
+    plans = spark.createDataFrame([(1, 1, "home"), (1, 2, "p/m")], "id int, n int, target string")
+    assert [tuple(r) for r in catalog.target_of(plans, homes, "up").orderBy("n").collect()] == [(1, 1, "home", "http://h", "home"), (1, 2, "p/m", "up", "p/m")]
+    models = spark.createDataFrame([("p", "m", ["/v1/messages"]), ("q", "n", ["x"])], "provider string, id string, endpoints array<string>")
+    specs = spark.createDataFrame([("home",), ("m",), ("p/m",), ("q/m",)], "spec string")
+    assert sorted(r[0] for r in catalog.known(specs, models, homes).collect()) == ["home", "m", "p/m"]
+    assert [r[0] for r in catalog.native(models).collect()] == ["m"]
+
+
+def test_event_lines(spark):
+    lines = spark.createDataFrame([('{"time":1,"group":"g","session":"s"}',), ('{"time":1}',), ("no",), (None,)], "line string")
+    assert [tuple(r) for r in catalog.parsed_events(lines).collect()] == [(1, "g", "s", None, None, "")]
+
+
+def test_small_content(spark):
+    row = spark.range(1).select(
+        content.image_url(F.struct(F.lit("base64").alias("type"), F.lit(None).cast("string").alias("media_type"), F.lit("QQ").alias("data"), F.lit(None).cast("string").alias("url"))).alias("a"),
+        content.mask_header(F.lit(None).cast("string"), F.lit(3)).alias("b"), content.request_id("msg_").alias("c"), content.is_stream(F.lit('{"stream":true}')).alias("d"),
+        content.is_stream(F.lit("no json")).alias("e"), content.has_phrase(F.lit("Ana María Ruiz."), "maría ruiz").alias("f"), content.has_phrase(F.lit("Mariana"), "maria").alias("g"),
+        content.is_user_text(F.lit("messages"), F.lit("assistant"), F.lit(None).cast("string")).alias("h"), content.is_user_text(F.lit("messages"), F.lit("user"), F.lit(None).cast("string")).alias("i"),
+        content.is_user_text(F.lit("tools"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("j"), content.name_like(F.lit("PERSON")).alias("k"),
+    ).first()
+    assert row["a"] == "data:image/png;base64,QQ" and row["b"] == "tier=-; masked=3" and len(row["c"]) == 28
+    assert (row["d"], row["e"], row["f"], row["g"], row["h"], row["i"], row["j"], row["k"]) == (True, False, True, False, False, True, False, True)
+
+
+def test_registered_functions(spark):
+    register.register(spark)
+    got = spark.sql("SELECT sv_digits('a1-2'), sv_luhn('4111 1111 1111 1111'), sv_bare('gw/x', 'gw/'), sv_restore('hi <A>', '{\"<A>\": \"Bo\"}'), sv_mask_header(NULL, 2)").first()
+    assert tuple(got) == ("12", True, "x", "hi Bo", "tier=-; masked=2")
+    assert spark.sql("SELECT * FROM sv_address_spans('nothing here')").count() == 0
+
+
+def test_comments_frame_a_stream(spark):
+    rows = spark.createDataFrame([("a", 0, 0, "data: 1\n\n"), ("a", 1, 2, "data: 2")], "stream_id string, seq int, at int, chunk string")
+    got = sse.decorated(rows, served=F.lit("{}"), usage=F.lit("{}")).orderBy("seq", "part").collect()
+    assert "".join(r["text"] for r in got) == ": gateway-served {}\n\ndata: 1\n\ndata: 2\n\n: gateway-usage {}\n\n"
+
+
+def test_last_good_table_stays():
+    state = {"v": 1, "rows": "one"}
+
+    def read():
+        if state["rows"] is None:
+            raise ValueError("broken")
+        return state["rows"]
+
+    table = sse.LastGood(read, lambda: state["v"])
+    assert table.current() == "one"
+    state.update(v=2, rows=None)
+    assert table.current() == "one" and table.error == "broken"
+    state.update(v=3, rows="two")
+    assert table.current() == "two" and table.error is None
+    with pytest.raises(ValueError, match="broken"):
+        sse.LastGood(lambda: (_ for _ in ()).throw(ValueError("broken")), lambda: 1).current()

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from sparkveil import queries, queries_more  # noqa: F401
+from sparkveil import queries, queries_catalog, queries_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
