@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, spans
@@ -29,18 +29,29 @@ def assign_tags(found: DataFrame, conv: str = "conv_id", order: tuple[str, ...]
 
     Values that normalise alike within a kind are one entity; it is numbered by its first occurrence and its
     first spelling is what the tag leads back to. Conversations with more than `most` entities are
-    blocked: their rows have no tag. One partial aggregation brings found down to entities before
-    any ordering, so a long conversation costs its entities, not its occurrences.
+    blocked: their rows have no tag, and only most + 1 of them are listed. One partial aggregation brings
+    found down to entities before any ordering, and the limit on a conversation's entities is applied
+    before the shuffle (a window group limit), so a hot conversation sends at most that many rows from each task.
     """
+    _limit_windows_to(found.sparkSession, most + 1)
     keyed = found.withColumn("norm", scalars.normalize(F.col("kind"), F.col("value")))
     at = F.struct(*order)
     entities = keyed.groupBy(conv, "kind", "norm").agg(F.min(at).alias("_at"), F.min_by("value", at).alias("raw"))
+    place = F.row_number().over(Window.partitionBy(conv).orderBy("_at", "kind", "norm"))
+    entities = entities.withColumn("_place", place).where(F.col("_place") <= most + 1)
     rank = F.row_number().over(Window.partitionBy(conv, "kind").orderBy("_at", "norm")) - 1
     count = F.count(F.lit(1)).over(Window.partitionBy(conv))
-    numbered = entities.withColumn("_n", rank).withColumn("blocked", count > most)
+    numbered = entities.withColumn("blocked", count > most).withColumn("_n", rank)
     return numbered.select(conv, "kind", "norm", "raw", F.when(~F.col("blocked"), tag(F.col("kind"), F.col("_n"))).alias("tag"), "blocked")
 
 
+def _limit_windows_to(spark: SparkSession, rows: int) -> None:
+    """Let the optimizer limit windows of up to `rows` rows a group before their shuffle; a higher setting stays."""
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(name)) < rows:
+        spark.conf.set(name, str(rows))
+
+
 def mask_rows(rows: DataFrame, tags: DataFrame, conv: str = "conv_id", text: str = "text", span_column: str = "spans") -> DataFrame:
     """rows(conv, text, spans) with masked, and blocked_reason instead where a tag is missing. Raw text is never passed on: a blocked row's masked is null.
 

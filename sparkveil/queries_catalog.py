@@ -206,13 +206,13 @@ def pins_shown(spark, sf_dir):
     return catalog.pins_shown(spark.createDataFrame(PINNED, PIN_COLUMNS), F.lit(2000)).select(F.col("group").alias("holder"), "session", "model")
 
 
-@query("SELECT user_id, row_number() OVER (ORDER BY cooling, user_id) AS n, cooling FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) = 'error' AS cooling FROM events GROUP BY user_id)")
+@query("""SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type IN ('error', 'click'), event_type) AS n, event_type IN ('error', 'click') AS cooling FROM (SELECT DISTINCT user_id, event_type FROM events)""")
 def healthy_first(spark, sf_dir):
-    """All users as targets of one request, in order; those whose last event is an error go behind."""
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-    plans = last.select(F.lit(1).alias("id"), F.col("user_id").alias("n"), F.col("user_id").alias("target"))
-    found = catalog.healthy_first(plans, last.where("last = 'error'").select(F.col("user_id").alias("target")))
-    return found.select(F.col("target").alias("user_id"), "n", "cooling")
+    """Each user's kinds of event as the targets of a request, by name; two kinds are cooling down and go behind."""
+    kinds = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("target")).distinct()
+    plans = kinds.select("id", F.col("target").alias("n"), "target")
+    found = catalog.healthy_first(plans, spark.createDataFrame([("error",), ("click",)], "target string"))
+    return found.select(F.col("id").alias("user_id"), F.col("target").alias("event_type"), "n", "cooling")
 
 
 @query("SELECT count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) FILTER (event_type <> 'error') AS served_by, 3::BIGINT AS entities, 1::BIGINT AS blocked FROM events")
