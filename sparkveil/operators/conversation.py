@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import content
+from ..sources.scratch import saved
 from . import detect, mask
 
 #: A map's life after its last use, and how many conversations have one.
@@ -17,16 +18,17 @@ def masked(turns: DataFrame, tiers: DataFrame, allowed: DataFrame, disabled: Dat
 
     tiers(conv, tier) says how each conversation is to be treated; allowed(tier, kind) and disabled(kind) are
     the policy. Tiers that do not mask pass their text on; a conversation without a tier is blocked.
-    Nothing raw leaves a blocked row: its masked is null.
+    Nothing raw leaves a blocked row: its masked is null. Only texts that are to be masked are scanned, and
+    once: the spans, which numbering and masking both need, are kept in the shared folder.
     """
     rows = turns.join(tiers.select(conv, "tier"), conv, "left")
-    found = detect.with_spans(rows, text)
+    scanned = F.when(content.masks(F.col("tier")), F.col(text))
+    found = saved(detect.with_spans(rows.withColumn("_scan", scanned), "_scan").drop("_scan"), "conversation-spans")
     policy = allowed.groupBy("tier").agg(F.collect_set("kind").alias("_allowed"))
     off = disabled.agg(F.collect_set("kind").alias("_off")).withColumn("_one", F.lit(1))
     found = found.join(F.broadcast(policy), "tier", "left").withColumn("_one", F.lit(1)).join(F.broadcast(off), "_one").drop("_one")
     fits = lambda s: ~F.array_contains("_off", s["kind"]) & (F.col("_allowed").isNull() | F.array_contains("_allowed", s["kind"]))
-    wanted = F.when(content.masks(F.col("tier")), F.filter("spans", fits)).otherwise(F.slice("spans", 1, 0))
-    found = found.withColumn("spans", wanted).drop("_allowed", "_off")
+    found = found.withColumn("spans", F.filter("spans", fits)).drop("_allowed", "_off")
     each = found.select(conv, turn, F.explode("spans").alias("s")).select(conv, turn, F.col("s.start").alias("start"), "s.kind", "s.value")
     tags = mask.assign_tags(each, conv, (turn, "start"))
     out = mask.mask_rows(found, tags, conv, text)
