@@ -124,8 +124,8 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
         yield sorted((r["item"], r["text"]) for r in part.collect())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with one more column, _hits: an array of (item_id, distance), empty where clean. All other columns are kept."""
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, out: str = "_hits") -> DataFrame:
+    """docs with one more column, `out`: an array of (item_id, distance), empty where clean. All other columns are kept."""
     on_workers(docs.sparkSession)
     names = docs.columns
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
@@ -135,7 +135,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
         rows = rows.select(F.struct("_row", "_before").alias("_kept"), F.col(f"_row.`{text}`").alias("_text"))
         scanned = rows.mapInArrow(lambda batches, items=items: _scan(items, similarity, batches), f"_kept struct<_row:{kind},_before:{hits}>, _hits {hits}")
         rows = scanned.select("_kept._row", F.concat("_kept._before", "_hits").alias("_before"))
-    return rows.select(*(F.col("_row").getField(c).alias(c) for c in names), F.array_sort("_before").alias("_hits"))
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in names), F.array_sort("_before").alias(out))
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -145,5 +145,8 @@ def flagged(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows without a match, with their own columns."""
-    return matches(docs, benchmark, doc_id, text, **options).where(F.size("_hits") == 0).drop("_hits")
+    """The rows without a match, with their own columns, whatever their names."""
+    out = "_hits"
+    while out in docs.columns:
+        out = f"_{out}"
+    return matches(docs, benchmark, doc_id, text, out=out, **options).where(F.size(out) == 0).drop(out)

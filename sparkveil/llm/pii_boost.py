@@ -255,14 +255,16 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `text` rewritten: each stretch of overlapping spans becomes <KIND> of the first of them. Null text stays null."""
-    rows = spans(docs, text).withColumn("_all", F.array_sort(F.concat("_base", "_more")))
+    """docs with `text` rewritten: each stretch of overlapping spans becomes <KIND> of the first of them. Null text stays null; other columns stay, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    rows = spans(rows, "_text").withColumn("_all", F.array_sort(F.concat("_base", "_more")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = lambda a, b: F.substr(F.col(text), a + 1, b - a)
+    cut = lambda a, b: F.substr(F.col("_text"), a + 1, b - a)
 
     def step(acc: Column, s: Column) -> Column:
         fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], cut(acc["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    rest = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
-    return rows.withColumn(text, F.when(F.size("_all") > 0, rest).otherwise(F.col(text))).drop("_base", "_more", "_all")
+    rest = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1)))
+    rows = rows.withColumn("_new", F.when(F.size("_all") > 0, rest).otherwise(F.col("_text")))
+    return rows.select(*(F.col("_new").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))

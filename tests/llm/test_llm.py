@@ -454,3 +454,15 @@ def test_queries_run(spark):
 )
 def test_html_scripts_and_quotes(markup, text):
     assert html_text.main_text(markup) == text
+
+
+def test_clashing_columns(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = spark.createDataFrame([(1, item, 7, "x", None), (2, "write to a.b@c.org now", 8, "y", "z")], "doc_id long, text string, _hits long, _base string, _row string")
+    bench = spark.createDataFrame([(5, item, 1)], "item_id long, text string, _hits int")
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "write to a.b@c.org now", 8, "y", "z")]
+    changed = pii_boost.redacted(docs)
+    assert changed.columns == docs.columns and [tuple(r) for r in changed.orderBy("doc_id").collect()] == [(1, item, 7, "x", None), (2, "write to <EMAIL> now", 8, "y", "z")]
+    assert exact_dedup.deduplicated(docs).columns == simhash.deduplicated(docs).columns == docs.columns
+    assert exact_dedup.deduplicated(docs).count() == simhash.deduplicated(docs).count() == 2
