@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.workers import on_workers
+from .mask import MAX_ENTRIES
 
 _M = (1 << 64) - 1
 
@@ -90,11 +91,14 @@ def _of_conversation(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(surrogate=[conv.of(k, r) for k, r in zip(pdf["kind"], pdf["raw"], strict=True)])[["conv_id", "kind", "raw", "surrogate"]]
 
 
-def assign(entities: DataFrame) -> DataFrame:
+def assign(entities: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
     """entities(conv_id, at, kind, raw, words): one row for each entity, words those of its turn -> conv_id, kind, raw, surrogate (null: blocked).
 
-    Choices depend on those before them, so a conversation is one group; entities per conversation are capped by mask.MAX_ENTRIES upstream.
+    Choices depend on those before them, so a conversation is one group. One with more than `most`
+    entities is blocked as a whole, so no group grows with the data.
     """
     on_workers()
     schema = f"conv_id {entities.schema['conv_id'].dataType.simpleString()}, kind string, raw string, surrogate string"
-    return entities.groupBy("conv_id").applyInPandas(_of_conversation, schema)
+    over = entities.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("conv_id")
+    blocked = entities.join(over, "conv_id", "left_semi").select("conv_id", "kind", "raw", F.lit(None).cast("string").alias("surrogate"))
+    return entities.join(over, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_of_conversation, schema).unionByName(blocked)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkveil.functions import content, register
-from sparkveil.operators import conversation, tagger
+from sparkveil.operators import conversation, surrogate, tagger
 from sparkveil.operators.names import Names
 from sparkveil.plans import catalog
 from sparkveil.streaming import sse
@@ -161,3 +161,9 @@ def test_last_good_table_stays():
     assert table.current() == "two" and table.error is None
     with pytest.raises(ValueError, match="broken"):
         sse.LastGood(lambda: (_ for _ in ()).throw(ValueError("broken")), lambda: 1).current()
+
+
+def test_large_conversations_get_no_surrogates(spark):
+    rows = [(c, n, "ORG", f"Firm {n}", ["firm"]) for c, size in ((1, 3), (2, 2)) for n in range(size)]
+    got = surrogate.assign(spark.createDataFrame(rows, "conv_id int, at int, kind string, raw string, words array<string>"), most=2).collect()
+    assert len(got) == 5 and {r["conv_id"] for r in got if r["surrogate"] is None} == {1} and all(r["surrogate"] for r in got if r["conv_id"] == 2)
