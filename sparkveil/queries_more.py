@@ -14,12 +14,22 @@ from .streaming import sse
 # ---- taggers and names ---------------------------------------------------------
 
 
+def _chunk_sizes(docs):
+    return ner.chunks(docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.octet_length("chunk")).cast("long").alias("longest"))
+
+
 @query("SELECT doc_id, count(*) AS chunks, max(strlen(p)) AS longest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS p FROM documents) GROUP BY doc_id HAVING max(strlen(p)) <= 4096")
 def ner_chunks(spark, sf_dir):
+    """The documents that the chunker need not cut, as in the SQL; ner_chunks_whole has them all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = ner.chunks(docs, "doc_id", "text")
-    short = F.forall(F.split("text", "\n\n"), lambda p: F.octet_length(p) <= ner.CHUNK)
-    return found.join(docs.where(short).select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.octet_length("chunk")).cast("long").alias("longest"))
+    short = F.forall(F.split(F.coalesce("text", F.lit("")), "\n\n"), lambda p: F.octet_length(p) <= ner.CHUNK)
+    return _chunk_sizes(docs.join(docs.where(short).select("doc_id"), "doc_id", "left_semi"))
+
+
+@query()
+def ner_chunks_whole(spark, sf_dir):
+    """Every document, also those with paragraphs that are cut; tests hold it against brute force."""
+    return _chunk_sizes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("SELECT count(*) AS different, sum(uses)::BIGINT AS uses FROM (SELECT text, count(*) AS uses FROM conversations WHERE regexp_matches(text, '[A-Za-zÀ-ÿ]') GROUP BY text)")
