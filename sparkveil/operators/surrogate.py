@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,12 +14,34 @@ from .mask import MAX_ENTRIES
 
 _M = (1 << 64) - 1
 
-# Our own pools.
-GIVEN = "Arlo Benna Cato Dalia Edda Faro Gisel Hamo Inka Jorun Kelda Levin Mirka Nils Odalys Petra Quill Runa Sorin Tamsin Ulla Vigo Wanda Xenia Yara Zeno".split()
-FAMILY = "Abbing Brandvold Corleigh Dunmore Elsted Farrow Grindal Holmsey Ivers Jasko Kestrel Lindqvist Marlow Norvell Ostrand Pellar Quennel Ridley Sandvik Thorne Uldall Vesper Whitlock Yarrow".split()
-ORG_HEAD, ORG_TAIL = "Amber Birch Cobalt Delta Ember Fjord Granite Harbor Indigo Juniper".split(), "Analytics Foods Freight Instruments Labs Logistics Partners Textiles".split()
-CITY = "Alderby Brookhaven Castleton Dunwick Eastmere Fairholm Greywater Highmoor Ironbridge Kingsbarrow".split()
-STREET, STREET_KIND = "Acorn Beacon Cedar Dale Elm Foundry Garden Hill".split(), "Lane Road Street Way".split()
+def _joined(heads: str, tails: str) -> list[str]:
+    return [h + t for h in heads.split() for t in tails.split()]
+
+
+# Our own pools. The first names of each are unlike one another; the made-up rest serves conversations that use those up.
+GIVEN_FIRST = (
+    "Arlo Benna Cato Dalia Edda Faro Gisel Hamo Inka Jorun Kelda Levin Mirka Nils Odalys Petra Quill Runa Sorin Tamsin Ulla Vigo Wanda Xenia Yara Zeno "
+    "Ansel Birgit Cosmo Delphine Emeric Fenna Gunther Hedda Ivo Jolanta Kasimir Lisbet Magnus Noor Osric Pavla Quentin Rufus Signe Tobias Ursula Valdis Wilmot Xaver Yolanda Zdenka "
+    "Aurelio Bettina Cyprian Dunja Eskil Florian Greta Hugo Isolde Jasper Katrin Lorenz Monika Nestor Ottilie Philippa Raoul Sabine Thaddeus Ulrich Verena Wolfram Yngve Zita "
+    "Ambrose Bogdan Clemens Dagmar Ebba Frida Gideon Henrike Imogen Jarmila Knut Ludmila"
+).split()
+FAMILY_FIRST = (
+    "Abbing Brandvold Corleigh Dunmore Elsted Farrow Grindal Holmsey Ivers Jasko Kestrel Lindqvist Marlow Norvell Ostrand Pellar Quennel Ridley Sandvik Thorne Uldall Vesper Whitlock Yarrow "
+    "Aldous Bexley Cranmer Dovrak Eastvold Fjelde Garrick Havelka Ibsley Janosik Kirkland Lommel Mossberg Nyland Orczy Pryor Quimby Rosvall Stanhope Tremain Urquhart Vandermeer Wexford Yeats Zeller "
+    "Ashdown Bjornson Chalmers Draycott Engstrom Fothergill Gadsby Hawthorn Iredale Jellicoe Kowal Langstrom Merrick Nordahl"
+).split()
+ORG_HEAD = "Amber Birch Cobalt Delta Ember Fjord Granite Harbor Indigo Juniper Keystone Lantern Meridian Nimbus Orchid Pinnacle Quartz Redwood Summit Tundra Umber Vertex Willow Zenith Aspen Basalt Cascade Dune Evergreen Falcon Glacier Horizon Ivory Jade Kingfisher Lagoon Maple Nova Onyx Prairie".split()
+ORG_TAIL = "Analytics Foods Freight Instruments Labs Logistics Partners Textiles Ceramics Dynamics Energy Foundries Holdings Industries Motors Optics Packaging Robotics Shipping Tooling".split()
+CITY_FIRST = (
+    "Alderby Brookhaven Castleton Dunwick Eastmere Fairholm Greywater Highmoor Ironbridge Kingsbarrow Larkfield Millhaven Netherby Oakhurst Penrose Quarrington Ravensford Silverdale Thornbury Underhill "
+    "Vinecroft Westerleigh Yewdale Ashcombe Blackrigg Coldbrook Deepdene Elmstead Foxcote Glenmoor Hazelwick Inverlea Juniperton Kelbrook Longmarsh Marshgate Northwold Otterburn Pinefort Rookwell"
+).split()
+GIVEN = GIVEN_FIRST + _joined("Ar Bel Bran Cas Cor Dal Dor Ed El Fal Fen Gar Gil Hal Il Jor Kel Lor Mar Ner Or Pel Quin Ros Sel Tam Ul Val Wen Xan Yor Zel", "ado aline amir andra areth aric asha avin ela enna erin evald ika ilde imund isa iven olan ona oris ulf wyn yla ystra")
+FAMILY = FAMILY_FIRST + _joined("Ack Barn Bruns Cald Cros Dahl Den Eller Falk Gott Grim Hed Holt Jern Kar Kron Lang Lund Mal Mor Nord Nis Os Pil Rand Rost Sal Stern Thor Ul Vest Wald", "aker bakk beck borg bourne dorf feld garde gren haug hurst kamp land mann quist rud sen stad stein sson trup vall vik wold")
+CITY = CITY_FIRST + _joined("Amber Bay Birch Clay Crow Dal Elder Fern Gold Hart Hawk Ing Jut Kin Lin Lock Mar Mill Nor Otter Pem Quin Red Rush Sand Stan Tad Ud Wal Win Yar Zen", "beck bridge burgh caster church cliff combe dale fell ford gate ham hithe holt hurst ley mere mouth port shaw stead thorpe wick worth")
+ORG = [f"{head} {tail}" for head in ORG_HEAD for tail in ORG_TAIL]
+STREET = "Acorn Beacon Cedar Dale Elm Foundry Garden Hill Ivy Jubilee Kiln Laurel Market Nutmeg Orchard Poplar Quarry Rowan Station Tanner".split()
+STREET_KIND = "Lane Road Street Way Avenue Close".split()
 
 
 def mix(seed: int, n: int) -> int:
@@ -33,12 +56,21 @@ def pick(pool: list[str], seed: int, n: int) -> str:
     return pool[mix(seed, n) % len(pool)]
 
 
+def each(first: list[str], pool: list[str], seed: int) -> Iterator[str]:
+    """Picks of the first names, then every name of the pool from a place that follows from the seed, the first names before the rest."""
+    yield from (pick(first, seed, n) for n in range(64))
+    for part in (first, pool[len(first) :]):
+        at = mix(seed, 64) % max(1, len(part))
+        yield from part[at:]
+        yield from part[:at]
+
+
 def whole(kind: str, seed: int, n: int) -> str:
     if kind == "ORG":
         return f"{pick(ORG_HEAD, seed, n)} {pick(ORG_TAIL, seed, n + 1)}"
     if kind == "LOCATION":
-        return pick(CITY, seed, n)
-    return f"{10 + mix(seed, n + 2) % 480} {pick(STREET, seed, n + 3)} {pick(STREET_KIND, seed, n + 4)}, {pick(CITY, seed, n + 5)} {110_000 + mix(seed, n + 6) % 740_000}"
+        return pick(CITY_FIRST, seed, n)
+    return f"{10 + mix(seed, n + 2) % 480} {pick(STREET, seed, n + 3)} {pick(STREET_KIND, seed, n + 4)}, {pick(CITY_FIRST, seed, n + 5)} {110_000 + mix(seed, n + 6) % 740_000}"
 
 
 def fnv(text: str) -> int:
@@ -72,8 +104,8 @@ class Conversation:
         out = []
         for at, word in enumerate(norm.split()):
             if word not in self.parts:
-                pool, seed = (FAMILY if at else GIVEN), self.seed ^ fnv(word) ^ at
-                free = (c for n in range(3 * len(pool)) if (c := pick(pool, seed, n)).lower() not in self.used and c.lower() not in self.words and c.lower() not in self.parts)
+                names = each(*((FAMILY_FIRST, FAMILY) if at else (GIVEN_FIRST, GIVEN)), self.seed ^ fnv(word) ^ at)
+                free = (c for c in names if c.lower() not in self.used and c.lower() not in self.words and c.lower() not in self.parts)
                 chosen = next(free, None)
                 if chosen is None:
                     return None
@@ -83,7 +115,11 @@ class Conversation:
         return " ".join(out)
 
     def _whole(self, kind: str, seed: int) -> str | None:
-        return next((c for n in range(64) if (c := whole(kind, seed, n)).lower() not in self.used and not set(c.lower().split()) <= self.words), None)
+        if kind == "LOCATION":
+            made = each(CITY_FIRST, CITY, seed)
+        else:
+            made = chain((whole(kind, seed, n) for n in range(64)), each(ORG, ORG, seed) if kind == "ORG" else ())
+        return next((c for c in made if c.lower() not in self.used and not set(c.lower().split()) <= self.words), None)
 
 
 def _of_conversation(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -120,8 +120,9 @@ def surrogate_pick(spark, sf_dir):
 
 @query()
 def surrogate_person(spark, sf_dir):
-    """Customers as values of the conversation of their nation."""
-    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("conv_id"), F.col("c_custkey").alias("at"), F.lit("ADDRESS").alias("kind"), F.col("c_name").alias("raw"))
+    """Customers as values of conversations of their nation: one for each kind, as a conversation's entities are limited."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(1000 * n).alias("n"), F.lit(kind).alias("kind")) for n, kind in enumerate(("ADDRESS", "PERSON", "ORG", "LOCATION")))))
+    people = table(spark, sf_dir, "customer").select("*", kinds.alias("k")).select((F.col("c_nationkey") + F.col("k.n")).alias("conv_id"), F.col("c_custkey").alias("at"), F.col("k.kind").alias("kind"), F.col("c_name").alias("raw"))
     return surrogate.assign(people.withColumn("words", F.split("raw", " ")))
 
 

@@ -1,7 +1,11 @@
 """Named queries that must take every row: whole results against brute force on small fixtures."""
 
+from collections import Counter
+
+import pytest
+
 from sparkveil import queries, queries_catalog, queries_more  # noqa: F401
-from sparkveil.operators import ner
+from sparkveil.operators import ner, surrogate
 
 
 def brute_chunks(text):
@@ -30,3 +34,24 @@ def test_chunks_of_every_document(spark, tmp_path):
     short = {n for n, t in enumerate(texts) if all(len(p.encode()) <= ner.CHUNK for p in (t or "").split("\n\n"))}
     twin = {r["doc_id"]: (r["chunks"], r["longest"]) for r in queries.QUERIES["ner_chunks"](spark, str(tmp_path)).collect()}
     assert twin == {n: want[n] for n in short} and 0 in short
+
+
+def test_pools_are_large_and_disjoint():
+    sizes = {len(surrogate.GIVEN_FIRST): 82, len(surrogate.FAMILY_FIRST): 62, len(surrogate.ORG): 24 * 12, len(surrogate.CITY_FIRST): 39}
+    assert all(ours >= theirs for ours, theirs in sizes.items())
+    names = [x.lower() for x in [*surrogate.GIVEN, *surrogate.FAMILY, *surrogate.CITY, *surrogate.ORG]]
+    assert len(set(names)) == len(names)
+
+
+@pytest.mark.parametrize(("kind", "raw", "pool"), [("PERSON", "n{}", "GIVEN"), ("PERSON", "n n{}", "FAMILY"), ("ORG", "n{}", "ORG"), ("LOCATION", "n{}", "CITY")])
+def test_a_conversation_is_blocked_only_when_its_pool_is_empty(kind, raw, pool):
+    size = len(getattr(surrogate, pool))
+    conv = surrogate.Conversation(3, [])
+    got = [conv.of(kind, raw.format(n)) for n in range(size + 5)]
+    assert len(set(got[:size])) == size and None not in got[:size] and got[size:] == [None] * 5
+
+
+def test_customers_of_every_kind_get_surrogates(spark):
+    got = queries.QUERIES["surrogate_person"](spark, "/root/testdata/sf0.01").collect()
+    assert Counter(r["kind"] for r in got) == dict.fromkeys(("PERSON", "ORG", "LOCATION", "ADDRESS"), 1500)
+    assert all(r["surrogate"] for r in got) and len({(r["conv_id"], r["surrogate"]) for r in got}) == len(got)
