@@ -4,10 +4,15 @@ Rules decide first: a rule fits its host and all subdomains if the path starts w
 longest rule string wins. Hosts then form a graph whose edges are the absolute links of their pages.
 Trust is a personalised PageRank from the hosts whose pages the rules allow, along the links; distrust
 is one from the hosts whose pages they block, against the links (who links to bad hosts is suspect).
-A page without a rule is blocked if its host's distrust reaches THRESHOLD and exceeds its trust.
+Distrust is split among all that link to a host, so it falls with their number and decides nothing here; it is
+reported. A host's lean decides: the chance that a walk from it along its own links, which goes on with
+DAMPING, ends at a blocked host. Each host's lean is split by its own links alone, so any number of hosts
+that link only to a blocked one have the same. A page without a rule is blocked if its host's lean reaches
+THRESHOLD and exceeds its trust. The SQL twin has distrust in the place of the lean: the two are equal where
+no link leaves a host, and verdicts may differ elsewhere.
 
 A host seeds trust with the allowed share, and distrust with the blocked share, of its pages under
-a rule, so scores do not shrink as the web grows. Links count once per page and target; links within a
+a rule, so seeds do not shrink as the web grows. Links count once per page and target; links within a
 host count for nothing. All steps are joins and partial aggregations on hosts; rounds are cut by
 tables in the shared folder.
 
@@ -55,11 +60,15 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank: seeds(host, seed), links(src, dst, weight) -> (host, score)."""
+def spread(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, split: str = "src") -> DataFrame:
+    """Personalised PageRank: seeds(host, seed), links(src, dst, weight) -> (host, score).
+
+    A score is shared out by weight among the links of its src; with split="dst" each dst takes the
+    share of its own links that come from src.
+    """
     spark = seeds.sparkSession
-    out = links.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
+    out = links.groupBy(split).agg(F.sum("weight").alias("total"))
+    share = links.join(out, split).select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
     base = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("score"))
     now, path = base, None
     for n in range(rounds):
@@ -87,12 +96,14 @@ def judged(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     good, bad = ruled.where("good > 0").select("host", F.col("good").alias("seed")), ruled.where("bad > 0").select("host", F.col("bad").alias("seed"))
     if links.limit(1).count():
         trust = spread(good, links, rounds)
-        distrust = spread(bad, links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), rounds)
+        back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        distrust, lean = spread(bad, back, rounds), spread(bad, back, rounds, split="dst")
     else:  # without links only the seeds have scores
         trust, distrust = (x.select("host", (F.lit(1 - DAMPING) * F.col("seed")).alias("score")) for x in (good, bad))
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
-    found = rows.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    own = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+        lean = distrust
+    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").join(lean.withColumnRenamed("score", "lean"), "host", "full")
+    found = rows.join(scores, "host", "left").fillna(0.0, ["trust", "distrust", "lean"])
+    own = F.when((F.col("lean") >= threshold) & (F.col("lean") > F.col("trust")), "block").otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("_says", own).alias("verdict"), "trust", "distrust")
 
 
