@@ -1,8 +1,8 @@
 """Packing into optimal length buckets.
 
-1. The global histogram of lengths is built in Spark over bins of bounded number (each bin spans
-   less than 1 / 32 of its length; the true maximum and sum of each bin are kept).
-2. A dynamic program over those bins chooses the bucket boundaries that make padding least.
+1. The exact global histogram of lengths is built in Spark. n different lengths need n * n / 2 bytes of
+   text, so it has fewer than 250,000 rows for 30 GB and grows with the square root of the input.
+2. A dynamic program over all lengths chooses the bucket boundaries that make padding least.
 3. Inside each bucket, batches are filled to a token budget: rows are numbered without gaps and
    every budget // padded_length of them make a batch. A row longer than the budget is a batch alone.
 
@@ -13,7 +13,9 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,54 +30,58 @@ def length_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _bin(n: Column) -> Column:
-    """Lengths below 64 have their own bin; above, the leading six bits are kept: at most 32 bins per doubling."""
-    drop = F.greatest(F.length(F.bin(n)) - 6, F.lit(0))
-    return F.expr("0").cast("long") + F.call_function("shiftright", n, drop) + drop.cast("long") * 64
-
-
 def histogram(lengths: DataFrame, n: str = "n_tokens") -> DataFrame:
-    """bin, count, total and most of each bin; a few hundred rows at any input size (32 per doubling of the longest text)."""
-    return lengths.groupBy(_bin(F.col(n)).alias("bin")).agg(F.count(F.lit(1)).alias("count"), F.sum(n).alias("total"), F.max(n).alias("most"))
+    """count of each length."""
+    return lengths.groupBy(F.col(n).alias("most")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def boundaries(count: list[int], most: list[int], buckets: int) -> list[int]:
-    """The upper lengths of at most `buckets` buckets over ascending bins with least sum of count x upper.
+    """The upper lengths of at most `buckets` buckets over ascending lengths with least sum of count x upper.
 
-    Padding is that sum less the sum of lengths, which no choice changes. best[k][i] is the least
-    cost of the first i bins in k buckets. Fewer buckets are used if more do not help.
+    Padding is that sum less the sum of lengths, which no choice changes. cost[i] is the least cost of
+    the first i lengths in k buckets; a last bucket from j on makes it cost[j] + (before[i] - before[j]) x most[i - 1].
+    As lines in most, those have falling slopes -before[j], so the lower hull of lines gives all minima in one pass, in
+    whole numbers. Fewer buckets are used if more do not help.
     """
     n = len(count)
     if not n:
         return []
-    before = np.concatenate([[0.0], np.cumsum(np.asarray(count, dtype=np.float64))])
-    upper = np.asarray(most, dtype=np.float64)
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0.0
-    back: list[np.ndarray] = []
-    best = (np.inf, 0)
+    before = [0, *accumulate(count)]
+    cost: list[int | None] = [0] + [None] * n
+    back: list[array] = []
+    best = (None, 0)
     for k in range(1, min(buckets, n) + 1):
-        new, at = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+        new: list[int | None] = [None] * (n + 1)
+        at, hull, first = array("l", [0]) * (n + 1), [], 0  # hull: (before, cost, j) of each line
         for i in range(1, n + 1):
-            options = cost[:i] + (before[i] - before[:i]) * upper[i - 1]
-            at[i] = int(np.argmin(options))
-            new[i] = options[at[i]]
+            if (c := cost[i - 1]) is not None:
+                b = before[i - 1]
+                # the last line is nowhere the least once the new one meets the line before it no later
+                while len(hull) - first >= 2 and (c - hull[-2][1]) * (hull[-1][0] - hull[-2][0]) <= (hull[-1][1] - hull[-2][1]) * (b - hull[-2][0]):
+                    hull.pop()
+                hull.append((b, c, i - 1))
+            if first == len(hull):
+                continue
+            x = most[i - 1]
+            while first + 1 < len(hull) and hull[first + 1][1] - hull[first + 1][0] * x < hull[first][1] - hull[first][0] * x:
+                first += 1
+            new[i], at[i] = hull[first][1] + (before[i] - hull[first][0]) * x, hull[first][2]
         back.append(at)
         cost = new
-        if new[n] < best[0]:
+        if best[0] is None or new[n] < best[0]:
             best = (new[n], k)
     out, i = [], n
     for k in range(best[1], 0, -1):
-        out.append(int(upper[i - 1]))
-        i = int(back[k - 1][i])
+        out.append(most[i - 1])
+        i = back[k - 1][i]
     return out[::-1]
 
 
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, chunks: int = CHUNKS) -> DataFrame:
     """doc_id, n_tokens, bucket, padded_length, batch (in its bucket), place (in its batch), padding."""
     rows = docs.select(F.col(doc_id).alias("_id"), length_of(F.col(text)).alias("n_tokens"))
-    bins = sorted(histogram(rows).collect(), key=lambda r: r["most"])
-    bounds = boundaries([r["count"] for r in bins], [r["most"] for r in bins], buckets)
+    found = sorted(histogram(rows).collect(), key=lambda r: r["most"])
+    bounds = boundaries([r["count"] for r in found], [r["most"] for r in found], buckets)
     edges = F.array(*(F.lit(x).cast("long") for x in bounds)) if bounds else F.array().cast("array<bigint>")
     rows = rows.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("n_tokens"))))
     rows = rows.withColumn("padded_length", F.try_element_at(edges, F.col("bucket") + 1))
