@@ -10,7 +10,8 @@ Items go to the executors in blocks of at most BLOCK_BYTES (benchmark tables bey
 into more blocks, one pass each), so what is sent is bounded at any benchmark size.
 
 Items without a word match nothing; a null or empty document is clean. Items repeated in the table
-are all reported. An item with fewer than MIN_WORDS words is matched only as a whole, with no edits.
+are all reported. An item with a null id counts as any other and is reported as null; such items are
+told apart by their words, so a document that holds two different ones has n_items 2. An item with fewer than MIN_WORDS words is matched only as a whole, with no edits.
 """
 
 from __future__ import annotations
@@ -58,10 +59,15 @@ def myers(pattern: list[str], stretch: list[str], most: int) -> tuple[int, int]
     return best
 
 
+def _order(row: tuple) -> tuple:
+    """A key that puts null ids first."""
+    return (row[0] is not None, row[0] or 0, row[1])
+
+
 class Matcher:
     """The pieces of some items, ready to scan documents."""
 
-    def __init__(self, items: Iterable[tuple[int, str]], similarity: float = SIMILARITY):
+    def __init__(self, items: Iterable[tuple[int | None, str]], similarity: float = SIMILARITY):
         self.items = [(item, w, 0 if len(w) < MIN_WORDS else int((1 - similarity) * len(w) + 1e-9)) for item, text in items if (w := words(text))]
         self.pieces = ahocorasick.Automaton()
         for n, (_, w, k) in enumerate(self.items):
@@ -73,8 +79,8 @@ class Matcher:
         if self.items:
             self.pieces.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple[int, int]]:
-        """(item, distance) of each item that some stretch of text matches, by item."""
+    def find(self, text: str | None) -> list[tuple[int | None, int]]:
+        """(item, distance) of each item that some stretch of text matches, by item, null ids first."""
         found = words(text)
         if not found or not self.items:
             return []
@@ -85,7 +91,7 @@ class Matcher:
             last = end + 1
             for n, offset in where:
                 hits.setdefault(n, set()).add(at - 1 - length - offset)
-        out: dict[int, int] = {}
+        out: dict[tuple, tuple[int | None, int]] = {}
         for n, places in hits.items():
             item, w, k = self.items[n]
             reach = -1
@@ -95,15 +101,16 @@ class Matcher:
                     continue
                 reach = b
                 got = myers(w, found[a:b], k)
-                if got and got[0] < out.get(item, k + 1):
-                    out[item] = got[0]
-        return sorted(out.items())
+                key = (item,) if item is not None else (None, *w)
+                if got and got[0] < out.get(key, (item, k + 1))[1]:
+                    out[key] = (item, got[0])
+        return sorted(out.values(), key=_order)
 
 
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _scan(items: list[tuple[int, str]], similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(items: list[tuple[int | None, str]], similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key = (hash(tuple(items)), similarity)
     if key not in _MATCHERS:
         _MATCHERS.clear()
@@ -115,13 +122,13 @@ def _scan(items: list[tuple[int, str]], similarity: float, batches: Iterator[pa.
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), pa.array(found, pa.list_(hit))], [*(c for c in batch.schema.names if c != "_text"), "_hits"])
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("item").isNotNull())
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield sorted((r["item"], r["text"]) for r in part.collect())
+        yield sorted(((r["item"], r["text"]) for r in part.collect()), key=_order)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, out: str = "_hits") -> DataFrame:

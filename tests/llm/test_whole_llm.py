@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("sparkveil.llm")
 
-from sparkveil.llm import packing, url_filter  # noqa: E402
+from sparkveil.llm import decontaminate, packing, url_filter  # noqa: E402
 
 
 @pytest.mark.parametrize("size", [2, 3, 20, 2000])
@@ -50,3 +50,12 @@ def test_padding_is_least_for_long_lengths(spark):
     for lengths in cases[:1] + cases[20:21]:
         rows = packing.packed(spark.createDataFrame([(k, "x" * (n - 1)) for k, n in enumerate(lengths)], "doc_id long, text string"), buckets=6).collect()
         assert sum(r["padding"] for r in rows) == least_padding(lengths, 6) and len(rows) == len(lengths)
+
+
+@pytest.mark.parametrize("size", [8_000_000, 40])
+def test_items_without_an_id_are_matched(spark, size):
+    bench = spark.createDataFrame([(None, "red green blue"), (None, "one two three"), (None, "one two three"), (-4, "white black grey"), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a Red green blue b"), (2, "one two three red green blue white black grey"), (3, "nothing"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["items"], r["least_distance"]) for r in decontaminate.flagged(docs, bench, block_bytes=size).collect()}
+    assert got == {1: (True, 1, [None], 0), 2: (True, 3, [None, None, -4], 0), 3: (False, 0, [], None), 4: (False, 0, [], None)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench, block_bytes=size).collect()) == [3, 4]
