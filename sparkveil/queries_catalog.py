@@ -34,11 +34,17 @@ def tagger_tags(spark, sf_dir):
 c AS (SELECT conv_id, turn, count(*) AS words FROM w WHERE strlen(w) <= 64 GROUP BY 1, 2)
 SELECT conv_id, turn, words FROM c""")
 def tagger_words(spark, sf_dir):
-    """Words that a tagger sees of each turn; the twin leaves runs of symbols out, so turns with them are left out here."""
+    """Words that a tagger sees of each turn; the twin leaves runs of symbols out, so turns with them are left out here; tagger_words_whole has every turn."""
     rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\p{L}\p{M}\p{N}\s][\s]*[^\p{L}\p{M}\p{N}\s]"))
     return rows.select("conv_id", "turn", F.size(tagger.words(F.col("text"))).cast("long").alias("words")).where("words > 0")
 
 
+@query()
+def tagger_words_whole(spark, sf_dir):
+    """Every turn, also those with runs of symbols or without a word; tests hold it against brute force."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tagger.words(F.coalesce("text", F.lit("")))).cast("long").alias("words"))
+
+
 LIMITS = [("roberta", 514, 12, 512, 490), ("bert", 512, 0, 512, 502), ("camembert", 514, 600, 512, 16), ("deberta", 20_000, 8, 8192, 8174), ("bert", None, 10, 512, 492)]
 
 

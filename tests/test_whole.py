@@ -1,5 +1,6 @@
 """Named queries that must take every row: whole results against brute force on small fixtures."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -55,3 +56,19 @@ def test_customers_of_every_kind_get_surrogates(spark):
     got = queries.QUERIES["surrogate_person"](spark, "/root/testdata/sf0.01").collect()
     assert Counter(r["kind"] for r in got) == dict.fromkeys(("PERSON", "ORG", "LOCATION", "ADDRESS"), 1500)
     assert all(r["surrogate"] for r in got) and len({(r["conv_id"], r["surrogate"]) for r in got}) == len(got)
+
+
+def brute_words(text):
+    """Words of at most 64 bytes, and at most three symbols in a row."""
+    run = words = 0
+    for w in re.findall(r"\w+(?:[-_]\w+)*|\S", text or ""):
+        run = 0 if re.search(r"[^\W_]", w) else run + 1
+        words += len(w.encode()) <= 64 and run <= 3
+    return words
+
+
+def test_words_of_every_turn(spark, tmp_path):
+    texts = [None, "", " ", "no", "wait ... what?", 'he said "really?!", then left', "a !!!!!! b", "?? ? ? ? x ?", "(a), (b)", "x" * 64 + " " + "y" * 65, "é-ü a_b __ ____ ," * 3]
+    spark.createDataFrame([(1, n, "user", t) for n, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["turn"]: r["words"] for r in queries.QUERIES["tagger_words_whole"](spark, str(tmp_path)).collect()}
+    assert got == {n: brute_words(t) for n, t in enumerate(texts)}
