@@ -6,6 +6,9 @@ it is expressed here.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +20,12 @@ CHUNK, TOTAL_BYTES, BATCH_BYTES, BATCH_TEXTS = 4_096, 256 << 10, 48 << 10, 64
 MIN_SCORE, ORG_MIN, ORG_SINGLE_MIN = 0.5, 0.7, 0.85
 WINDOW_WORDS, WINDOW_OVERLAP, SPAN_WORDS, WORD_BYTES, SYMBOL_RUN = 160, 24, 30, 64, 3
 
-#: Our own lists: words that never belong to a name, titles, words that start an order, and words that are no organisation.
+# Titles, words that start an order, and words that are no organisation.
+HONORIFIC = tuple("mr mrs ms miss dr prof shri sri shrimati smt late sir madam ji da di didi dada bhaiya bhaiyya bhai anna akka amma appa aunty auntie uncle saab sahab babu bro chachu chacha mama mami".split())
+IMPERATIVE = tuple("find show check send get make tell list open run draft reply ask add book pay call create update delete remove search fetch read write summarise summarize schedule reschedule cancel remind email text message share forward move copy save set fix start stop play pause close give take buy order note ping sync pull push merge review approve join invite post upload download print scan track look see try help keep go turn compare explain translate plan prepare confirm sign submit attach archive mute block report what where when who why how which hey".split())
+NOT_ORG = tuple("emi emis kyc otp upi gst gstin tds pan atm pdf faq eta ceo cto cfo coo hr qa ui ux api url sms ott nri ifsc neft rtgs imps pr prs".split())
+#: Defaults of our own, to be given as parameters for other languages: words that belong to no name, and names to leave alone.
 STOP = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "was", "hai", "ka", "ki", "ke", "ko", "se", "ne", "me")
-HONORIFIC = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "shri", "smt", "ji", "uncle", "aunty")
-IMPERATIVE = ("call", "ask", "tell", "email", "meet", "please", "send", "write", "remind", "show")
-NOT_ORG = ("team", "company", "office", "support", "sales", "inc", "ltd")
 ALLOW = ("python", "linux", "docker", "github", "json", "api", "http", "rust", "windows")
 
 
@@ -57,34 +61,34 @@ def sentence_initial(text: Column, at: Column) -> Column:
     return (before == "") | before.rlike(r"[\n.!?:;\->#|•–—]$")
 
 
-def cleaned(value: Column, kind: Column) -> Column:
+def cleaned(value: Column, kind: Column, stop: tuple[str, ...] = STOP, allow: tuple[str, ...] = ALLOW) -> Column:
     """The name inside a tagged span, null if none is left: stop words, titles and orders at the edges go, also possessives."""
     personish = kind.isin("PERSON", "LOCATION")
     bare = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
-    edge = lambda w: (bare(w) == "") | bare(w).isin(*STOP) | (personish & bare(w).isin(*HONORIFIC))
+    edge = lambda w: (bare(w) == "") | bare(w).isin(*stop) | (personish & bare(w).isin(*HONORIFIC))
     first = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, w: F.struct(F.when(a["go"] & (edge(w) | bare(w).isin(*IMPERATIVE)), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["go"] & (edge(w) | bare(w).isin(*IMPERATIVE))).alias("go")), lambda a: a["n"])
     last = F.aggregate(F.reverse(words), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, w: F.struct(F.when(a["go"] & edge(w), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["go"] & edge(w)).alias("go")), lambda a: a["n"])
     kept = F.when(first + last < F.size(words), F.slice(words, first + 1, F.size(words) - first - last)).otherwise(F.array().cast("array<string>"))
-    inner = F.exists(kept, lambda w: bare(w).isin(*STOP) | (bare(w).isin(*HONORIFIC) & (F.size(kept) > 3)))
+    inner = F.exists(kept, lambda w: bare(w).isin(*stop) | (bare(w).isin(*HONORIFIC) & (F.size(kept) > 3)))
     trimmed = F.regexp_replace(F.array_join(kept, " "), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     raw = F.regexp_replace(F.regexp_replace(trimmed, "(?:['’][sS]?)$", ""), r"[^\p{L}\p{N}]+$", "")
     bad = (
-        (F.size(kept) == 0) | ((kind == "PERSON") & inner) | F.exists(kept, lambda w: bare(w).isin(*ALLOW)) | (F.length(F.regexp_replace(raw, r"[^\p{L}]", "")) < 3)
+        (F.size(kept) == 0) | ((kind == "PERSON") & inner) | F.exists(kept, lambda w: bare(w).isin(*allow)) | (F.length(F.regexp_replace(raw, r"[^\p{L}]", "")) < 3)
         | (personish & (raw.rlike("[0-9]") | ((F.size(kept) == 1) & (F.length(raw) <= 4) & ~raw.rlike(r"\p{Ll}"))))
     )
     return F.when(~bad, raw)
 
 
-def accepted(found: DataFrame, common: DataFrame) -> DataFrame:
+def accepted(found: DataFrame, common: DataFrame, stop: tuple[str, ...] = STOP, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """found(text, start, value, kind, score) -> the rows to believe, with raw. common(word, proper) holds ordinary words."""
-    rows = found.withColumn("raw", cleaned(F.col("value"), F.col("kind"))).where("raw IS NOT NULL")
+    rows = found.withColumn("raw", cleaned(F.col("value"), F.col("kind"), stop, allow)).where("raw IS NOT NULL")
     rows = rows.withColumn("_single", ~F.col("raw").rlike(r"\s")).withColumn("_word", F.lower("raw"))
     least = F.when((F.col("kind") == "ORG") & F.col("_single"), ORG_SINGLE_MIN).when(F.col("kind") == "ORG", ORG_MIN).otherwise(MIN_SCORE)
     rows = rows.where(F.col("score") >= least).join(common.withColumnRenamed("word", "_common"), F.col("_word") == F.col("_common"), "left")
     checked = F.col("_single") & F.col("kind").isin("PERSON", "ORG", "LOCATION")
     usual = F.col("_common").isNotNull() & F.when(F.col("kind") == "ORG", True).when(F.col("kind") == "LOCATION", ~F.col("proper")).otherwise(F.col("raw").rlike(r"^\p{Ll}") | (~F.col("proper") & sentence_initial(F.col("text"), F.col("start"))))
-    drop = checked & (F.col("_word").isin(*IMPERATIVE, *STOP) | ((F.col("kind") == "ORG") & F.col("_word").isin(*NOT_ORG)) | usual)
+    drop = checked & (F.col("_word").isin(*IMPERATIVE, *stop) | ((F.col("kind") == "ORG") & F.col("_word").isin(*NOT_ORG)) | usual)
     return rows.where(~drop).drop("_single", "_word", "_common", "proper")
 
 
@@ -100,24 +104,16 @@ def bio_decoded(tags: DataFrame, key: str = "text_id", threshold: float = MIN_SC
 
 
 def windows(sizes: list[int], budget: int, most_words: int = WINDOW_WORDS, overlap: int = WINDOW_OVERLAP) -> list[tuple[int, int]]:
-    """(first, end) word windows of at most `budget` tokens and most_words words; each goes back by up to `overlap` words and a quarter of the budget. Words over the budget are skipped."""
-    out, start, n = [], 0, len(sizes)
-    while start < n:
-        if sizes[start] > budget:
-            start += 1
-            continue
-        end, used = start, 0
-        while end < n and end - start < most_words and sizes[end] <= budget and used + sizes[end] <= budget:
-            used += sizes[end]
-            end += 1
-        out.append((start, end))
-        if end >= n:
+    """(first, end) word windows of at most `budget` tokens and most_words words; each goes back by up to `overlap` words and a quarter of the budget. A word over the budget is in none."""
+    until, out, start = [0, *accumulate(sizes)], [], 0
+    while start < len(sizes):
+        end = min(start + most_words, bisect_right(until, until[start] + budget) - 1)
+        if end > start:
+            out.append((start, end))
+        if end >= len(sizes):
             break
-        back, spent = end, 0
-        while back > start + 1 and end - back < overlap and spent + sizes[back - 1] <= budget // 4 and sizes[end] <= budget:
-            back -= 1
-            spent += sizes[back]
-        start = back
+        # the next window: behind a word that fits nowhere, else as far back as the overlap allows
+        start = max(start + 1, end - overlap, bisect_left(until, until[end] - budget // 4)) if end > start else start + 1
     return out
 
 
