@@ -125,7 +125,7 @@ def test_links(spark, hot):
         chain ^= 7 << k
     signed = lambda x: x - 2**64 if x >> 63 else x
     vertices = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-    found = {r["node"]: r["root"] for r in connected_components(simhash.links(vertices, hot=hot)).collect()}
+    found = {r["node"]: r["root"] for r in connected_components(simhash.links(vertices, hot=hot))[0].collect()}
     classes = defaultdict(set)
     for p, r in brute_components(prints).items():
         classes[r].add(signed(p))
