@@ -1,17 +1,17 @@
 """Personal data by candidate gradient boosting, in Spark expressions.
 
 Base spans (email, ip, card, phone) are regular expressions with checks; they always stay. High-recall
-generators propose further spans, which may overlap: addresses spelt with "at" and "dot", card
-numbers with other separators, telephone numbers without a plus sign, and IPv6 addresses. Boosted trees
-score each proposal from its format and context; a proposal is taken if its calibrated
-probability reaches its kind's threshold, no base span overlaps it, and no better one does.
+generators, several for each kind and for secrets (tokens, keys, passwords), propose further spans, which overlap each
+other. Boosted trees score each proposal from its format and context. A proposal is a redaction if its calibrated probability reaches
+its kind's threshold and no base span overlaps it; where proposals overlap, the more probable one is taken, the earlier one on a tie.
 
 The trees are fitted in numpy on FITTED examples that a seeded generator writes (no corpus
 text is read for it), Platt-calibrated on a second set, and become one CASE expression. Nothing but
 DataFrame functions runs on the documents. Offsets are code points, ends exclusive.
 
-Null text counts as empty. Texts of any length are scanned whole; each pattern starts only where a
-run of its characters starts, so a long run costs its length, not its square.
+Null text counts as empty, and empty texts have no spans. Texts of any length are scanned whole; each pattern starts only where a
+run of its characters starts, so a long run costs its length, not its square. Repeated rows are judged alike, each on its own. An
+empty table gives an empty result. Columns beside those that are named are kept by redacted, whatever their names, and not read elsewhere.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans as found_spans
+
 KINDS = ("email", "ip", "card", "phone")
-FITTED, ROUNDS, DEPTH, RATE, PRECISION = 4000, 24, 3, 0.4, 0.99
+ALL_KINDS = (*KINDS, "secret")
+FITTED, ROUNDS, DEPTH, RATE, PRECISION = 6000, 40, 4, 0.4, 0.99
 MARK, OTHER = "\x01", "\x02"
 
 #: The base patterns. Java's possessive quantifiers and the look-behinds change no match: they only
@@ -36,12 +39,31 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Candidates beyond the base: pattern, and a cheap test that every match implies.
+_AT = r"(?:\x20?(?:\(at\)|\[at\]|\{at\})\x20?|\x20at\x20|\x20@\x20?|@\x20)"
+_DOT = r"(?:\.|\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\x20dot\x20)"
+_NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|credential|bearer)"
+_SPELT = r"(?:[(\[{]at[)\]}]\x20?|\x20at\x20|\x20@\x20?|@\x20)[A-Za-z0-9-]{2,63}(?:\.[A-Za-z0-9-]|\x20?[(\[{]dot[)\]}]|\x20dot\x20)"
+_NAMED = rf"(?:[=:]|\x20is)(?<=(?i:{_NAME})[\"']?\x20{{0,3}}(?:[=:]|\x20is))"
+#: Candidates beyond the base, by a cheap test that all their matches imply: kind, pattern, and a test of its own.
 MORE = {
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{1,63}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{2,63}(?:(?:\.|\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\x20dot\x20)[A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9-])", r"(?:\(at\)|\[at\]|\{at\}|\x20dot\x20)"),
-    "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
-    "card": (r"(?<![0-9A-Za-z])[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{1,7}(?![0-9A-Za-z])", r"[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-]"),
-    "phone": (r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])", r"[0-9][)\x20.-]\x20?[0-9]{3,4}[\x20.-][0-9]{3}"),
+    _SPELT: (
+        ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{1,63}}{_AT}[A-Za-z0-9-]{{2,63}}(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,4}}(?![A-Za-z0-9-])", None),
+        ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{{1,63}}{_AT}[A-Za-z0-9-]{{2,63}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9-])", None),
+    ),
+    ":": (
+        ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+        ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])", "::"),
+    ),
+    _NAMED: (("secret", rf"(?<![A-Za-z0-9_+/-])(?<=(?i:{_NAME})[\"']?\x20{{0,3}}(?:=|:|=>|:=|\x20is)\x20{{0,3}}[\"']?)[A-Za-z0-9_+/-][A-Za-z0-9_+/.=-]{{7,255}}", None),),
+    "[0-9]": (
+        ("card", r"(?<![0-9A-Za-z])[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{1,7}(?![0-9A-Za-z])", r"[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-]"),
+        ("card", r"(?<![0-9A-Za-z])[0-9]{4}[\x20./_-][0-9]{6}[\x20./_-][0-9]{5}(?![0-9A-Za-z])", r"[0-9]{4}[\x20./_-][0-9]{6}[\x20./_-]"),
+        ("phone", r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])", r"[0-9][)\x20.-]\x20?[0-9]{3,4}[\x20.-][0-9]{3}"),
+        ("phone", r"(?<![0-9A-Za-z+.])0[0-9](?:[\x20.-][0-9]{2}){4}(?![0-9A-Za-z])", r"[0-9]{2}[\x20.-][0-9]{2}[\x20.-][0-9]{2}"),
+        ("secret", r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,127}[0-9])[0-9A-Fa-f]{16,128}(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16}"),
+        ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,255}[0-9])(?=[0-9_-]{0,255}[A-Za-z])[A-Za-z0-9_-]{20,255}(?![A-Za-z0-9_-])", "[A-Za-z_-][0-9]|[0-9][A-Za-z_-]"),
+        ("secret", r"(?<![A-Za-z0-9_-])(?:sk|pk|rk|ghp|gho|glpat|xox[abp]|AKIA|AIza|hf)(?=[A-Za-z_-]{0,255}[0-9])[_-]?[A-Za-z0-9_-]{14,255}(?![A-Za-z0-9_-])", r"(?<![A-Za-z0-9_-])(?:[spr]k|gh[po]|glpat|xox|AKIA|AIza|hf)[A-Za-z0-9_-]{14}"),
+    ),
 }
 #: Words before a value that speak for its kind.
 CONTEXT = {
@@ -49,10 +71,13 @@ CONTEXT = {
     "ip": r"(?:\bip\b|ipv6|address|host|server|client)",
     "card": r"(?:card|visa|master|amex|credit|debit|karte|carte|tarjeta)",
     "phone": r"(?:phone|tel\b|tel[.:]|call|mobile|cell|fax|telefon|téléphone|teléfono|whatsapp)",
+    "secret": rf"{_NAME}",
 }
-FEATURES = ("kind", "digits", "length", "luhn", "context", "other", "groups", "letters", "dots", "year")
+FEATURES = ("kind", "digits", "length", "luhn", "context", "other", "groups", "letters", "dots", "year", "assigned", "distinct", "hex", "spelt")
 #: Words before a value that speak against it.
-AGAINST = r"(?:order|invoice|serial|part|version|isbn|item|ref|page|date|sku|batch|look|stay|meet|arriv)"
+AGAINST = r"(?:order|invoice|serial|part|version|isbn|item|ref|page|date|sku|batch|look|stay|meet|arriv|commit|sha|digest|checksum|hash|uuid|file)"
+#: How a value that is assigned to a name begins.
+ASSIGNED = r"(?:=|:|=>)\x20*[\"']?$"
 WIDTH = 24
 
 
@@ -65,8 +90,9 @@ def features(kind: str, value: str, left: str) -> list[float]:
     """What the trees see of one candidate; feature_columns is its twin."""
     digits, low = re.sub("[^0-9]", "", value), left.lower()
     return [
-        float(KINDS.index(kind)), float(len(digits)), float(len(value)), float(luhn(digits)), float(bool(re.search(CONTEXT[kind], low))), float(bool(re.search(AGAINST, low))),
+        float(ALL_KINDS.index(kind)), float(len(digits)), float(len(value)), float(luhn(digits)), float(bool(re.search(CONTEXT[kind], low))), float(bool(re.search(AGAINST, low))),
         float(len(re.sub(r"[0-9A-Za-z]+", "x", value).replace("x", "")) + 1), float(len(re.sub("[^A-Za-z]", "", value))), float(len(re.sub(r"[^.]", "", value))), float(bool(re.match(r"(?:19|20)[0-9]{2}[^0-9]", value))),
+        float(bool(re.search(ASSIGNED, left))), float(len(set(value))), float(bool(re.fullmatch("[0-9A-Fa-f]+", value))), float(bool(re.search(r"[@(\[{]", value))),
     ]
 
 
@@ -74,34 +100,54 @@ def feature_columns(kind: str, value: Column, left: Column) -> list[Column]:
     digits, low = F.regexp_replace(value, "[^0-9]", ""), F.lower(left)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return [
-        F.lit(float(KINDS.index(kind))), F.length(digits).cast("double"), F.length(value).cast("double"), flag(F.call_function("luhn_check", digits)), flag(low.rlike(CONTEXT[kind])), flag(low.rlike(AGAINST)),
+        F.lit(float(ALL_KINDS.index(kind))), F.length(digits).cast("double"), F.length(value).cast("double"), flag(F.call_function("luhn_check", digits)), flag(low.rlike(CONTEXT[kind])), flag(low.rlike(AGAINST)),
         (F.length(F.regexp_replace(value, "[0-9A-Za-z]+", "")) + 1).cast("double"), F.length(F.regexp_replace(value, "[^A-Za-z]", "")).cast("double"), F.length(F.regexp_replace(value, "[^.]", "")).cast("double"), flag(value.rlike("^(?:19|20)[0-9]{2}[^0-9]")),
+        flag(left.rlike(ASSIGNED)), F.size(F.array_distinct(F.split(value, ""))).cast("double"), flag(value.rlike("^[0-9A-Fa-f]+$")), flag(value.rlike(r"[@(\[{]")),
     ]
 
 
 def examples(n: int, seed: int) -> list[tuple[list[float], int]]:
     """n labelled candidates as the generators propose them, with their left contexts."""
     rng = random.Random(seed)
-    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda a, b: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(a, b)))
+    of = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    d = lambda k: of("0123456789", k)
+    word = lambda a, b: of("abcdefghijklmnoprstuvw", rng.randint(a, b))
     says = {"email": ["email ", "mail: ", "contact me: ", "write to ", ""], "ip": ["ip ", "host ", "from server ", "client ", ""], "card": ["card ", "visa: ", "credit card no. ", "pay by card ", ""], "phone": ["phone ", "tel: ", "call ", "mobile ", "fax ", ""]}
     against = ["order ", "invoice no ", "serial ", "part ", "version ", "isbn ", "ref ", "date ", "sku ", "batch ", "we look ", "arrive ", "stay ", word(3, 9) + " ", word(2, 6) + ", " + word(3, 7) + " "]
+    hexes, tokens, names = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", ["token", "secret", "password", "passwd", "api_key", "apikey", "key", "auth", "access_token", "client_secret"]
     out = []
     while len(out) < n:
-        kind, good = rng.choice(KINDS), rng.random() < 0.5
+        kind, good = rng.choice(ALL_KINDS), rng.random() < 0.5
+        clue = None
         if kind == "email":
-            at, dot = rng.choice([(" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", ".")]) if good else rng.choice([(" at ", "."), (" at ", " dot ")])
+            at, dot = rng.choice([(" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" @ ", "."), ("@ ", ".")]) if good else rng.choice([(" at ", "."), (" at ", " dot ")])
             value = word(3, 9) + at + word(3, 9) + dot + (rng.choice(["com", "org", "net", "de", "fr", "es", "io"]) if good else word(4, 9))
         elif kind == "ip":
-            value = ":".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(1, 4))) for _ in range(8)) if good else ":".join(d(2) for _ in range(8))
+            full = ":".join(of(hexes, rng.randint(1, 4)) for _ in range(8))
+            short = ":".join(of(hexes, rng.randint(1, 4)) for _ in range(rng.randint(2, 4))) + "::" + ":".join(of(hexes, rng.randint(1, 4)) for _ in range(rng.randint(1, 3)))
+            value = rng.choice([full, short]) if good else rng.choice([":".join(d(2) for _ in range(8)), d(1) + "::" + d(1), of("abcdef", 3) + "::" + of("abcdef", 3)])
         elif kind == "card":
             sep = rng.choice("./_" if rng.random() < 0.7 else " -")
-            digits = d(15)
+            size = rng.choice([15, 14])
+            digits = d(size)
             digits = next(digits + c for c in "0123456789" if luhn(digits + c) == (good or rng.random() < 0.1))
-            value = sep.join(digits[k : k + 4] for k in range(0, 16, 4))
+            value = sep.join(digits[k : k + 4] for k in range(0, 16, 4)) if size == 15 else sep.join((digits[:4], digits[4:10], digits[10:]))
+        elif kind == "phone":
+            pairs = "0" + rng.choice("123456789") + "".join(rng.choice(" .-") + d(2) for _ in range(4))
+            value = rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}", pairs]) if good or rng.random() < 0.4 else rng.choice([f"{rng.choice(['19', '20'])}{d(2)}-{d(4)}-{d(4)}", f"{d(2)} {d(3)} {d(3)}", f"{d(4)} {d(4)} {d(4)}"])
+        elif good:
+            value = rng.choice([of(hexes, rng.choice([16, 20, 24, 32, 40, 48, 64])), of(hexes, rng.choice([32, 40])).upper(), of(tokens, rng.randint(16, 60)), rng.choice(["sk-", "ghp_", "AKIA", "xoxb-", "hf_"]) + of(tokens, rng.randint(16, 40)), word(4, 8) + d(rng.randint(2, 4)) + of(tokens, 3)])
+            clue = rng.choice(names) + rng.choice([" = ", "=", ": ", ":", " => ", " is "]) + rng.choice(["", '"', "'"])
+            if value[:3] in ("sk-", "ghp", "AKI", "xox", "hf_") and rng.random() < 0.3:
+                clue = ""
         else:
-            value = rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}"]) if good or rng.random() < 0.4 else rng.choice([f"{rng.choice(['19', '20'])}{d(2)}-{d(4)}-{d(4)}", f"{d(2)} {d(3)} {d(3)}", f"{d(4)} {d(4)} {d(4)}"])
-        clue = rng.choice(says[kind][:-1] if good and (kind == "phone" or rng.random() < 0.7) else [""] if good else against)
+            value = rng.choice([word(8, 14), of(hexes, 40), d(rng.randint(16, 20)), word(20, 30), word(6, 12) + "-" + word(6, 12) + "-" + d(4), of(hexes, 8) + "-" + of(hexes, 4) + "-" + of(hexes, 4) + "-" + of(hexes, 12)])
+            if value.isalpha() or "-" in value and rng.random() < 0.5:
+                clue = rng.choice([rng.choice(names) + " is ", rng.choice(names) + ": ", "the key: ", ""])
+            else:
+                clue = rng.choice(["commit ", "sha ", "digest: ", "uuid ", "file ", "checksum = ", "", word(3, 8) + " ", word(3, 8) + ". "])
+        if clue is None:
+            clue = rng.choice(says[kind][:-1] if good and (kind == "phone" or rng.random() < 0.7) else [""] if good else against)
         left = (word(2, 8) + " " + word(2, 8) + " " + clue)[-WIDTH:]
         out.append((features(kind, value, left), int(good)))
     return out
@@ -151,7 +197,7 @@ def model(fitted: int = FITTED, rounds: int = ROUNDS, seed: int = 11):
         p = 1 / (1 + np.exp(-(a * hs + b)))
         a, b = a - 0.05 * float(((p - hy) * hs).mean()), b - 0.05 * float((p - hy).mean())
     p, cuts = 1 / (1 + np.exp(-(a * hs + b))), {}
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(ALL_KINDS):
         own = np.array([r[0] == k for r in hx])
         order = sorted(zip(p[own].tolist(), hy[own].tolist(), strict=True), reverse=True)
         right, cut = 0.0, 1.0
@@ -175,17 +221,21 @@ def _case(tree, columns: list[Column]) -> Column:
     return F.when(columns[f] <= cut, _case(low, columns)).otherwise(_case(high, columns))
 
 
-def found(text: Column, pattern: str) -> Column:
-    """All matches, leftmost and not overlapping: array<struct<start, end, value>>. text must not hold MARK."""
-    parts = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+def score(row: Column) -> Column:
+    """The calibrated probability of a candidate, from the array of its features."""
+    trees, a, b, _ = model()
+    total = functools.reduce(lambda x, y: x + y, (_case(t, [row[k] for k in range(len(FEATURES))]) for t in trees)) * F.lit(RATE)
+    return 1 / (1 + F.exp(-(total * F.lit(a) + F.lit(b))))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("value"))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), empty.alias("out")), step, lambda acc: acc["out"])
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+
+
+def found(text: Column, pattern: str, rank: int, kind: str) -> Column:
+    """All matches, leftmost and not overlapping, as an array of _SPAN. text must not hold MARK."""
+    parts = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+    make = lambda start, end, part: F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), part.alias("value"))
+    return found_spans.odd_parts(parts, make, f"array<{_SPAN}>")
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -200,47 +250,61 @@ def _valid(kind: str, value: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """array<struct<start, rank, end, kind, value>> by start, then kind as listed."""
     guards = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")}
-    kind_of = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
     def of(rank: int, kind: str) -> Column:
-        hits = F.filter(found(text, BASE[kind]), lambda s: _valid(kind, s["value"]))
-        tagged = F.transform(hits, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
-        return F.when(guards[kind], tagged.cast(kind_of)).otherwise(F.array().cast(kind_of))
+        hits = F.filter(found(text, BASE[kind], rank, kind), lambda s: _valid(kind, s["value"]))
+        return F.when(guards[kind], hits).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
     return F.array_sort(F.concat(*(of(*x) for x in enumerate(KINDS))))
 
 
 def proposals(text: Column) -> Column:
-    """array<struct<start, rank, end, kind, value, p>>: the candidates that reach their kind's threshold."""
-    trees, a, b, cuts = model()
-    kind_of = "array<struct<start:int,rank:int,end:int,kind:string,value:string,p:double>>"
+    """What all generators propose: array<struct<span, f>> with the features of each."""
+    kind_of = f"array<struct<span:{_SPAN},f:array<double>>>"
 
-    def of(rank: int, kind: str) -> Column:
-        pattern, guard = MORE[kind]
+    none = F.array().cast(kind_of)
 
-        def scored(s: Column) -> Column:
+    def of(kind: str, pattern: str, guard: str | None) -> Column:
+        def seen(s: Column) -> Column:
             left = F.substring(text, F.greatest(s["start"] - WIDTH, F.lit(0)) + 1, F.least(s["start"], F.lit(WIDTH)))
-            columns = feature_columns(kind, s["value"], left)
-            total = functools.reduce(lambda x, y: x + y, (_case(t, columns) for t in trees)) * F.lit(RATE)
-            return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), (1 / (1 + F.exp(-(total * F.lit(a) + F.lit(b))))).alias("p"))
+            return F.struct(s.alias("span"), F.array(*feature_columns(kind, s["value"], left)).alias("f"))
+
+        hits = F.transform(found(text, pattern, ALL_KINDS.index(kind), kind), seen).cast(kind_of)
+        return F.when(text.rlike(guard), hits).otherwise(none) if guard else hits
+
+    return F.concat(*(F.when(text.rlike(guard), F.concat(*(of(*x) for x in several))).otherwise(none) for guard, several in MORE.items()))
+
+
+def selected(base: Column, proposed: Column) -> Column:
+    """The proposals that are redactions, by start: array<_SPAN>.
+
+    One pass in order of start over base spans and proposals that reach their threshold: one that overlaps the last span taken replaces it if it is
+    more probable (base spans are certain), and else is dropped.
+    """
+    cuts = F.create_map(*(F.lit(x) for kind, cut in model()[3].items() for x in (kind, cut)))
+    scored = F.transform(proposed, lambda c: F.struct(c["span"]["start"].alias("start"), score(c["f"]).alias("p"), c["span"].alias("span")))
+    kept = F.filter(scored, lambda c: c["p"] >= F.element_at(cuts, c["span"]["kind"]))
+    sure = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(2.0).alias("p"), s.alias("span")))
+    empty = F.array().cast(f"array<{_SPAN}>")
+    start = F.struct(F.lit(None).cast(f"struct<start:int,p:double,span:{_SPAN}>").alias("last"), empty.alias("out"))
+    settle = lambda last, out: F.when(last.isNotNull() & (last["p"] <= 1), F.array_append(out, last["span"])).otherwise(out)
 
-        hits = F.filter(F.transform(found(text, pattern), scored), lambda s: s["p"] >= cuts[kind])
-        return F.when(text.rlike(guard), hits.cast(kind_of)).otherwise(F.array().cast(kind_of))
+    def step(acc: Column, c: Column) -> Column:
+        last = acc["last"]
+        over = last.isNotNull() & (c["start"] < last["span"]["end"])
+        moved = F.struct(c.alias("last"), settle(last, acc["out"]).alias("out"))
+        return F.when(~over, moved).when(c["p"] > last["p"], F.struct(c.alias("last"), acc["out"].alias("out"))).otherwise(acc)
 
-    return F.concat(*(of(*x) for x in enumerate(KINDS)))
+    some = lambda k: F.when(F.size(k) > 0, F.aggregate(F.array_sort(F.concat(k, sure)), start, step, lambda acc: settle(acc["last"], acc["out"]))).otherwise(empty)
+    return F.when(F.size(proposed) > 0, found_spans.bind(kept, some)).otherwise(empty)
 
 
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _base and _more, arrays of (start, rank, end, kind, value), sorted; _more are the spans that the trees add."""
-    rows = docs.withColumn("_body", F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(OTHER)))
-    rows = rows.withColumn("_base", base_spans(F.col("_body"))).withColumn("_p", proposals(F.col("_body")))
-    over = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    better = lambda x, y: (x["p"] > y["p"]) | ((x["p"] == y["p"]) & ((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["rank"] < y["rank"]))))
-    free = F.filter("_p", lambda s: ~F.exists("_base", lambda b: over(b, s)))
-    rows = rows.withColumn("_p", F.when(F.size("_p") > 0, free).otherwise(F.col("_p")))
-    best = F.filter("_p", lambda s: ~F.exists("_p", lambda o: over(o, s) & better(o, s)))
-    plain = F.transform(best, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "rank", "end", "kind", "value"))))
-    return rows.withColumn("_more", F.array_sort(plain)).drop("_p", "_body")
+def with_spans(df: DataFrame, text: Column, columns: list[Column]) -> DataFrame:
+    """`columns` of df with _base and _more, sorted arrays of _SPAN; _more are the spans that the trees add. Names in `columns` are the caller's."""
+    body = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(OTHER))
+    rows = df.select(*columns, body.alias("_body"))
+    rows = rows.select("*", base_spans(F.col("_body")).alias("_base"), proposals(F.col("_body")).alias("_proposed")).drop("_body")
+    return rows.select("*", selected(F.col("_base"), F.col("_proposed")).alias("_more"))
 
 
 def _joined(spans_: Column) -> Column:
@@ -248,16 +312,17 @@ def _joined(spans_: Column) -> Column:
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added (spans of the trees)."""
-    rows = spans(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
-    counts = [F.size(F.filter(F.transform("_base", lambda s: s["kind"]), (lambda k: lambda x: x == k)(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("_base", "_more"))).alias("spans"), F.size("_more").cast("long").alias("n_added"))
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added (spans of the trees), n_proposed (by all generators)."""
+    rows = with_spans(docs, F.col(text), [F.col(doc_id).alias("doc_id")])
+    counts = [F.size(F.filter("_base", (lambda k: lambda x: x["kind"] == k)(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    every = F.array_sort(F.concat("_base", "_more"))
+    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("_more").cast("long").alias("n_added"), F.size("_proposed").cast("long").alias("n_proposed"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `text` rewritten: each stretch of overlapping spans becomes <KIND> of the first of them. Null text stays null; other columns stay, whatever their names."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    rows = spans(rows, "_text").withColumn("_all", F.array_sort(F.concat("_base", "_more")))
+    rows = with_spans(docs, F.col(text), [F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")])
+    rows = rows.withColumn("_all", F.array_sort(F.concat("_base", "_more")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = lambda a, b: F.substr(F.col("_text"), a + 1, b - a)
 
