@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK, OTHER = "\x01", "\x02"
+BLOCK = 256
 TYPE = "array<struct<start:int,end:int,kind:string,value:string>>"
 #: An ASCII word boundary; Java's own counts accented letters as word characters.
 EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -35,14 +36,38 @@ def parts(text: Column, value: str, before: str = "") -> Column:
     return F.split(F.regexp_replace(text, f"({before})(?<val>{value})" if before else f"(?<val>{value})", f"{'$1' if before else ''}{MARK}${{val}}{MARK}"), MARK, -1)
 
 
+def bind(value: Column, f) -> Column:
+    """f(value), with value computed once however often f mentions it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def odd_parts(found: Column, make, kind: str) -> Column:
+    """make(start, end, part) of every second part of `found`, as an array of type `kind`.
+
+    The parts are folded in blocks of an even size, so a text with n matches costs in proportion to n and not to its square.
+    """
+    none_of = F.array().cast(kind)
+
+    def inside_block(at: Column, block: Column) -> Column:
+        def step(acc: Column, part: Column) -> Column:
+            end = acc["at"] + F.length(part)
+            return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["out"], make(acc["at"], end, part))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(block, F.struct(at.alias("at"), F.lit(False).alias("hit"), none_of.alias("out")), step)
+
+    def over_blocks(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, BLOCK))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        step = lambda acc, block: bind(inside_block(acc["at"], block), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+        return F.flatten(F.aggregate(blocks, start, step, lambda acc: acc["out"]))
+
+    short = lambda p: F.when(F.size(p) <= BLOCK, inside_block(F.lit(0), p)["out"]).otherwise(over_blocks(p))
+    return bind(found, short)
+
+
 def matches(text: Column, kind: str, value: str, before: str = "") -> Column:
     """All matches of `value` after `before`, from left to right."""
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), part.alias("value"))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none().alias("out"))
-    return F.aggregate(parts(text, value, before), start, step, lambda acc: acc["out"]).cast(TYPE)
+    span = lambda start, end, part: F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), part.alias("value"))
+    return odd_parts(parts(text, value, before), span, TYPE)
 
 
 def overlap(a: Column, b: Column) -> Column:
