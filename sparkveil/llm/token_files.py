@@ -6,6 +6,7 @@ A block is one row of a table that Spark writes (so lost tasks leave nothing beh
   shard, block     place in the order: shards ascend with the ids, blocks inside them
   base             ids in the shard before this block
   n_ids            ids in this block
+  least, most      its least and largest document id, null for none
   payload          the ids, little-endian unsigned, 2 bytes each if the vocabulary allows, else 4
   index            see Index
 
@@ -40,7 +41,7 @@ from .common import new_path, on_workers
 END_ID = 2
 BLOCK_IDS, BLOCK_DOCS, SLICE_DOCS, SLICE_BYTES = 1 << 20, 2048, 1024, 8 << 20
 CACHE_WORDS, CACHE_LENGTH = 900_000, 48
-SCHEMA = "shard int, block int, n_docs int, n_ids long, base long, payload binary, index binary"
+SCHEMA = "shard int, block int, n_docs int, n_ids long, base long, least long, most long, payload binary, index binary"
 _HEAD = struct.Struct("<4sBIIQ")
 #: A Latin letter, the marks after it and the white space after those. The marks are a pre-token of their own (they
 #: join neither side: no combining character, no apostrophe, no special token among them), so a space may part them.
@@ -269,8 +270,8 @@ def _write(path: str, end_id: int, batches: Iterable[pa.RecordBatch]) -> Iterato
     def row() -> pa.RecordBatch:
         nonlocal size, block, base, ids, bodies
         index = Index.build(ids, [len(b) // encoder.width for b in bodies], encoder.width).pack()
-        values = ([shard], [block], [len(ids)], [size], [base], [b"".join(bodies)], [index])
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        values = ([shard], [block], [len(ids)], [size], [base], [next((i for i in ids if i is not None), None)], [ids[-1]], [b"".join(bodies)], [index])
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
         block, base, size, ids, bodies = block + 1, base + size, 0, [], []
         return out
@@ -329,11 +330,19 @@ def read(spark, at: str) -> DataFrame:
     return found.join(F.broadcast(shards), "shard").select("doc_id", (F.col("_before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def lookup(spark, at: str, doc_id: int, n: int = 0) -> list[int] | None:
-    """The ids of one document: each block is asked by its index, and only the one that knows the key is read out."""
-    for r in spark.read.schema(SCHEMA).parquet(at).select("index", "payload").toLocalIterator():
+def lookup(spark, at: str, doc_id: int | None, n: int = 0) -> list[int] | None:
+    """The ids of the n-th row with this document id, None if there is none.
+
+    The filter on least and most reaches the files' own statistics, so only the one block whose range holds the key is
+    read; its index leads to one slot, whose fingerprint turns strange keys away, and the slot to one stretch of the payload.
+    """
+    blocks = spark.read.schema(SCHEMA).parquet(at)
+    # null ids come first of all
+    fits = F.col("block") == 0 if doc_id is None else (F.col("least") <= doc_id) & (F.col("most") >= doc_id)
+    order = blocks.where(fits).select("shard", "block", "index", "payload").orderBy("shard", "block").limit(1)
+    for r in order.collect():
         index = Index.unpack(bytes(r["index"]))
-        if (got := index.find(doc_id, n)) and doc_id in index.ids:
+        if got := index.find(doc_id, n):
             return np.frombuffer(bytes(r["payload"]), f"<u{index.width}")[got[0] : got[0] + got[1]].tolist()
     return None
 

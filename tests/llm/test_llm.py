@@ -271,6 +271,10 @@ def test_token_files(spark, docs, none, tmp_path):
     assert sorted((r[:3] for r in got), key=repr) == sorted(want, key=repr)
     assert [r[3] for r in got] == np.concatenate([[0], np.cumsum([r[1] for r in got])[:-1]]).tolist()
     assert token_files.lookup(spark, str(tmp_path / "t"), 300) == [*tokenizer.encode(extra[0][1], add_special_tokens=False).ids, 2]
+    at = str(tmp_path / "t")
+    coded = lambda t: [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+    assert token_files.lookup(spark, at, 4, 1) == coded("x") and token_files.lookup(spark, at, None, 1) == coded("alpha beta gamma")
+    assert [token_files.lookup(spark, at, k, n) for k, n in ((301, 0), (50, 0), (-7, 0), (4, 2), (None, 2), (10**9, 0))] == [None] * 6
     assert token_files.round_trip(none, path).collect() == []
 
 
