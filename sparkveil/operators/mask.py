@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars, spans
+from ..functions import content, scalars, spans
+from . import detect, occurrences
 
 MAX_ENTRIES = 5_000
 
@@ -52,18 +53,84 @@ def _limit_windows_to(spark: SparkSession, rows: int) -> None:
         spark.conf.set(name, str(rows))
 
 
+def spellings(rows: DataFrame, tags: DataFrame, conv: str = "conv_id", span_column: str = "spans") -> DataFrame:
+    """conv, kind, value, tag: every spelling of a tagged value that was found in a row of the conversation, and the one its tag leads back to."""
+    known = tags.where("tag IS NOT NULL").select(conv, "kind", "norm", "raw", "tag")
+    each = rows.select(conv, F.explode(span_column).alias("s")).select(conv, F.col("s.kind").alias("kind"), F.col("s.value").alias("value")).distinct()
+    found = each.withColumn("norm", scalars.normalize(F.col("kind"), F.col("value"))).join(known, [conv, "kind", "norm"]).select(conv, "kind", "value", "tag")
+    return found.union(known.select(conv, "kind", F.col("raw").alias("value"), "tag")).distinct()
+
+
+WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
+def _bounded(value: Column) -> Column:
+    """A pattern of value that matches no part of a longer word."""
+    quoted = F.regexp_replace(value, r"([^\p{L}\p{M}\p{N}_\s])", r"\\$1")
+    edge = lambda where, mark: F.when(value.rlike(where), mark).otherwise("")
+    return F.concat(edge("^" + WORD, f"(?<!{WORD})"), quoted, edge(WORD + "$", f"(?!{WORD})"))
+
+
+def known_values(spelt: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """conv, _known, _exact, _any: for each conversation its values with their tags, and the patterns that find them, longest value first.
+
+    Values of name-like kinds are found in any (ASCII) case, and before the others. A conversation has at most MAX_ENTRIES entities.
+    """
+    loose = content.name_like(F.col("kind"))
+    keyed = spelt.where("value <> ''").select(conv, loose.alias("loose"), F.when(loose, F.lower("value")).otherwise(F.col("value")).alias("value"), "tag")
+    one = keyed.groupBy(conv, "loose", "value").agg(F.min("tag").alias("tag"))
+    listed = one.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct((-F.length("value")).alias("by"), "value", "loose", "tag"))).alias("_all"))
+    pattern = lambda wanted: F.array_join(F.transform(F.filter("_all", lambda x: x["loose"] == wanted), lambda x: _bounded(x["value"])), "|")
+    entry = lambda x: F.struct(F.concat(F.when(x["loose"], "i:").otherwise("c:"), x["value"]).alias("key"), x["tag"].alias("value"))
+    rows = listed.select(conv, F.map_from_entries(F.transform("_all", entry)).alias("_known"), F.nullif(pattern(False), F.lit("")).alias("_exact"), F.nullif(pattern(True), F.lit("")).alias("_loose"))
+    either = F.concat_ws("|", F.concat(F.lit("(?i:"), F.col("_loose"), F.lit(")")), F.col("_exact"))
+    return rows.select(conv, "_known", "_exact", F.when(F.col("_loose").isNotNull(), either).alias("_any"))
+
+
+def _known_masked(text: Column, known: Column, exact: Column, any_: Column) -> Column:
+    """text (unmarked) with known values replaced; name-like ones only outside links. Stand-ins take the case of what they replace."""
+    tag_of = lambda x: F.coalesce(F.try_element_at(known, F.concat(F.lit("i:"), F.lower(x))), F.try_element_at(known, F.concat(F.lit("c:"), x)))
+    shown = lambda x: F.coalesce(F.when(tag_of(x).startswith("<"), tag_of(x)).otherwise(scalars.apply_case(tag_of(x), x)), x)
+
+    def within(part: Column, pattern: Column) -> Column:
+        cut = F.split(F.regexp_replace(part, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(f"{spans.MARK}$1{spans.MARK}")), spans.MARK, -1)
+        found = F.array_join(F.transform(cut, lambda x, i: F.when(i % 2 == 1, shown(x)).otherwise(x)), "")
+        return F.when(F.coalesce(part.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(part, pattern), F.lit(False)), found).otherwise(part)
+
+    links = F.when(text.contains("."), spans.parts(text, detect.LINK.replace(r"\b", spans.EDGE))).otherwise(F.array(text))
+    apart = F.array_join(F.transform(links, lambda part, i: F.when(i % 2 == 1, within(part, exact)).otherwise(within(part, any_))), "")
+    return F.when(any_.isNotNull(), apart).otherwise(within(text, exact))
+
+
 def mask_rows(rows: DataFrame, tags: DataFrame, conv: str = "conv_id", text: str = "text", span_column: str = "spans") -> DataFrame:
     """rows(conv, text, spans) with masked, and blocked_reason instead where a tag is missing. Raw text is never passed on: a blocked row's masked is null.
 
-    The tags of a conversation travel as one map (at most MAX_ENTRIES entries).
+    Detected spans are replaced by their tags, and in what is left every other occurrence of a value of the same
+    conversation, also where no rule found it; see known_values. The tags and patterns of a conversation travel as one row. All columns of rows are
+    kept, whatever their names, but for masked and blocked_reason.
     """
-    maps = tags.where("tag IS NOT NULL").groupBy(conv).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "norm"), "tag"))).alias("_tags"))
-    joined = rows.join(maps, conv, "left")
-    key = lambda s: F.concat_ws("\0", s["kind"], scalars.normalize(s["kind"], s["value"]))
-    joined = joined.withColumn("_missing", F.exists(span_column, lambda s: F.try_element_at(F.col("_tags"), key(s)).isNull()))
-    masked = spans.replaced(F.col(text), F.col(span_column), lambda s: F.try_element_at(F.col("_tags"), key(s)))
-    reason = F.when(F.coalesce("_missing", F.lit(False)), "no placeholder")
-    return joined.withColumn("blocked_reason", reason).withColumn("masked", F.when(F.col("blocked_reason").isNull(), masked)).drop("_tags", "_missing")
+    maps = tags.where("tag IS NOT NULL").groupBy(F.col(conv).alias("_conv")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "norm"), "tag"))).alias("_tags"))
+    known = known_values(spellings(rows, tags, conv, span_column), conv).withColumnRenamed(conv, "_of")
+    names = [c for c in rows.columns if c not in ("masked", "blocked_reason")]
+    packed = rows.select(F.struct(*(F.col(c) for c in names)).alias("_row"), F.col(conv).alias("_key"), F.col(text).alias("_text"), F.col(span_column).alias("_spans"))
+    joined = packed.join(maps, packed["_key"] == maps["_conv"], "left").join(known, packed["_key"] == known["_of"], "left")
+    tag_of = lambda s: F.try_element_at(F.col("_tags"), F.concat_ws("\0", s["kind"], scalars.normalize(s["kind"], s["value"])))
+    by = lambda s: F.when(tag_of(s).startswith("<"), tag_of(s)).otherwise(scalars.apply_case(tag_of(s), s["value"]))
+    missing = F.coalesce(F.exists("_spans", lambda s: tag_of(s).isNull()), F.lit(False))
+    marked = F.split(spans.replaced(spans.unmarked(F.col("_text")), F.col("_spans"), lambda s: F.concat(F.lit(spans.MARK), by(s), F.lit(spans.MARK))), spans.MARK, -1)
+    rest = lambda part: _known_masked(part, F.col("_known"), F.col("_exact"), F.col("_any"))
+    masked = F.array_join(F.transform(marked, lambda part, i: F.when(i % 2 == 1, part).otherwise(rest(part))), "")
+    masked = F.when(F.col("_text").isNull() | F.col("_known").isNull(), F.col("_text")).otherwise(masked)
+    done = joined.select("_row", F.when(missing, "no placeholder").alias("blocked_reason"), masked.alias("masked"))
+    return done.select(*(F.col("_row").getField(c).alias(c) for c in names), "blocked_reason", F.when(F.col("blocked_reason").isNull(), F.col("masked")).alias("masked"))
+
+
+def with_surrogates(tags: DataFrame, surrogates: DataFrame, kinds: list[str], conv: str = "conv_id") -> DataFrame:
+    """tags where entities of `kinds` have their stand-in (conv, kind, raw, surrogate) in the place of a tag; without one they are blocked."""
+    chosen = surrogates.select(F.col(conv).alias("_conv"), F.col("kind").alias("_kind"), F.col("raw").alias("_raw"), "surrogate").distinct()
+    joined = tags.join(chosen, (tags[conv] == chosen["_conv"]) & (tags["kind"] == chosen["_kind"]) & (tags["raw"] == chosen["_raw"]), "left")
+    styled = F.col("kind").isin(*kinds)
+    return joined.select(conv, "kind", "norm", "raw", F.when(styled, F.col("surrogate")).otherwise(F.col("tag")).alias("tag"), (F.col("blocked") | (styled & F.col("surrogate").isNull())).alias("blocked"))
 
 
 PLACEHOLDER = "<[A-Za-z0-9_:.-]{1,98}>"
@@ -91,23 +158,33 @@ def vault_patterns(vault: DataFrame, least: int = 4) -> DataFrame:
     return vault.where(F.char_length("value") >= least).select(name.alias("name"), kind.alias("kind"), "value", F.coalesce("ignore_case", F.lit(False)).alias("ignore_case"), F.coalesce("tool", F.lit(False)).alias("tool"))
 
 
-def vault_masked(text: Column, entries: list[tuple[str | None, str, str]]) -> Column:
-    """text with each word-bounded value replaced, longest value first: <SECRET:name> for named entries, <KIND_A>, <KIND_B>... for others.
-
-    entries are (name, kind, value); a vault is a short list that a person keeps, checked against MAX_ENTRIES.
-    """
+def vault_tags(entries: list[tuple]) -> list[tuple[str, str, bool]]:
+    """(value, placeholder, ignore_case) of vault entries (name, kind, value[, ignore_case[, tool]]): <SECRET:name> for named ones, <KIND_A>, <KIND_B>... for others, longest value first."""
     if len(entries) > MAX_ENTRIES:
         raise ValueError("vault too large")
     seen: dict[str, int] = {}
-    for name, kind, value in sorted(entries, key=lambda e: (-len(e[2]), e[2])):
+    out = []
+    for name, kind, value, *more in sorted(entries, key=lambda e: (-len(e[2]), e[2])):
         if name:
             by = f"<SECRET:{name}>"
         else:
-            n, seen[kind] = seen.get(kind, 0), seen.get(kind, 0) + 1
-            by = f"<{kind}_{chr(65 + n)}>"
-        quoted = "".join(c if c.isalnum() else "\\" + c for c in value)
-        text = F.when(text.contains(value), F.regexp_replace(text, rf"(?<![A-Za-z0-9_]){quoted}(?![A-Za-z0-9_])", by)).otherwise(text)
-    return text
+            n = seen[kind] = seen.get(kind, -1) + 1
+            by, n = "", n + 1
+            while n:
+                by, n = chr(65 + (n - 1) % 26) + by, (n - 1) // 26
+            by = f"<{kind}_{by}>"
+        out.append((value, by, bool(more and more[0])))
+    return out
+
+
+def vault_tools(entries: list[tuple]) -> dict[str, str]:
+    """Placeholder to value of the named entries that tools may use."""
+    return {f"<SECRET:{name}>": value for name, _, value, *more in entries if name and len(more) > 1 and more[1]}
+
+
+def vault_masked(text: Column, entries: list[tuple]) -> Column:
+    """text with each bounded occurrence of a vault value replaced, in one scan for all entries, so no placeholder is ever scanned. Entries as in vault_tags."""
+    return occurrences.replaced(text, vault_tags(entries))
 
 
 def report(found: DataFrame, by: list[str]) -> DataFrame:

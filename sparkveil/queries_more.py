@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, spans
-from .operators import ner, rehydrate, surrogate
+from .operators import mask, names, ner, rehydrate, surrogate
 from .plans import routing, shape
 from .queries import query, table, values
-from .streaming import sse
+from .streaming import dialects, sse
 
 # ---- taggers and names ---------------------------------------------------------
 
@@ -404,3 +404,64 @@ def word_list_ops(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "[^A-Za-zÀ-ÿ]+")).alias("w")).select("lang", F.lower("w").alias("word")).where("word <> ''")
     of = lambda lang: words.where(F.col("lang") == lang).select("word")
     return of("en").intersect(of("fr")).subtract(of("de"))
+
+
+@query("""WITH r AS (SELECT p_partkey % 20 AS conv_id, p_partkey AS turn, p_brand, p_type FROM part),
+f AS (SELECT conv_id, p_brand, min(turn) AS first_turn FROM r GROUP BY 1, 2), e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first_turn) - 1 AS n FROM f),
+t AS (SELECT *, '<ORG_' || chr((65 + n)::INT) || '>' AS tag FROM e)
+SELECT turn, r.p_type || ' by ' || tag || ' and ' || tag || ' and x' || lower(p_brand) || ', ' || tag || '.' AS masked FROM r JOIN t USING (conv_id, p_brand)""")
+def mask_known_values(spark, sf_dir):
+    """A brand is detected once in each row; its other occurrences, in any case, are masked as well, but not within longer words."""
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("conv_id"), F.col("p_partkey").alias("turn"), "p_type", "p_brand")
+    start = (F.length("p_type") + 4).cast("int")
+    span = F.struct(start.alias("start"), (start + F.length("p_brand")).cast("int").alias("end"), F.lit("ORG").alias("kind"), F.col("p_brand").alias("value"))
+    text = F.concat("p_type", F.lit(" by "), "p_brand", F.lit(" and "), F.lower("p_brand"), F.lit(" and x"), F.lower("p_brand"), F.lit(", "), F.upper("p_brand"), F.lit("."))
+    rows = parts.select("conv_id", "turn", text.alias("text"), F.array(span).alias("spans"))
+    tags = mask.assign_tags(rows.select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.*"))
+    return mask.mask_rows(rows, tags).select("turn", "masked")
+
+
+@query("SELECT c_custkey, true AS hidden, true AS restored FROM customer")
+def mask_surrogates(spark, sf_dir):
+    """Names of customers replaced by stand-ins in upper case, and restored: nothing of the name is left, and the round trip gives the text back."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("conv_id"), F.col("c_custkey").alias("turn"), F.translate("c_name", "#0123456789", "zabcdefghij").alias("name"))
+    span = F.struct(F.lit(5).alias("start"), (F.length("name") + 5).cast("int").alias("end"), F.lit("PERSON").alias("kind"), F.col("name").alias("value"))
+    rows = people.select("conv_id", "turn", "name", F.concat(F.lit("Dear "), "name", F.lit(", "), F.upper("name"), F.lit("!")).alias("text"), F.array(span).alias("spans"))
+    tags = mask.assign_tags(rows.select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.*"))
+    entities = tags.select("conv_id", F.xxhash64("norm").alias("at"), "kind", "raw", F.array(F.lit("dear")).alias("words"))
+    styled = mask.with_surrogates(tags, surrogate.assign(entities), ["PERSON"])
+    masked = mask.mask_rows(rows, styled)
+    back = masked.join(styled.select("conv_id", F.col("raw").alias("name"), "tag"), ["conv_id", "name"])
+    again = F.regexp_replace(F.replace("masked", F.upper("tag"), F.upper("name")), F.col("tag"), F.col("name"))
+    return back.select(F.col("turn").alias("c_custkey"), (~F.lower("masked").contains(F.lower("name"))).alias("hidden"), (again == F.col("text")).alias("restored"))
+
+
+@query("""SELECT o_orderkey, '{"model":"Clerk","messages":[{"role":"user","content":"<ORG_A> for <CODE_A>, not x' || o_orderpriority || '"}],"f":{"arguments":"{\\"p\\":\\"<ORG_A>\\"}"}}' AS body FROM orders""")
+def mask_body(spark, sf_dir):
+    """A body's own values masked in its strings and in the JSON inside its arguments; models and longer words stay."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("code"))
+    body = F.concat(F.lit('{"model":"Clerk","messages":[{"role":"user","content":"'), "o_orderpriority", F.lit(" for "), "code", F.lit(", not x"), "o_orderpriority", F.lit('"}],"f":{"arguments":"{\\"p\\":\\"'), "o_orderpriority", F.lit('\\"}"}}'))
+    known = F.create_map(F.col("o_orderpriority"), F.lit("<ORG_A>"), F.col("code"), F.lit("<CODE_A>"), F.lit("Clerk"), F.lit("<ORG_B>"))
+    return orders.select("o_orderkey", names.masked_body(body, known).alias("body"))
+
+
+_EVENTS = """[('chat', 'data: {"choices":[{"index":0,"delta":{"content":"Dear ' || {0} || '"}}]}' || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10)),
+  ('blocks', 'event: content_block_delta' || chr(10) || 'data: {"type":"content_block_delta","index":1,"delta":{"type":"text_delta","text":"Dear ' || {0} || '"}}' || chr(10) || chr(10) || 'event: content_block_stop' || chr(10) || 'data: {"type":"content_block_stop","index":1}' || chr(10) || chr(10)),
+  ('items', 'data: {"type":"response.output_text.delta","item_id":"i","delta":"Dear ' || {0} || '"}' || chr(10) || chr(10) || 'data: {"type":"response.completed"}' || chr(10) || chr(10))]"""
+
+
+def _streams(spark, sf_dir):
+    """One stream for each nation and dialect, cut into pieces of seven characters that come in no order."""
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("<NATION_"), F.col("n_nationkey").cast("string"), F.lit(">")).alias("tag"))
+    text = {"chat": 'data: {"choices":[{"index":0,"delta":{"content":"Dear %"}}]}\n\ndata: [DONE]\n\n', "blocks": 'event: content_block_delta\ndata: {"type":"content_block_delta","index":1,"delta":{"type":"text_delta","text":"Dear %"}}\n\nevent: content_block_stop\ndata: {"type":"content_block_stop","index":1}\n\n', "items": 'data: {"type":"response.output_text.delta","item_id":"i","delta":"Dear %"}\n\ndata: {"type":"response.completed"}\n\n'}
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("dialect"), F.replace(F.lit(t), F.lit("%"), F.col("tag")).alias("text")) for k, t in text.items())))
+    whole = nations.select("tag", kinds.alias("k")).select(F.concat("k.dialect", F.lit(" "), "tag").alias("stream_id"), F.col("k.text").alias("text"))
+    pieces = F.posexplode(F.regexp_extract_all("text", F.lit(r"[\s\S]{1,7}"), F.lit(0))).alias("seq", "chunk")
+    return whole.select("stream_id", pieces).select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk").orderBy(F.xxhash64("chunk"))
+
+
+@query("SELECT e[1] || ' <NATION_' || n_nationkey || '>' AS stream_id, e[2] AS text FROM (SELECT n_nationkey, n_name, unnest(" + _EVENTS.replace("{0}", "n_name") + ") AS e FROM nation)")
+def sse_dialects(spark, sf_dir):
+    """Placeholders that cuts have split are restored inside the events of all three dialects."""
+    mapping = {r["tag"]: r["n_name"] for r in table(spark, sf_dir, "nation").select(F.concat(F.lit("<NATION_"), F.col("n_nationkey").cast("string"), F.lit(">")).alias("tag"), "n_name").collect()}
+    return dialects.rehydrated(_streams(spark, sf_dir), mapping)

@@ -69,14 +69,17 @@ class BlockConverter:
             if data == "[DONE]":
                 yield from self.finish()
                 return
-            choice = (json.loads(data).get("choices") or [{}])[0]
-            delta = choice.get("delta") or {}
+            try:
+                choice = (json.loads(data).get("choices") or [{}])[0] or {}
+                delta = choice.get("delta") or {}
+            except (ValueError, AttributeError, TypeError):  # no chat event
+                continue
             if delta.get("content"):
                 yield from self._to("text", None)
                 yield {"type": "content_block_delta", "index": self.index, "text": delta["content"]}
-            for call in delta.get("tool_calls") or []:
+            for call in filter(None, delta.get("tool_calls") or []):
                 yield from self._to("tool_use", call.get("index", 0))
-                yield {"type": "content_block_delta", "index": self.index, "partial_json": call.get("function", {}).get("arguments", "")}
+                yield {"type": "content_block_delta", "index": self.index, "partial_json": (call.get("function") or {}).get("arguments") or ""}
                 self.stop = "tool_use"
             if choice.get("finish_reason") == "length":
                 self.stop = "max_tokens"
@@ -113,30 +116,45 @@ def restored_streams(chunks: DataFrame, mapping: dict[str, str], chunk: str = "c
     return chunks.groupBy("stream_id").applyInPandas(one, f"stream_id {chunks.schema['stream_id'].dataType.simpleString()}, text string")
 
 
+def in_order(batches, due: int, waiting: str, all_of_them: bool = False) -> tuple[list[tuple[int, str | None]], int, str]:
+    """The chunks (seq, chunk) that are due, the next seq and those that wait for a gap to close, as JSON.
+
+    All batches of a key are gathered first, as rows of one micro-batch may come in any order. A seq that was seen before, as after
+    a restart, is skipped; one beyond a gap waits. With all_of_them nothing waits any longer.
+    """
+    kept: dict[int, str | None] = {int(k): v for k, v in json.loads(waiting).items()}
+    for pdf in batches:
+        for seq, chunk in zip(pdf["seq"], pdf["chunk"], strict=True):
+            if seq >= due:
+                kept.setdefault(int(seq), chunk if isinstance(chunk, str) else None)
+    ready = []
+    while kept and (due in kept or all_of_them):
+        due = due if due in kept else min(kept)
+        ready.append((due, kept.pop(due)))
+        due += 1
+    return ready, due, json.dumps(kept)
+
+
 def restoring_stream(chunks: DataFrame, mapping: dict[str, str], idle: str = "6 hours") -> DataFrame:
-    """Streaming: the same kernel with its held text as state; a row with a null chunk, or the timeout, ends a stream and flushes it."""
+    """Streaming: the same kernel with its held text as state; a null chunk, or the timeout, ends a stream and flushes it. Chunks are taken in the order of seq, which counts from 0, whatever order they come in."""
     on_workers()
     milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kernel, out, ended = Rehydrator(mapping, state.get[0] if state.exists else ""), [], state.hasTimedOut
-        last = state.get[1] if state.exists else -1
-        if not ended:
-            for pdf in batches:
-                for r in pdf.sort_values("seq").itertuples():
-                    if r.seq <= last:  # a chunk that a restart brings again
-                        continue
-                    last = r.seq
-                    ended = ended or r.chunk is None
-                    out.append((last, kernel.feed(r.chunk) if r.chunk is not None else ""))
+        held, due, waiting = state.get if state.exists else ("", 0, "{}")
+        kernel, out, ended = Rehydrator(mapping, held), [], state.hasTimedOut
+        ready, due, waiting = in_order(() if ended else batches, due, waiting, ended)
+        for seq, chunk in ready:
+            ended = ended or chunk is None
+            out.append((seq, kernel.feed(chunk) if chunk is not None else ""))
         if ended:
-            out.append((last + 1, kernel.finish()))
+            out.append((due, kernel.finish()))
             state.remove()
         else:
-            state.update((kernel.held, last))
+            state.update((kernel.held, due, waiting))
             state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": [s for s, _ in out], "text": [t for _, t in out]})
     key = chunks.schema["stream_id"].dataType.simpleString()
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {key}, seq long, text string", "held string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {key}, seq long, text string", "held string, due long, waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
