@@ -62,14 +62,18 @@ def qualified(specs: DataFrame, models: DataFrame, spec: str = "spec") -> DataFr
     return out.withColumn("qualified", full).drop("_known", "_id", "_provider")
 
 
+# Fixed value: the longest wait that an answer may ask for, in seconds.
+RETRY_AFTER = 300
+
+
 def failure_runs(attempts: DataFrame, target: str = "target", ts: str = "ts", failed: str = "failed", tie: str = "id", base: int = 30) -> DataFrame:
-    """Each failed attempt with fails (its place in the unbroken run of failures) and seconds of cooldown: base, doubled up to five times, at most 600 or base; retry_after (a column, if any) takes its place."""
+    """Each failed attempt with fails (its place in the unbroken run of failures) and seconds of cooldown: base, doubled up to five times, at most 600 or base; retry_after (a column, if any), at most RETRY_AFTER, takes its place."""
     by = Window.partitionBy(target).orderBy(ts, tie)
     runs = attempts.withColumn("_run", F.sum((~F.col(failed)).cast("int")).over(by))
     inside = Window.partitionBy(target, "_run").orderBy(ts, tie)
     rows = runs.where(failed).withColumn("fails", F.row_number().over(inside))
     grown = F.least(F.lit(base) * F.pow(F.lit(2.0), F.least(F.col("fails") - 1, F.lit(5))), F.lit(max(600, base))).cast("long")
-    seconds = F.coalesce(F.col("retry_after").cast("long"), grown) if "retry_after" in attempts.columns else grown
+    seconds = F.when(F.col("retry_after").isNotNull(), F.least(F.col("retry_after").cast("long"), F.lit(RETRY_AFTER))).otherwise(grown) if "retry_after" in attempts.columns else grown
     return rows.withColumn("seconds", seconds).drop("_run")
 
 
@@ -133,6 +137,42 @@ def walk(attempts: DataFrame, request: str = "request") -> DataFrame:
     return first.select(request, F.col("_won.target").alias("served_by"), F.coalesce(F.col("_won.pos") + 1, "_n").alias("attempts"), F.coalesce(F.col("_won.pos"), "_n").alias("skipped"), F.when(~F.col("_first.ok"), F.col("_first.why")).alias("first_reason"))
 
 
+def policy_walk(attempts: DataFrame, request: str = "request") -> DataFrame:
+    """The walk of each request under its policy, as one partial aggregation over targets and one over requests.
+
+    attempts(request, pos, target, nth, status, error) has what each target would answer when asked for the nth time (0, 1, ...), and on each
+    row the request's policy (mode, retries, stop_on_timeout, size) and the target's state (max_input, presence, cooling).
+    Strict takes the first target alone; else targets that cool down go last. A target whose max_input is below size, or that has a presence
+    reason, is skipped. Only the first target is asked again, `retries` times at most, after a status that may pass or a failed connection.
+    With stop_on_timeout a timeout ends the walk.
+
+    -> request, served_by, attempts (answers and skips up to the end), failover (whether another than the first target served), reason (why the
+    first target did not) and error (null, gateway_strict, gateway_timeout or gateway_exhausted).
+    """
+    again = F.col("status").isin(*scalars.RETRYABLE) | F.coalesce(F.col("error") == "connect", F.lit(False))
+    allowed = F.when(F.col("pos") == 0, F.col("retries")).otherwise(0)
+    rows = attempts.where(((F.col("mode") != "strict") | (F.col("pos") == 0)) & (F.col("nth") <= allowed))
+    rows = rows.withColumn("_final", ~F.coalesce(again, F.lit(False)) | (F.col("nth") == allowed))
+    answer = F.struct("nth", "status", "error")
+    kept = ("mode", "stop_on_timeout", "size", "max_input", "presence", "cooling")
+    each = rows.groupBy(request, "pos", "target", *kept).agg(F.coalesce(F.min(F.when(F.col("_final"), answer)), F.max(answer)).alias("_a"))
+    skip = F.when(F.col("size") > F.col("max_input"), "input-too-large").when(F.col("presence").isNotNull(), "presence")
+    each = each.withColumn("_skip", skip).withColumn("_order", F.struct(((F.col("mode") != "strict") & F.coalesce("cooling", F.lit(False))).alias("late"), F.col("pos").alias("pos")))
+    served = F.col("_skip").isNull() & F.col("_a.status").between(200, 299)
+    halted = F.col("_skip").isNull() & F.coalesce(F.col("_a.error") == "timeout", F.lit(False)) & F.col("stop_on_timeout")
+    why = F.coalesce("_skip", scalars.reason_of(F.col("_a.status"), F.col("_a.error")))
+    end = F.struct("_order", served.alias("served"), "target")
+    tries = F.struct("_order", F.when(F.col("_skip").isNull(), F.col("_a.nth") + 1).otherwise(1).alias("n"))
+    one = each.groupBy(request).agg(
+        F.min(F.when(served | halted, end)).alias("_end"), F.collect_list(tries).alias("_tries"), F.min(F.when(F.col("pos") == 0, F.struct(served.alias("ok"), F.when(F.coalesce("cooling", F.lit(False)) & (F.col("mode") != "strict"), "cooldown").otherwise(why).alias("why"), "target"))).alias("_first"), F.first("mode").alias("_mode"),
+    )
+    until = F.aggregate(F.filter("_tries", lambda t: F.col("_end").isNull() | (t["_order"] <= F.col("_end._order"))), F.lit(0).cast("long"), lambda n, t: n + t["n"])
+    by = F.when(F.col("_end.served"), F.col("_end.target"))
+    error = F.when(F.col("_end.served"), None).when(F.col("_mode") == "strict", "gateway_strict").when(F.col("_end").isNotNull(), "gateway_timeout").otherwise("gateway_exhausted")
+    other = F.coalesce(by != F.col("_first.target"), F.lit(False))
+    return one.select(request, by.alias("served_by"), until.alias("attempts"), other.alias("failover"), F.when(other | by.isNull(), F.col("_first.why")).alias("reason"), error.alias("error"))
+
+
 def eligibility(targets: DataFrame, nodes: DataFrame, now: Column, max_age_ms: int = 5_000, route: str = "direct") -> DataFrame:
     """targets(node, skip_busy) against the last feed row of each node (node, at, enabled, route, reason, busy) -> reason (null: eligible)."""
     seen = latest(nodes, ["node"], "at").withColumn("_seen", F.lit(True))
@@ -146,6 +186,11 @@ def eligibility(targets: DataFrame, nodes: DataFrame, now: Column, max_age_ms: i
     return joined.select("node", "skip_busy", reason.alias("reason"))
 
 
+def policies_of_groups(policies: DataFrame, chains: DataFrame, name: str = "name") -> DataFrame:
+    """The policies (name, ...) whose group is saved."""
+    return policies.join(chains.select(F.col("name").alias("_group")).distinct(), F.col(name) == F.col("_group"), "left_semi")
+
+
 # Bounds of settings and policies.
 SETTINGS = {"timeout": (5, 600), "ttfb": (3, 120), "idle": (10, 600), "max_tokens": (256, 200_000), "keepalive": (1, 60)}
 ENUMS = {"mode": ("sticky", "strict", "failover"), "sticky_scope": ("conversation", "day", "until_changed"), "failover_on": ("errors", "errors_and_timeouts")}
@@ -189,3 +234,16 @@ def rename_group(chains: DataFrame, old: str, new: str) -> DataFrame:
     """A new name for a group, also where other groups list it."""
     swap = lambda c: F.when(F.col(c) == old, F.lit(new)).otherwise(F.col(c)).alias(c)
     return chains.select(swap("name"), *(c for c in chains.columns if c not in ("name", "entry")), swap("entry"))
+
+
+def rename_everywhere(chains: DataFrame, policies: DataFrame, pins: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A new name for a group in the groups' names and entries, in the policies' names and in the pins' groups. A group, policy or pin that has the new name already is replaced."""
+    def renamed(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+        swapped = F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column)).alias(column)
+        moved = df.where(F.col(column) == old).select(*(c for c in keys if c != column)).distinct() if len(keys) > 1 else df.where(F.col(column) == old).select(F.lit(new).alias(column)).distinct()
+        own = [c for c in keys if c != column] or [column]
+        gone = df.where(F.col(column) == new).join(moved, own, "left_semi").select(*df.columns)
+        rest = df.join(gone.select(*keys).distinct(), keys, "left_anti").select(*df.columns)
+        return rest.select(*(swapped if c == column else F.col(c) for c in df.columns))
+
+    return rename_group(chains, old, new), renamed(policies, "name", ["name"]), renamed(pins, "group", ["group", "session"])

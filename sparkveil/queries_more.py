@@ -465,3 +465,28 @@ def sse_dialects(spark, sf_dir):
     """Placeholders that cuts have split are restored inside the events of all three dialects."""
     mapping = {r["tag"]: r["n_name"] for r in table(spark, sf_dir, "nation").select(F.concat(F.lit("<NATION_"), F.col("n_nationkey").cast("string"), F.lit(">")).alias("tag"), "n_name").collect()}
     return dialects.rehydrated(_streams(spark, sf_dir), mapping)
+
+
+_POLICY_WALK = """SELECT l_orderkey AS request, (l_linenumber - 1)::INT AS pos, l_linenumber::VARCHAR AS target, CASE l_returnflag WHEN 'R' THEN 503 WHEN 'A' THEN NULL ELSE 200 END AS status, CASE l_returnflag WHEN 'A' THEN 'timeout' END AS error,
+  CASE WHEN l_orderkey % 7 = 0 THEN 'strict' ELSE 'failover' END AS mode, l_orderkey % 3 = 0 AS stops, l_quantity AS size, CASE WHEN l_linenumber = 2 THEN 30.0 END AS most, CASE WHEN l_linestatus = 'F' AND l_linenumber = 3 THEN 'n1 busy' END AS presence, l_linenumber = 1 AND l_orderkey % 5 = 0 AS cooling FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_quantity) AS copy FROM lineitem) WHERE copy = 1"""
+
+
+@query(f"""WITH a AS ({_POLICY_WALK}), b AS (SELECT *, CASE WHEN size > most THEN 'input-too-large' WHEN presence IS NOT NULL THEN 'presence' END AS skip, CASE WHEN mode <> 'strict' AND cooling THEN 100 ELSE 0 END + pos AS place,
+  CASE WHEN pos = 0 AND status = 503 THEN 2 ELSE 1 END AS tries FROM a WHERE mode <> 'strict' OR pos = 0),
+c AS (SELECT *, skip IS NULL AND coalesce(status = 200, false) AS won, skip IS NULL AND coalesce(error = 'timeout', false) AND stops AS halt, coalesce(skip, CASE WHEN error = 'timeout' THEN 'timeout' WHEN status = 503 THEN 'status 503' END) AS why FROM b),
+e AS (SELECT request, min(place) FILTER (won OR halt) AS last, arg_min(won, place) FILTER (won OR halt) AS served, arg_min(target, place) FILTER (won OR halt) AS target, any_value(mode) AS mode, arg_min(target, pos) FILTER (pos = 0) AS first_target, arg_min(CASE WHEN cooling AND mode <> 'strict' THEN 'cooldown' ELSE why END, pos) FILTER (pos = 0) AS first_why FROM c GROUP BY request),
+n AS (SELECT c.request, sum(CASE WHEN skip IS NULL THEN tries ELSE 1 END)::BIGINT AS attempts FROM c JOIN e USING (request) WHERE last IS NULL OR place <= last GROUP BY c.request)
+SELECT request, CASE WHEN served THEN target END AS served_by, attempts, coalesce(served AND target <> first_target, false) AS failover,
+  CASE WHEN NOT coalesce(served, false) OR coalesce(target <> first_target, false) THEN first_why END AS reason,
+  CASE WHEN served THEN NULL WHEN mode = 'strict' THEN 'gateway_strict' WHEN last IS NOT NULL THEN 'gateway_timeout' ELSE 'gateway_exhausted' END AS error FROM e JOIN n USING (request)""")
+def failover_policies(spark, sf_dir):
+    """Orders as requests under policies, with one repeated try, timeouts that stop, size limits, presence and cooldowns. A line that repeats a number counts once."""
+    by = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_suppkey", "l_partkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").withColumn("copy", F.row_number().over(by)).where("copy = 1")
+    flag, number = F.col("l_returnflag"), F.col("l_linenumber")
+    rows = lines.select(
+        F.col("l_orderkey").alias("request"), (number - 1).alias("pos"), number.cast("string").alias("target"), F.explode(F.array(F.lit(0), F.lit(1))).alias("nth"), F.when(flag == "R", 503).when(flag != "A", 200).alias("status"), F.when(flag == "A", "timeout").alias("error"),
+        F.when(F.col("l_orderkey") % 7 == 0, "strict").otherwise("failover").alias("mode"), F.lit(1).alias("retries"), (F.col("l_orderkey") % 3 == 0).alias("stop_on_timeout"), F.col("l_quantity").alias("size"), F.when(number == 2, 30.0).alias("max_input"),
+        F.when((F.col("l_linestatus") == "F") & (number == 3), "n1 busy").alias("presence"), ((number == 1) & (F.col("l_orderkey") % 5 == 0)).alias("cooling"),
+    )
+    return routing.policy_walk(rows)

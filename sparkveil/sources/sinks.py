@@ -14,22 +14,26 @@ def _fs(spark: SparkSession, path: str):
 
 
 def save_text(spark: SparkSession, path: str, text: str, history: str | None = None, stamp: str | None = None, kept: int = KEPT) -> None:
-    """Write beside `path`, move what is there to history under its stamp, rename into place, and drop all but the newest `kept` of the history."""
+    """Write beside `path`, copy what is there to history under its stamp, rename over it, and drop all but the newest `kept` of the history.
+
+    There is a whole file at `path` at any time, the old one or the new one, where the file system can rename over a file.
+    """
     at, fs = _fs(spark, path)
     fresh, _ = _fs(spark, path + ".tmp")
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = fs.create(fresh, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if fs.exists(at):
-        if history and stamp:
-            old, _ = _fs(spark, f"{history}/{stamp}.json")
-            fs.mkdirs(old.getParent())
-            fs.rename(at, old)
-        else:
-            fs.delete(at, False)
-    fs.rename(fresh, at)
+    if history and stamp and fs.exists(at):
+        old, _ = _fs(spark, f"{history}/{stamp}.json")
+        fs.mkdirs(old.getParent())
+        hadoop.fs.FileUtil.copy(fs, at, fs, old, False, True, conf)
+    replace = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    replace[0] = hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.fs.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), conf).rename(fresh, at, replace)
     if history:
         folder, _ = _fs(spark, history)
         if fs.exists(folder):
