@@ -12,7 +12,8 @@ A block is one row of a table that Spark writes (so lost tasks leave nothing beh
 
 The index maps a document's key to (offset, length) in the payload by hash and displace: a key falls
 into a bucket; the bucket's stored displacement sends each of its keys to a slot of its own among
-exactly as many slots as keys; the slot's stored 32-bit fingerprint turns strange keys away.
+exactly as many slots as keys; the slot's stored 32-bit fingerprint turns strange keys away. It holds
+no ids, so files are read by keys that come from elsewhere: `lookup` takes one, `read` a table of them.
 
 Documents with null text count as empty and hold only the end id. Rows repeated with one id follow
 each other and have keys (id, 0), (id, 1), ...; null ids come first. An empty table makes no block.
@@ -48,6 +49,7 @@ _HEAD = struct.Struct("<4sBIIQ")
 #: U+0130 is left out, as its lower case ends in a combining character.
 _MARKS = "([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F])([!-&(-/:;=?@\\[-`{}~]+)(\\s|$)"
 _M64 = (1 << 64) - 1
+_NO_ID, _NTH = 0xA5A5_5A5A_0F0F_F0F0, 0xD1342543DE82EF95
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -70,14 +72,14 @@ def keys_of(ids: list[int | None]) -> np.ndarray:
 
 
 def key_of(doc_id: int | None, n: int = 0) -> int:
-    return ((0xA5A5_5A5A_0F0F_F0F0 if doc_id is None else doc_id) + n * 0xD1342543DE82EF95) & _M64
+    return ((_NO_ID if doc_id is None else doc_id) + n * _NTH) & _M64
 
 
 class Index:
     """Build, pack, unpack and ask the index of one block."""
 
-    def __init__(self, displacement, prints, offsets, lengths, ids, seed, width):
-        self.displacement, self.prints, self.offsets, self.lengths, self.ids, self.seed, self.width = displacement, prints, offsets, lengths, ids, seed, width
+    def __init__(self, displacement, prints, offsets, lengths, seed, width):
+        self.displacement, self.prints, self.offsets, self.lengths, self.seed, self.width = displacement, prints, offsets, lengths, seed, width
 
     @classmethod
     def build(cls, ids: list[int | None], lengths: list[int], width: int) -> Index:
@@ -91,7 +93,7 @@ class Index:
                 displacement, slot = got
                 prints, off, length = np.zeros(n, "<u4"), np.zeros(n, "<u8"), np.zeros(n, "<u4")
                 prints[slot], off[slot], length[slot] = mix(keys, seed + 7919) >> np.uint64(32), offsets, lengths
-                return cls(displacement, prints, off, length, ids, seed, width)
+                return cls(displacement, prints, off, length, seed, width)
         raise RuntimeError("no displacement found")
 
     @staticmethod
@@ -142,10 +144,8 @@ class Index:
         return slot, self.prints[slot] == (mix(keys, self.seed + 7919) >> np.uint64(32)).astype("<u4")
 
     def pack(self) -> bytes:
-        known = np.array([i is not None for i in self.ids], dtype=np.uint8)
-        ids = np.array([0 if i is None else i for i in self.ids], dtype="<i8")
-        arrays = (self.displacement, self.prints, self.offsets, self.lengths, ids, known)
-        return _HEAD.pack(b"TKIX", self.width, len(self.ids), len(self.displacement), self.seed) + b"".join(a.tobytes() for a in arrays)
+        arrays = (self.displacement, self.prints, self.offsets, self.lengths)
+        return _HEAD.pack(b"TKIX", self.width, len(self.prints), len(self.displacement), self.seed) + b"".join(a.tobytes() for a in arrays)
 
     @classmethod
     def unpack(cls, data: bytes) -> Index:
@@ -153,11 +153,10 @@ class Index:
         if magic != b"TKIX":
             raise ValueError("not an index")
         at, out = _HEAD.size, []
-        for kind, size in (("<i4", n_buckets), ("<u4", n), ("<u8", n), ("<u4", n), ("<i8", n), ("u1", n)):
+        for kind, size in (("<i4", n_buckets), ("<u4", n), ("<u8", n), ("<u4", n)):
             out.append(np.frombuffer(data, kind, size, at))
             at += out[-1].nbytes
-        *arrays, ids, known = out
-        return cls(*arrays, [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)], seed, width)
+        return cls(*out, seed, width)
 
 
 def _slots(keys: np.ndarray, d: np.ndarray, seed: int, n: int) -> np.ndarray:
@@ -298,36 +297,74 @@ def write(docs: DataFrame, to: str, tokenizer_path: str, end_id: int = END_ID, d
     ordered.mapInArrow(lambda batches: _write(tokenizer_path, end_id, batches), SCHEMA).write.option("compression", "zstd").parquet(to)
 
 
-def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_shards(starts: np.ndarray, shards: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the shard that holds each key if any does: the last one that starts at or before it; null ids stand in the first."""
     for batch in batches:
-        for shard, base, payload, data in zip(*(batch.column(c) for c in ("shard", "base", "payload", "index")), strict=True):
-            index = Index.unpack(data.as_py())
-            ids = np.frombuffer(payload.as_py(), f"<u{index.width}")
-            slot, known = index.find_all(keys_of(index.ids))
+        ids = pc.fill_null(batch.column("_at"), int(starts[0])).to_numpy(zero_copy_only=False)
+        shard = shards[np.maximum(np.searchsorted(starts, ids, side="right") - 1, 0)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int32())], [*batch.schema.names, "shard"])
+
+
+def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (shard, _at), a block (no _copies) before its keys: each key asks the last block before it."""
+    shard = base = index = ids = None
+    for batch in batches:
+        at, copies = batch.column("_at"), batch.column("_copies")
+        block = copies.is_null().to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero(block).tolist()
+        for first, last in itertools.pairwise([0, *turns, batch.num_rows]):
+            if first < last and block[first]:
+                shard, base = batch.column("shard")[first].as_py(), batch.column("base")[first].as_py()
+                index = Index.unpack(batch.column("index")[first].as_py())
+                ids = np.frombuffer(batch.column("payload")[first].as_py(), f"<u{index.width}")
+                first += 1
+            if first == last:
+                continue
+            if index is None or batch.column("shard")[first].as_py() != shard:
+                raise ValueError("no block can hold a key")
+            asked, times = at.slice(first, last - first), copies.slice(first, last - first).to_numpy()
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            whole = asked.take(pa.array(np.repeat(np.arange(len(times)), times)))
+            given = np.where(whole.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(whole, 0).to_numpy(zero_copy_only=False).view(np.uint64), np.uint64(_NO_ID))
+            slot, known = index.find_all(given + nth.astype(np.uint64) * np.uint64(_NTH))
             if not known.all():
-                raise ValueError("the index does not know a key of its own block")
+                raise ValueError("the files do not hold a key that was asked for")
             offset, length = index.offsets[slot].astype(np.int64), index.lengths[slot].astype(np.int64)
             crc = [zlib.crc32(ids[o : o + n].astype("<u4").tobytes()) for o, n in zip(offset.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(index.ids, pa.int64()), pa.array([shard.as_py()] * len(crc), pa.int32()), pa.array(offset + base.as_py()), pa.array(length), pa.array(crc, pa.int64())],
+                [whole, pa.array([shard] * len(crc), pa.int32()), pa.array(offset + base), pa.array(length), pa.array(crc, pa.int64())],
                 ["doc_id", "shard", "in_shard", "n_tokens", "ids_crc32"],
             )
 
 
-def read(spark, at: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read from the files by key.
+def read(spark, at: str, docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each row of `docs`, which only gives the keys.
 
-    The one thing gathered on the driver is the total of each shard: one row per writing task.
+    A key goes to its shard by the shards' ranges, meets the blocks of that shard in order and asks the one block whose
+    range holds it; a key that is in no block is an error. The one thing gathered on the driver is the total and the
+    least id of each shard: one row per writing task.
     """
     on_workers(spark)
     files = spark.read.schema(SCHEMA).parquet(at)
-    totals, before, starts = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect(), 0, []
-    for r in sorted(totals, key=lambda r: r["shard"]):
+    found, before, starts = sorted(files.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.min("least").alias("least")).collect()), 0, []
+    for r in found:
         starts.append((r["shard"], before))
         before += r["n"]
-    shards = spark.createDataFrame(starts, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("_before", T.LongType())]))
-    found = files.mapInArrow(_read, "doc_id long, shard int, in_shard long, n_tokens long, ids_crc32 long")
-    return found.join(F.broadcast(shards), "shard").select("doc_id", (F.col("_before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
+    before_shards = spark.createDataFrame(starts, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("_before", T.LongType())]))
+    keys = docs.groupBy(F.col(doc_id).cast("long").alias("_at")).agg(F.count(F.lit(1)).alias("_copies"))
+    named = [(r["least"], r["shard"]) for r in found if r["least"] is not None]
+    # a shard of null ids alone is the first; without any shard there is no key to find
+    low, numbers = np.array([x for x, _ in named] or [0], np.int64), np.array([x for _, x in named] or [r["shard"] for r in found] or [0], np.int32)
+    if found and found[0]["least"] is None and named:
+        low, numbers = np.concatenate([[np.iinfo(np.int64).min], low]), np.concatenate([[found[0]["shard"]], numbers])
+    keys = keys.mapInArrow(lambda batches: _to_shards(low, numbers, batches), "_at long, _copies long, shard int")
+    # null ids come first of all, so the block that may begin with them stands before them
+    first = (F.col("shard") == F.lit(int(numbers[0]))) & (F.col("block") == 0)
+    blocks = files.select("shard", F.when(~first, F.col("least")).alias("_at"), F.lit(None).cast("long").alias("_copies"), "base", "payload", "index")
+    nothing = {"base": F.lit(None).cast("long"), "payload": F.lit(None).cast("binary"), "index": F.lit(None).cast("binary")}
+    met = blocks.unionByName(keys.withColumns(nothing)).repartition("shard").sortWithinPartitions("shard", F.col("_at").asc_nulls_first(), F.col("_copies").asc_nulls_first())
+    located = met.mapInArrow(_find, "doc_id long, shard int, in_shard long, n_tokens long, ids_crc32 long")
+    return located.join(F.broadcast(before_shards), "shard").select("doc_id", (F.col("_before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark, at: str, doc_id: int | None, n: int = 0) -> list[int] | None:
@@ -348,7 +385,7 @@ def lookup(spark, at: str, doc_id: int | None, n: int = 0) -> list[int] | None:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the files to a new folder in the shared one and read them back."""
+    """Write the files to a new folder in the shared one and read them back by the documents' keys."""
     to = new_path(docs.sparkSession, "token-files")
     write(docs, to, tokenizer_path, end_id, doc_id, text)
-    return read(docs.sparkSession, to)
+    return read(docs.sparkSession, to, docs, doc_id)

@@ -262,7 +262,7 @@ def test_token_files(spark, docs, none, tmp_path):
     extra = [(300, "It's <|endoftext|>, don't! x\x1cy İ, ñandú; ＡＢ\u0301. a_b", None, None, None)]
     table = docs.select("doc_id", "text").union(spark.createDataFrame(extra, SCHEMA).select("doc_id", "text"))
     token_files.write(table, str(tmp_path / "t"), path)
-    got = sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"], r["start"]) for r in token_files.read(spark, str(tmp_path / "t")).collect()), key=lambda r: r[3])
+    got = sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"], r["start"]) for r in token_files.read(spark, str(tmp_path / "t"), table).collect()), key=lambda r: r[3])
     want = []
     for i, t, *_ in sorted(odd_rows() + extra, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
@@ -276,6 +276,15 @@ def test_token_files(spark, docs, none, tmp_path):
     assert token_files.lookup(spark, at, 4, 1) == coded("x") and token_files.lookup(spark, at, None, 1) == coded("alpha beta gamma")
     assert [token_files.lookup(spark, at, k, n) for k, n in ((301, 0), (50, 0), (-7, 0), (4, 2), (None, 2), (10**9, 0))] == [None] * 6
     assert token_files.round_trip(none, path).collect() == []
+    # other keys than those of the files: some of them, in any order, and strange ones
+    some = spark.createDataFrame([(300,), (4,), (None,), (999,)], "k long")
+    assert sorted((tuple(r) for r in token_files.read(spark, at, some, "k").collect()), key=repr) == sorted(
+        {(i, s, n, c) for i, n, c, s in got if i in (300, None, 4, 999) and (i, s) in {(j, min(x[3] for x in got if x[0] == j)) for j in (300, None, 4, 999)}}, key=repr)
+    for strange in (301, 50, -7, 10**9):
+        with pytest.raises(Exception, match="key"):
+            token_files.read(spark, at, spark.createDataFrame([(strange,)], "doc_id long")).collect()
+    alone = spark.createDataFrame([(None, "a"), (None, "b c"), (None, None)], "doc_id long, text string")
+    assert sorted(r["start"] for r in token_files.round_trip(alone, path).collect())[0] == 0 and token_files.round_trip(alone, path).count() == 3
 
 
 # ---- language id --------------------------------------------------------------------
