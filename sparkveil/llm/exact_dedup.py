@@ -6,7 +6,7 @@
 3. Global: the winners of the salts meet by (digest, text).
 Every stage has the whole normalised text in its grouping key, so a digest never stands in for
 content. Members then find their group by digest if no digest turned out to have two contents
-(checked, not assumed); otherwise by digest and text.
+(checked, not assumed); otherwise by digest and text. Groups of more than HOT_ROWS rows are cut into parts for that join.
 
 Null text counts as empty. Null doc_ids sort last: they stay only in groups without another id.
 Rows repeated with the same id and text count in group_size, and one of them stays.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import HOT_ROWS, hot_keys, saved, split_join
 
 SALTS = 8
 
@@ -49,11 +49,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: i
     return (merged, ["_sha", "_norm"]) if clash else (found, ["_sha"])
 
 
-def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
+def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, split: int = HOT_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     found, on = groups(docs, doc_id, text, digest=digest)
     light = _keyed(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_text", digest).groupBy(*on, "_id").agg(F.count(F.lit(1)).alias("_copies"))
-    rows = light.join(found, on).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    met = split_join(light, found, "_sha", ["_id"], hot_keys(found, "_sha", "_size", split)) if on == ["_sha"] else light.join(found, on)
+    rows = met.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return rows.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_nth") == 1)).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 

@@ -69,13 +69,15 @@ def brute_dedup(rows):
 
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda n: F.length(n).cast("string")])
-def test_exact_dedup(docs, digest):
+def test_exact_dedup(docs, none, digest):
     """Also with a digest that many contents share: content decides."""
     got = rows_of(exact_dedup.decisions(docs, digest=digest))
     want = brute_dedup(odd_rows())
     assert [r[:4] for r in got] == [r[:4] for r in want] or sorted(r[:4] for r in map(str, got)) == sorted(r[:4] for r in map(str, want))
     if digest is exact_dedup.sha256:
         assert got == want
+        assert rows_of(exact_dedup.decisions(docs, split=5)) == want  # the hot group goes through the join in parts
+    assert exact_dedup.decisions(none, digest=digest).collect() == exact_dedup.deduplicated(none, digest=digest).collect() == []
     kept = exact_dedup.deduplicated(docs, digest=digest)
     assert kept.columns == docs.columns
     assert kept.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in odd_rows()})
