@@ -362,7 +362,7 @@ def read(spark, at: str, docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     first = (F.col("shard") == F.lit(int(numbers[0]))) & (F.col("block") == 0)
     blocks = files.select("shard", F.when(~first, F.col("least")).alias("_at"), F.lit(None).cast("long").alias("_copies"), "base", "payload", "index")
     nothing = {"base": F.lit(None).cast("long"), "payload": F.lit(None).cast("binary"), "index": F.lit(None).cast("binary")}
-    met = blocks.unionByName(keys.withColumns(nothing)).repartition(max(1, len(found)), "shard").sortWithinPartitions("shard", F.col("_at").asc_nulls_first(), F.col("_copies").asc_nulls_first())
+    met = blocks.unionByName(keys.withColumns(nothing)).repartitionById(1 + max((r["shard"] for r in found), default=0), "shard").sortWithinPartitions("shard", F.col("_at").asc_nulls_first(), F.col("_copies").asc_nulls_first())
     located = met.mapInArrow(_find, "doc_id long, shard int, in_shard long, n_tokens long, ids_crc32 long")
     return located.join(F.broadcast(before_shards), "shard").select("doc_id", (F.col("_before") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
