@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import content, scalars, spans
+from ..functions.workers import on_workers
 from . import detect, occurrences
 
 MAX_ENTRIES = 5_000
+#: How many bytes of one conversation are masked in one piece, and what a row counts besides its text.
+PART, ROW_BYTES = 4 << 20, 256
 
 
 def tag(kind: Column, n: Column) -> Column:
@@ -53,6 +57,14 @@ def _limit_windows_to(spark: SparkSession, rows: int) -> None:
         spark.conf.set(name, str(rows))
 
 
+def _limit_batches_to(spark: SparkSession, size: int) -> None:
+    """Let batches on their way to Python and back hold up to `size` bytes, so whole rows take little memory on either side; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= size:
+        spark.conf.set(name, str(size))
+
+
 def spellings(rows: DataFrame, tags: DataFrame, conv: str = "conv_id", span_column: str = "spans") -> DataFrame:
     """conv, kind, value, tag: every spelling of a tagged value that was found in a row of the conversation, and the one its tag leads back to."""
     known = tags.where("tag IS NOT NULL").select(conv, "kind", "norm", "raw", "tag")
@@ -72,19 +84,20 @@ def _bounded(value: Column) -> Column:
 
 
 def known_values(spelt: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """conv, _known, _exact, _any: for each conversation its values with their tags, and the patterns that find them, longest value first.
-
-    Values of name-like kinds are found in any (ASCII) case, and before the others. A conversation has at most MAX_ENTRIES entities.
-    """
+    """conv, loose, value, tag: each different value of a conversation. Those of name-like kinds are loose: found in any (ASCII) case."""
     loose = content.name_like(F.col("kind"))
     keyed = spelt.where("value <> ''").select(conv, loose.alias("loose"), F.when(loose, F.lower("value")).otherwise(F.col("value")).alias("value"), "tag")
-    one = keyed.groupBy(conv, "loose", "value").agg(F.min("tag").alias("tag"))
-    listed = one.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct((-F.length("value")).alias("by"), "value", "loose", "tag"))).alias("_all"))
-    pattern = lambda wanted: F.array_join(F.transform(F.filter("_all", lambda x: x["loose"] == wanted), lambda x: _bounded(x["value"])), "|")
+    return keyed.groupBy(conv, "loose", "value").agg(F.min("tag").alias("tag"))
+
+
+def _patterns(found: DataFrame) -> DataFrame:
+    """found with _known, _exact and _any in the place of _hits: the values (loose, value, tag) that a row's text holds, and the patterns that find them, longest value first, loose ones before the others."""
+    pattern = lambda wanted: F.nullif(F.array_join(F.transform(F.filter("_all", lambda x: x["loose"] == wanted), lambda x: _bounded(x["value"])), "|"), F.lit(""))
     entry = lambda x: F.struct(F.concat(F.when(x["loose"], "i:").otherwise("c:"), x["value"]).alias("key"), x["tag"].alias("value"))
-    rows = listed.select(conv, F.map_from_entries(F.transform("_all", entry)).alias("_known"), F.nullif(pattern(False), F.lit("")).alias("_exact"), F.nullif(pattern(True), F.lit("")).alias("_loose"))
+    listed = F.array_sort(F.transform("_hits", lambda x: F.struct((-F.length(x["value"])).alias("by"), x["value"].alias("value"), x["loose"].alias("loose"), x["tag"].alias("tag"))))
+    rows = found.withColumn("_all", listed).drop("_hits").withColumn("_exact", pattern(False)).withColumn("_loose", pattern(True)).withColumn("_known", F.map_from_entries(F.transform("_all", entry)))
     either = F.concat_ws("|", F.concat(F.lit("(?i:"), F.col("_loose"), F.lit(")")), F.col("_exact"))
-    return rows.select(conv, "_known", "_exact", F.when(F.col("_loose").isNotNull(), either).alias("_any"))
+    return rows.withColumn("_any", F.when(F.col("_loose").isNotNull(), either)).drop("_all", "_loose")
 
 
 def _known_masked(text: Column, known: Column, exact: Column, any_: Column) -> Column:
@@ -102,21 +115,47 @@ def _known_masked(text: Column, known: Column, exact: Column, any_: Column) -> C
     return F.when(any_.isNotNull(), apart).otherwise(within(text, exact))
 
 
+def _with_entries(rows: DataFrame, tags: DataFrame, conv: str, text: str, span_column: str) -> DataFrame:
+    """_row (all columns of rows), _tags (the tag of each span, null without one) and _hits (the known values of the conversation that the text holds; null if it has none).
+
+    Each conversation's entries go once to every part of it, of PART bytes of text or so, and meet its rows in one sorted stream. So a
+    row carries only what its own text holds, and a conversation of any size is as many pieces of work as it has parts.
+    """
+    _limit_batches_to(on_workers(), PART)
+    weight = F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES)
+    sizes = F.broadcast(rows.groupBy(F.col(conv).alias("_of")).agg(F.ceil(weight / PART).cast("int").alias("_parts")).where("_parts > 1"))
+    spread = F.xxhash64(*(F.col(c) for c, t in rows.dtypes if "map<" not in t and "variant" not in t))
+    keys = F.transform(span_column, lambda s: F.concat_ws("\0", s["kind"], scalars.normalize(s["kind"], s["value"])))
+    none = F.lit(None).cast("string")
+    packed = rows.join(sizes, F.col(conv) == F.col("_of"), "left").select(
+        F.col(conv).alias("_key"), F.coalesce(F.pmod(spread, F.col("_parts")).cast("int"), F.lit(0)).alias("_part"), keys.alias("_keys"),
+        none.alias("_sort"), none.alias("_value"), none.alias("_tag"), F.struct(*(F.col(c) for c in rows.columns)).alias("_row"),
+    )
+    keyed = tags.where("tag IS NOT NULL").select(conv, F.lit("key").alias("_sort"), F.concat_ws("\0", "kind", "norm").alias("_value"), F.col("tag").alias("_tag"))
+    known = known_values(spellings(rows, tags, conv, span_column), conv).select(conv, F.when(F.col("loose"), "loose").otherwise("exact").alias("_sort"), F.col("value").alias("_value"), F.col("tag").alias("_tag"))
+    entries = keyed.union(known).where(F.col(conv).isNotNull()).join(sizes, F.col(conv) == F.col("_of"), "left")
+    entries = entries.select(
+        F.col(conv).alias("_key"), F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"), F.lit(None).cast("array<string>").alias("_keys"),
+        "_sort", "_value", "_tag", F.lit(None).cast(packed.schema["_row"].dataType).alias("_row"),
+    )
+    stream = entries.union(packed).repartition("_key", "_part").sortWithinPartitions("_key", "_part", F.col("_sort").isNull())
+    schema = T.StructType([packed.schema["_row"], T.StructField("_tags", T.ArrayType(T.StringType())), T.StructField("_hits", T.ArrayType(T.StructType.fromDDL("loose boolean, value string, tag string")))])
+    return stream.mapInArrow(occurrences.entries_of_rows(rows.columns.index(text), spans.MARK, spans.OTHER), schema)
+
+
 def mask_rows(rows: DataFrame, tags: DataFrame, conv: str = "conv_id", text: str = "text", span_column: str = "spans") -> DataFrame:
     """rows(conv, text, spans) with masked, and blocked_reason instead where a tag is missing. Raw text is never passed on: a blocked row's masked is null.
 
     Detected spans are replaced by their tags, and in what is left every other occurrence of a value of the same
-    conversation, also where no rule found it; see known_values. The tags and patterns of a conversation travel as one row. All columns of rows are
-    kept, whatever their names, but for masked and blocked_reason.
+    conversation, also where no rule found it; see known_values. A row gets only those tags and patterns that its own text
+    needs. All columns of rows are kept, whatever their names, but for masked and blocked_reason.
     """
-    maps = tags.where("tag IS NOT NULL").groupBy(F.col(conv).alias("_conv")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "norm"), "tag"))).alias("_tags"))
-    known = known_values(spellings(rows, tags, conv, span_column), conv).withColumnRenamed(conv, "_of")
     names = [c for c in rows.columns if c not in ("masked", "blocked_reason")]
-    packed = rows.select(F.struct(*(F.col(c) for c in names)).alias("_row"), F.col(conv).alias("_key"), F.col(text).alias("_text"), F.col(span_column).alias("_spans"))
-    joined = packed.join(maps, packed["_key"] == maps["_conv"], "left").join(known, packed["_key"] == known["_of"], "left")
-    tag_of = lambda s: F.try_element_at(F.col("_tags"), F.concat_ws("\0", s["kind"], scalars.normalize(s["kind"], s["value"])))
-    by = lambda s: F.when(tag_of(s).startswith("<"), tag_of(s)).otherwise(scalars.apply_case(tag_of(s), s["value"]))
-    missing = F.coalesce(F.exists("_spans", lambda s: tag_of(s).isNull()), F.lit(False))
+    found = _patterns(_with_entries(rows.select(*names), tags, conv, text, span_column))
+    tagged = lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.get("_tags", i).alias("tag"))
+    joined = found.select("_row", "_known", "_exact", "_any", F.col("_row").getField(text).alias("_text"), F.transform(F.col("_row").getField(span_column), tagged).alias("_spans"))
+    by = lambda s: F.when(s["tag"].startswith("<"), s["tag"]).otherwise(scalars.apply_case(s["tag"], s["value"]))
+    missing = F.coalesce(F.exists("_spans", lambda s: s["tag"].isNull()), F.lit(False))
     marked = F.split(spans.replaced(spans.unmarked(F.col("_text")), F.col("_spans"), lambda s: F.concat(F.lit(spans.MARK), by(s), F.lit(spans.MARK))), spans.MARK, -1)
     rest = lambda part: _known_masked(part, F.col("_known"), F.col("_exact"), F.col("_any"))
     masked = F.array_join(F.transform(marked, lambda part, i: F.when(i % 2 == 1, part).otherwise(rest(part))), "")

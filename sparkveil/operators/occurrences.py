@@ -1,11 +1,13 @@
-"""Known values in texts: many values at once, by an automaton, for lists that are the same for all rows."""
+"""Known values in texts: many values at once, by an automaton, for lists that are the same for all rows and for those of each conversation."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 
 from ..functions.workers import series_udf
@@ -74,3 +76,70 @@ def replaced(text: Column, entries: list[tuple[str, str, bool]]) -> Column:
         return texts.map(lambda t: scanner[0].replace(t) if isinstance(t, str) else None)
 
     return series_udf(scan, "string")(text)
+
+
+def folded(text: str) -> str:
+    """text so that two texts that differ only in the case of ASCII letters become one."""
+    return text.lower().replace("ς", "σ")
+
+
+class Entries:
+    """What is known in one conversation: tags by key, and values (loose: in any ASCII case) that may occur in its texts."""
+
+    def __init__(self):
+        self.tags: dict[str, str] = {}
+        self.values: list[tuple[bool, str, str]] = []
+        self.automata: list[tuple[bool, ahocorasick.Automaton]] | None = None
+
+    def add(self, sort: str, value: str, tag: str) -> None:
+        if sort == "key":
+            self.tags[value] = tag
+        else:
+            self.values.append((sort == "loose", value, tag))
+
+    def within(self, text: str) -> list[tuple[bool, str, str]]:
+        """The values that text holds anywhere, also inside longer words."""
+        if self.automata is None:
+            self.automata = []
+            for wanted in (True, False):
+                found = ahocorasick.Automaton()
+                for loose, value, tag in self.values:
+                    if loose == wanted:
+                        key = folded(value) if loose else value
+                        found.add_word(key, [*found.get(key, ()), (loose, value, tag)])
+                if len(found):
+                    found.make_automaton()
+                    self.automata.append((wanted, found))
+        return list(dict.fromkeys(hit for loose, automaton in self.automata for _, hits in automaton.iter(folded(text) if loose else text) for hit in hits))
+
+
+#: What `entries_of_rows` reads (but for _key and _row, of any type) and adds to the rows.
+HITS = pa.list_(pa.struct([("loose", pa.bool_()), ("value", pa.string()), ("tag", pa.string())]))
+
+
+def entries_of_rows(at: int, mark: str, other: str):
+    """For mapInArrow: a stream of _key, _part, _keys, _sort, _value, _tag and _row, in which the entries (_row null) of each key and part come
+    before its rows, becomes its rows with _tags, those of _keys, and _hits, the values that field number `at` of the row holds (null if
+    nothing is known to the conversation). One conversation's entries are held at a time. mark is read as other.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known = None, Entries()
+        for batch in batches:
+            is_row = batch.column("_row").is_valid()
+            texts = batch.column("_row").field(at)
+            tags, hits = [], []
+            columns = (batch.column(c).to_pylist() for c in ("_key", "_part", "_keys", "_sort", "_value", "_tag"))
+            for i, (key, part, keys, sort, value, tag) in enumerate(zip(*columns, strict=True)):
+                if here != (key, part):
+                    here, known = (key, part), Entries()
+                if sort is not None:
+                    known.add(sort, value, tag)
+                    continue
+                tags.append([known.tags.get(k) for k in keys or ()])
+                text = texts[i].as_py() if known.values else None
+                found = known.within(text.replace(mark, other)) if text is not None else []
+                hits.append([dict(zip(("loose", "value", "tag"), h, strict=True)) for h in found] if known.values else None)
+            if tags:
+                rows = batch.filter(is_row).column("_row")
+                yield pa.RecordBatch.from_arrays([rows, pa.array(tags, pa.list_(pa.string())), pa.array(hits, HITS)], ["_row", "_tags", "_hits"])
+    return run
