@@ -29,24 +29,25 @@ def conversation_key(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     return first.select(conv, F.when((F.col("_system") == "") & (F.col("_user") == ""), "anon").otherwise(key).alias("conv_key"))
 
 
-def assign_tags(found: DataFrame, conv: str = "conv_id", order: tuple[str, ...] = ("turn", "start"), most: int = MAX_ENTRIES) -> DataFrame:
+def assign_tags(found: DataFrame, conv: str = "conv_id", order: tuple[str, ...] = ("turn", "start"), most: int | None = MAX_ENTRIES) -> DataFrame:
     """found(conv, order..., kind, value) -> (conv, kind, norm, raw, tag, blocked).
 
     Values that normalise alike within a kind are one entity; it is numbered by its first occurrence and its
     first spelling is what the tag leads back to. Conversations with more than `most` entities are
-    blocked: their rows have no tag, and only most + 1 of them are listed. One partial aggregation brings
+    blocked: their rows have no tag, and only most + 1 of them are listed; None sets no limit. One partial aggregation brings
     found down to entities before any ordering, and the limit on a conversation's entities is applied
     before the shuffle (a window group limit), so a hot conversation sends at most that many rows from each task.
     """
-    _limit_windows_to(found.sparkSession, most + 1)
     keyed = found.withColumn("norm", scalars.normalize(F.col("kind"), F.col("value")))
     at = F.struct(*order)
     entities = keyed.groupBy(conv, "kind", "norm").agg(F.min(at).alias("_at"), F.min_by("value", at).alias("raw"))
-    place = F.row_number().over(Window.partitionBy(conv).orderBy("_at", "kind", "norm"))
-    entities = entities.withColumn("_place", place).where(F.col("_place") <= most + 1)
+    if most is not None:
+        _limit_windows_to(found.sparkSession, most + 1)
+        place = F.row_number().over(Window.partitionBy(conv).orderBy("_at", "kind", "norm"))
+        entities = entities.withColumn("_place", place).where(F.col("_place") <= most + 1)
     rank = F.row_number().over(Window.partitionBy(conv, "kind").orderBy("_at", "norm")) - 1
-    count = F.count(F.lit(1)).over(Window.partitionBy(conv))
-    numbered = entities.withColumn("blocked", count > most).withColumn("_n", rank)
+    over = F.lit(False) if most is None else F.count(F.lit(1)).over(Window.partitionBy(conv)) > most
+    numbered = entities.withColumn("blocked", over).withColumn("_n", rank)
     return numbered.select(conv, "kind", "norm", "raw", F.when(~F.col("blocked"), tag(F.col("kind"), F.col("_n"))).alias("tag"), "blocked")
 
 

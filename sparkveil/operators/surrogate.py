@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,6 +42,7 @@ CITY = CITY_FIRST + _joined("Amber Bay Birch Clay Crow Dal Elder Fern Gold Hart
 ORG = [f"{head} {tail}" for head in ORG_HEAD for tail in ORG_TAIL]
 STREET = "Acorn Beacon Cedar Dale Elm Foundry Garden Hill Ivy Jubilee Kiln Laurel Market Nutmeg Orchard Poplar Quarry Rowan Station Tanner".split()
 STREET_KIND = "Lane Road Street Way Avenue Close".split()
+SYLLABLE = _joined("b d f g h j k l m n p r s t v z", "a e i o u")
 
 
 def mix(seed: int, n: int) -> int:
@@ -73,6 +74,18 @@ def whole(kind: str, seed: int, n: int) -> str:
     return f"{10 + mix(seed, n + 2) % 480} {pick(STREET, seed, n + 3)} {pick(STREET_KIND, seed, n + 4)}, {pick(CITY_FIRST, seed, n + 5)} {110_000 + mix(seed, n + 6) % 740_000}"
 
 
+def coined(seed: int, n: int) -> str:
+    """The n-th made-up name: at least four syllables, no name twice for one seed, without end."""
+    size = 4
+    while n >= len(SYLLABLE) ** size:
+        n, size = n - len(SYLLABLE) ** size, size + 1
+    left, out = (n * 0x9E3779B1 + mix(seed, 65)) % len(SYLLABLE) ** size, ""
+    for _ in range(size):
+        left, at = divmod(left, len(SYLLABLE))
+        out += SYLLABLE[at]
+    return out.capitalize()
+
+
 def fnv(text: str) -> int:
     h = 0xCBF29CE484222325
     for b in text.encode():
@@ -81,16 +94,18 @@ def fnv(text: str) -> int:
 
 
 class Conversation:
-    """Surrogates of one conversation. Words of the conversation itself are never used as a stand-in."""
+    """Surrogates of one conversation. Words of the conversation itself are never used as a stand-in. With coins, names are made up once a pool is empty."""
 
-    def __init__(self, seed: int, words: Iterable[str]):
-        self.seed, self.words = seed, {w.lower() for w in words}
+    def __init__(self, seed: int, words: Iterable[str], coins: bool = False):
+        self.seed, self.words, self.coins = seed, {w.lower() for w in words}, coins
+        self.empty: set[str] = set()
+        self.coined = count()
         self.used: set[str] = set()
         self.parts: dict[str, str] = {}
         self.known: dict[tuple[str, str], str] = {}
 
     def of(self, kind: str, raw: str) -> str | None:
-        """The stand-in, None if every candidate is taken (the row must then be blocked)."""
+        """The stand-in, None if every candidate is taken and none may be made up (the row must then be blocked)."""
         key = (kind, " ".join(raw.lower().split()))
         if key not in self.known:
             made = self._person(key[1], raw) if kind in ("PERSON", "NAME") else self._whole(kind, self.seed ^ fnv("\0".join(key)))
@@ -100,13 +115,23 @@ class Conversation:
             self.known[key] = made
         return self.known[key]
 
+    def _free(self, pool: str, candidates: Iterable[str], fits) -> str | None:
+        """The first of candidates that fits. A pool that has none left never has one again, as taken names stay taken."""
+        chosen = None if pool in self.empty else next(filter(fits, candidates), None)
+        if chosen is None and pool:
+            self.empty.add(pool)
+        return chosen
+
+    def _coined(self, fits, shape: str = "{}") -> str | None:
+        return next(c for c in (shape.format(coined(self.seed, n)) for n in self.coined) if fits(c)) if self.coins else None
+
     def _person(self, norm: str, raw: str) -> str | None:
+        fits = lambda c: c.lower() not in self.used and c.lower() not in self.words and c.lower() not in self.parts
         out = []
         for at, word in enumerate(norm.split()):
             if word not in self.parts:
-                names = each(*((FAMILY_FIRST, FAMILY) if at else (GIVEN_FIRST, GIVEN)), self.seed ^ fnv(word) ^ at)
-                free = (c for c in names if c.lower() not in self.used and c.lower() not in self.words and c.lower() not in self.parts)
-                chosen = next(free, None)
+                first, pool, name = (FAMILY_FIRST, FAMILY, "family") if at else (GIVEN_FIRST, GIVEN, "given")
+                chosen = self._free(name, each(first, pool, self.seed ^ fnv(word) ^ at), fits) or self._coined(fits)
                 if chosen is None:
                     return None
                 self.parts[word] = chosen
@@ -115,27 +140,33 @@ class Conversation:
         return " ".join(out)
 
     def _whole(self, kind: str, seed: int) -> str | None:
+        fits = lambda c: c.lower() not in self.used and not set(c.lower().split()) <= self.words
         if kind == "LOCATION":
-            made = each(CITY_FIRST, CITY, seed)
-        else:
-            made = chain((whole(kind, seed, n) for n in range(64)), each(ORG, ORG, seed) if kind == "ORG" else ())
-        return next((c for c in made if c.lower() not in self.used and not set(c.lower().split()) <= self.words), None)
+            return self._free(kind, each(CITY_FIRST, CITY, seed), fits) or self._coined(fits)
+        made = (whole(kind, seed, n) for n in range(64))
+        if kind == "ORG":
+            return self._free(kind, chain(made, each(ORG, ORG, seed)), fits) or self._coined(fits, "{} " + pick(ORG_TAIL, seed, 65))
+        return self._free("", chain(made, (whole(kind, seed, n) for n in range(64, 1 << 20)) if self.coins else ()), fits)
 
 
-def _of_conversation(pdf: pd.DataFrame) -> pd.DataFrame:
+def _of_conversation(pdf: pd.DataFrame, coins: bool) -> pd.DataFrame:
     pdf = pdf.sort_values(["at", "raw"])
-    conv = Conversation(fnv(str(pdf["conv_id"].iloc[0])), (w for words in pdf["words"] for w in words))
+    conv = Conversation(fnv(str(pdf["conv_id"].iloc[0])), (w for words in pdf["words"] for w in words), coins)
     return pdf.assign(surrogate=[conv.of(k, r) for k, r in zip(pdf["kind"], pdf["raw"], strict=True)])[["conv_id", "kind", "raw", "surrogate"]]
 
 
-def assign(entities: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
+def assign(entities: DataFrame, most: int | None = MAX_ENTRIES, coins: bool = False) -> DataFrame:
     """entities(conv_id, at, kind, raw, words): one row for each entity, words those of its turn -> conv_id, kind, raw, surrogate (null: blocked).
 
     Choices depend on those before them, so a conversation is one group. One with more than `most`
-    entities is blocked as a whole, so no group grows with the data.
+    entities is blocked as a whole, so no group grows with the data; without that limit (None) a group holds all its entities, but no
+    texts. With coins, names are made up where a pool is empty, and nothing is blocked for that.
     """
     on_workers()
     schema = f"conv_id {entities.schema['conv_id'].dataType.simpleString()}, kind string, raw string, surrogate string"
+    chosen = lambda rows: rows.groupBy("conv_id").applyInPandas(lambda pdf: _of_conversation(pdf, coins), schema)
+    if most is None:
+        return chosen(entities)
     over = entities.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("conv_id")
     blocked = entities.join(over, "conv_id", "left_semi").select("conv_id", "kind", "raw", F.lit(None).cast("string").alias("surrogate"))
-    return entities.join(over, "conv_id", "left_anti").groupBy("conv_id").applyInPandas(_of_conversation, schema).unionByName(blocked)
+    return chosen(entities.join(over, "conv_id", "left_anti")).unionByName(blocked)

@@ -423,13 +423,13 @@ def mask_known_values(spark, sf_dir):
 
 @query("SELECT c_custkey, true AS hidden, true AS restored FROM customer")
 def mask_surrogates(spark, sf_dir):
-    """Names of customers replaced by stand-ins in upper case, and restored: nothing of the name is left, and the round trip gives the text back."""
+    """Names of customers replaced by stand-ins in upper case, and restored: nothing of the name is left, and the round trip gives the text back. A nation may have any number of customers."""
     people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("conv_id"), F.col("c_custkey").alias("turn"), F.translate("c_name", "#0123456789", "zabcdefghij").alias("name"))
     span = F.struct(F.lit(5).alias("start"), (F.length("name") + 5).cast("int").alias("end"), F.lit("PERSON").alias("kind"), F.col("name").alias("value"))
     rows = people.select("conv_id", "turn", "name", F.concat(F.lit("Dear "), "name", F.lit(", "), F.upper("name"), F.lit("!")).alias("text"), F.array(span).alias("spans"))
-    tags = mask.assign_tags(rows.select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.*"))
+    tags = mask.assign_tags(rows.select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.*"), most=None)
     entities = tags.select("conv_id", F.xxhash64("norm").alias("at"), "kind", "raw", F.array(F.lit("dear")).alias("words"))
-    styled = mask.with_surrogates(tags, surrogate.assign(entities), ["PERSON"])
+    styled = mask.with_surrogates(tags, surrogate.assign(entities, most=None, coins=True), ["PERSON"])
     masked = mask.mask_rows(rows, styled)
     back = masked.join(styled.select("conv_id", F.col("raw").alias("name"), "tag"), ["conv_id", "name"])
     again = F.regexp_replace(F.replace("masked", F.upper("tag"), F.upper("name")), F.col("tag"), F.col("name"))

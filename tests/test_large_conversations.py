@@ -2,9 +2,11 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from sparkveil.operators import mask
+from sparkveil import queries, queries_more  # noqa: F401
+from sparkveil.operators import mask, surrogate
 
 
 def _mails(spark, n):
@@ -37,3 +39,26 @@ def test_rows_without_a_conversation_or_without_values(spark):
     tags = mask.assign_tags(rows.select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.*"))
     got = {(r["conv_id"], r["turn"]): (r["masked"], r["blocked_reason"]) for r in mask.mask_rows(rows, tags).collect()}
     assert got == {(1, 0): ("<PIN_A> \x02", None), (1, 1): ("is <PIN_A> here \x02", None), (1, 2): (None, None), (2, 0): ("123 \x01", None), (None, 0): (None, "no placeholder"), (None, 1): ("123", None)}
+
+
+@pytest.mark.parametrize(("kind", "raw"), [("PERSON", "n{}"), ("PERSON", "n n{}"), ("ORG", "n{}"), ("LOCATION", "n{}"), ("ADDRESS", "n{}")])
+def test_names_are_made_up_where_a_pool_is_empty(kind, raw):
+    conv = surrogate.Conversation(3, ["bado"], coins=True)
+    got = [conv.of(kind, raw.format(n)) for n in range(6_000)]
+    assert None not in got and len({x.lower() for x in got}) == 6_000
+    assert [conv.of(kind, raw.format(n)) for n in (0, 5_999)] == [got[0], got[-1]]
+    plain = surrogate.Conversation(3, ["bado"])
+    assert [plain.of(kind, raw.format(n)) for n in range(700)] == got[:700]
+
+
+def test_made_up_names_differ_and_have_no_end():
+    block = len(surrogate.SYLLABLE) ** 4
+    names = [surrogate.coined(9, n) for n in (*range(20_000), *range(block - 500, block + 500))]
+    assert len(set(names)) == len(names) and {len(x) for x in names} == {8, 10}
+
+
+def test_a_nation_of_any_size_is_masked_and_restored(spark, tmp_path):
+    n = mask.MAX_ENTRIES + 100
+    spark.range(n).selectExpr("id AS c_custkey", "format_string('Customer#%09d', id) AS c_name", "7 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = queries.QUERIES["mask_surrogates"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(k, True, True) for k in range(n)]
