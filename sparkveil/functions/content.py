@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import scalars
+
 #: Headers that belong to one connection, and those that name a conversation.
 HOP = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailers", "transfer-encoding", "upgrade", "host", "content-length", "accept-encoding")
 CREDENTIALS = ("authorization", "x-api-key")
@@ -92,7 +94,7 @@ def indic_runs(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The different lower-case words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(scalars.lower_letters(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def has_phrase(text: Column, phrase: str) -> Column:

@@ -55,11 +55,15 @@ def conversation_words(turns: DataFrame, conv: str = "conv_id", text: str = "tex
     return turns.select(conv, F.explode(content.words_of(F.col(text))).alias("word")).distinct()
 
 
-def retired(surrogates: DataFrame, words: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """surrogates(conv, surrogate, ...) of which no word has since appeared as a real word (conv, word) of the conversation."""
-    parts = surrogates.select(conv, "surrogate", F.explode(F.split(F.lower("surrogate"), r"\s+")).alias("word")).distinct()
-    gone = parts.join(words, [conv, "word"], "left_semi").select(conv, "surrogate").distinct()
-    return surrogates.join(gone, [conv, "surrogate"], "left_anti")
+def retired(surrogates: DataFrame, words: DataFrame, conv: str = "conv_id", parts: Column | None = None) -> DataFrame:
+    """surrogates(conv, surrogate, ...) of which no word has since appeared as a real word (conv, word) of the conversation.
+
+    parts: the lower-case words of a surrogate, where its own case may have changed them (the upper case of ſ is S); else they are read from it.
+    """
+    listed = surrogates.withColumn("_parts", F.split(F.lower("surrogate"), r"\s+") if parts is None else parts)
+    each = listed.select(conv, "surrogate", "_parts", F.explode("_parts").alias("word")).distinct()
+    gone = each.join(words, [conv, "word"], "left_semi").select(conv, "surrogate", "_parts").distinct()
+    return listed.join(gone, [conv, "surrogate", "_parts"], "left_anti").drop("_parts")
 
 
 def head_length(name: Column, heads: list[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import content
+from .functions import content, scalars
 from .operators import conversation, names, tagger
 from .plans import catalog, routing
 from .queries import query, table, values
@@ -132,8 +132,9 @@ def surrogates_retired(spark, sf_dir):
     """Long words of first turns stand for surrogates; those that a later turn really says are retired."""
     turns = table(spark, sf_dir, "conversations")
     words = conversation.conversation_words(turns.where("turn = 0")).where(F.length("word") >= 8)
-    made = words.select("conv_id", F.concat(F.lit("Anna "), F.upper(F.left("word", F.lit(1))), F.substr("word", F.lit(2))).alias("surrogate"))
-    return conversation.retired(made, conversation.conversation_words(turns.where("turn > 0")))
+    made = words.select("conv_id", F.concat(F.lit("Anna "), scalars.capitalized(F.col("word"))).alias("surrogate"), "word")
+    kept = conversation.retired(made, conversation.conversation_words(turns.where("turn > 0")), parts=F.array(F.lit("anna"), F.col("word")))
+    return kept.select("conv_id", "surrogate")
 
 
 POLICY = [("trusted_masked", "EMAIL"), ("trusted_masked", "CARD")]
