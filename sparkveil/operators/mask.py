@@ -11,8 +11,8 @@ from ..functions.workers import on_workers
 from . import detect, occurrences
 
 MAX_ENTRIES = 5_000
-#: How many bytes of one conversation are masked in one piece, and what a row counts besides its text.
-PART, ROW_BYTES = 4 << 20, 256
+#: How many bytes of one conversation are masked in one piece, what a row counts besides its text, and how many bytes go to Python at once.
+PART, ROW_BYTES, BATCH = 4 << 20, 256, 4 << 20
 
 
 def tag(kind: Column, n: Column) -> Column:
@@ -120,11 +120,14 @@ def _with_entries(rows: DataFrame, tags: DataFrame, conv: str, text: str, span_c
     """_row (all columns of rows), _tags (the tag of each span, null without one) and _hits (the known values of the conversation that the text holds; null if it has none).
 
     Each conversation's entries go once to every part of it, of PART bytes of text or so, and meet its rows in one sorted stream. So a
-    row carries only what its own text holds, and a conversation of any size is as many pieces of work as it has parts.
+    row carries only what its own text holds, and a conversation of any size is as many pieces of work as it has parts. With very many
+    entries the parts are larger, so that what is sent grows with the text and not with its product with the entries.
     """
-    _limit_batches_to(on_workers(), PART)
+    _limit_batches_to(on_workers(), BATCH)
     weight = F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES)
-    sizes = F.broadcast(rows.groupBy(F.col(conv).alias("_of")).agg(F.ceil(weight / PART).cast("int").alias("_parts")).where("_parts > 1"))
+    listed = tags.groupBy(F.col(conv).alias("_of")).agg((F.count(F.lit(1)) * ROW_BYTES).alias("_least"))
+    sizes = rows.groupBy(F.col(conv).alias("_of")).agg(weight.alias("_weight")).where(F.col("_weight") > PART).join(listed, "_of", "left")
+    sizes = F.broadcast(sizes.select("_of", F.ceil(F.col("_weight") / F.greatest(F.lit(PART), "_least")).cast("int").alias("_parts")))
     spread = F.xxhash64(*(F.col(c) for c, t in rows.dtypes if "map<" not in t and "variant" not in t))
     keys = F.transform(span_column, lambda s: F.concat_ws("\0", s["kind"], scalars.normalize(s["kind"], s["value"])))
     none = F.lit(None).cast("string")

@@ -9,6 +9,7 @@ from .functions import scalars, spans
 from .operators import mask, names, ner, rehydrate, surrogate
 from .plans import routing, shape
 from .queries import query, table, values
+from .sources.scratch import saved
 from .streaming import dialects, sse
 
 # ---- taggers and names ---------------------------------------------------------
@@ -429,7 +430,7 @@ def mask_surrogates(spark, sf_dir):
     rows = people.select("conv_id", "turn", "name", F.concat(F.lit("Dear "), "name", F.lit(", "), F.upper("name"), F.lit("!")).alias("text"), F.array(span).alias("spans"))
     tags = mask.assign_tags(rows.select("conv_id", "turn", F.explode("spans").alias("s")).select("conv_id", "turn", "s.*"), most=None)
     entities = tags.select("conv_id", F.xxhash64("norm").alias("at"), "kind", "raw", F.array(F.lit("dear")).alias("words"))
-    styled = mask.with_surrogates(tags, surrogate.assign(entities, most=None, coins=True), ["PERSON"])
+    styled = saved(mask.with_surrogates(tags, surrogate.assign(entities, most=None, coins=True), ["PERSON"]), "customer-surrogates")
     masked = mask.mask_rows(rows, styled)
     back = masked.join(styled.select("conv_id", F.col("raw").alias("name"), "tag"), ["conv_id", "name"])
     again = F.regexp_replace(F.replace("masked", F.upper("tag"), F.upper("name")), F.col("tag"), F.col("name"))
