@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language_id, packing, pii_boost, sharding, simhash, token_files, url_filter
+from . import decontaminate, exact_dedup, fill_middle, html_text, importance, language_id, packing, pii_boost, sharding, simhash, token_files, top_search, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,24 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_search.top(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_link_graph_urls, op2_byte_gru_language, op3_simhash_components, op4_jump_shards, op5_pigeonhole_decontamination,
-        op6_token_id_files, op7_block_rules_html, op8_boosted_pii, op9_exact_dedup, op10_length_buckets,
+        op6_token_id_files, op7_block_rules_html, op8_boosted_pii, op9_exact_dedup, op10_length_buckets, op11_threshold_search, op12_fill_in_middle,
+        op13_importance_resampling,
     )
 }
 
@@ -71,4 +84,7 @@ WITH d AS (
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
 FROM d JOIN g USING (norm)
 """,
+    "op11_threshold_search": top_search.sql(),
+    "op12_fill_in_middle": fill_middle.sql(),
+    "op13_importance_resampling": importance.sql(),
 }
