@@ -1,19 +1,20 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A forward and a backward GRU run over the UTF-8 bytes of the whole text, white space included; the
-two states label every position with a probability for each language, and a document's probabilities
-are the pooled (mean) logs of those of all its positions. So that many stretches run at once, a text is cut into
-cores of INNER bytes. Each direction starts CONTEXT bytes before its core (or at the text's end) and
-carries its state through, so every position is labelled once and sees at least CONTEXT bytes on either
-side, as far as the text has them. Nothing is left out, whatever the length.
+A forward and a backward GRU label every UTF-8 byte of the whole text, white space included, with a
+probability for each language, and a document's probabilities are the pooled (mean) logs of those of all
+its positions. So that many stretches run at once, a text is cut into cores of INNER bytes. Each direction
+starts anew CONTEXT bytes before its core (or at the text's end) and carries its state through the core, so
+every position is labelled once and sees at least CONTEXT and at most CONTEXT + INNER bytes on either side, as far as the
+text has them. Nothing is left out, whatever the length.
 
 Trained in numpy by backpropagation through time with Adam, on a sample of about SAMPLE_DOCS labelled
 rows, as many of each language as there are (QUOTA at least), and PIECES stretches of PIECE characters
 of each, from places all over the text that its hash decides. The bound does not depend on the input
-but for the number of languages. Rows that share the fate of held-out ones (crc32(doc_id as text)
+but for the number of languages. Rows are chosen by a hash of id and text and copies count once, so rows that share an
+id, have none, or repeat a text leave no language out. Rows that share the fate of held-out ones (crc32(doc_id as text)
 mod 3 = 1) are never in the sample; lang, source and doc_id are no inputs of a prediction.
 
-Null texts and texts without a letter are `und` with score 0. With no labelled rows all are `und`, and an
+Null texts and texts without a letter are `und` with score 0. With no labelled row that is not held out, none can be learned and all are `und`, and an
 empty table gives no rows. Of languages with equal probability the first by name wins. Repeated rows are
 labelled like any other, each on its own. Other columns, whatever their names, are kept or ignored.
 """
@@ -241,10 +242,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, **options) -> Network | None:
-    """Train on about sample_docs labelled rows that are not held out, as many of each language, chosen by a hash of the id."""
-    fits = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    rows = fits.select(F.xxhash64(F.col(doc_id).cast("string")).alias("_order"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).collect()  # one row for each language
+    """Train on about sample_docs different labelled rows that are not held out, as many of each language, chosen by a hash of id and text."""
+    fits = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col(doc_id)))
+    rows = fits.select(F.xxhash64(F.col(doc_id).cast("string"), text).alias("_order"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    # one row for each language; copies count once, so neither one id nor one text can fill or empty a sample
+    sizes = rows.groupBy("_lang").agg(F.greatest(F.lit(1), F.approx_count_distinct("_order")).alias("_n")).collect()
     if not sizes:
         return None
     quota = max(QUOTA, sample_docs // len(sizes))
@@ -253,8 +255,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     some = rows.join(F.broadcast(cuts), F.col("_lang") == F.col("_of")).where(F.pmod("_order", F.lit(1 << 30)) < F.col("_cut"))
     step = F.greatest(F.length("_text") - PIECE, F.lit(0)) + 1
     pieces = F.array(*(F.substring(F.col("_text"), (F.pmod(F.xxhash64("_order", F.lit(k)), step) + 1).cast("int"), F.lit(PIECE)) for k in range(PIECES)))
-    first = Window.partitionBy("_lang").orderBy("_order", "_pieces")
-    chosen = some.select("_lang", "_order", pieces.alias("_pieces")).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= quota)
+    once = some.groupBy("_lang", "_order").agg(F.min(pieces).alias("_pieces"))
+    chosen = once.withColumn("_nth", F.row_number().over(Window.partitionBy("_lang").orderBy("_order"))).where(F.col("_nth") <= quota)
     sample = sorted(((r["_lang"], r["_order"], r["_pieces"]) for r in chosen.select("_lang", "_order", "_pieces").collect()), key=lambda r: (r[1], r[0], r[2]))
     return train([(piece, name) for name, _, found in sample for piece in found], **options)
 

@@ -3,6 +3,7 @@
 import os
 import random
 import sys
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,25 @@ def test_rare_languages_are_learned(spark):
     assert all(found[i] == lang for i, _, lang in rows)
 
 
+def test_repeated_ids_and_texts_leave_no_language_out(spark):
+    """One id for all rows, none at all, a few ids for most rows, one text for a language: each text gets the language it has."""
+    rng = random.Random(5)
+    def words(letters, n=30):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    few = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:4]  # ids that are not held out
+    tables = [
+        [(few[0], words("xyzuvw"), "b") for _ in range(600)], [(None, words("xyzuvw"), "b") for _ in range(600)],
+        [(few[i % 4], words("xyzuvw"), "b") for i in range(2400)], [(few[1], "xyz wuv zzy xuw vxy", "b") for _ in range(2400)] + [(few[1], "...", "c")] * 50,
+    ]
+    for k, table in enumerate(tables):
+        rows = [(100 + i, words("abcdefgh"), "a") for i in range(600 if k else 0)] + table
+        net = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert net.langs == (["a", "b"] if k else ["b"])
+        texts = [t for _, t, lang in rows if lang != "c"]
+        right = [a == lang for a, (_, _, lang) in zip(lid.predict(net, pa.array(texts))[0], rows, strict=False)]
+        assert sum(right) >= 0.99 * len(right) and all(right[-500:])
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, lang string, _row string, _text string, lang_pred string, score double, _order int"
     none = spark.createDataFrame([], schema)
