@@ -3,14 +3,15 @@
 Base spans (email, ip, card, phone) are regular expressions with checks; they always stay. High-recall
 generators, several for each kind and for secrets (tokens, keys, passwords), propose further spans, which overlap each
 other. Boosted trees score each proposal from its format and context. A proposal is a redaction if its calibrated probability reaches
-its kind's threshold and no base span overlaps it; where proposals overlap, the more probable one is taken, the earlier one on a tie.
+its kind's threshold, no base span overlaps it, and none overlaps it that is more probable (on a tie: earlier) and a redaction itself.
 
 The trees are fitted in numpy on FITTED examples that a seeded generator writes (no corpus
 text is read for it), Platt-calibrated on a second set, and become one CASE expression. Nothing but
 DataFrame functions runs on the documents. Offsets are code points, ends exclusive.
 
 Null text counts as empty, and empty texts have no spans. Texts of any length are scanned whole; each pattern starts only where a
-run of its characters starts, so a long run costs its length, not its square. Repeated rows are judged alike, each on its own. An
+run of its characters starts, so a long run costs its length, not its square, and values of any length are proposed; only the spans of
+one chain of overlaps cost their square. Repeated rows are judged alike, each on its own. An
 empty table gives an empty result. Columns beside those that are named are kept by redacted, whatever their names, and not read elsewhere.
 """
 
@@ -54,15 +55,15 @@ MORE = {
         ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
         ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])", "::"),
     ),
-    _NAMED: (("secret", rf"(?<![A-Za-z0-9_+/-])(?<=(?i:{_NAME})[\"']?\x20{{0,3}}(?:=|:|=>|:=|\x20is)\x20{{0,3}}[\"']?)[A-Za-z0-9_+/-][A-Za-z0-9_+/.=-]{{7,255}}", None),),
+    _NAMED: (("secret", rf"(?<![A-Za-z0-9_+/-])(?<=(?i:{_NAME})[\"']?\x20{{0,3}}(?:=|:|=>|:=|\x20is)\x20{{0,3}}[\"']?)[A-Za-z0-9_+/-][A-Za-z0-9_+/.=-]{{7,}}+", None),),
     "[0-9]": (
         ("card", r"(?<![0-9A-Za-z])[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{1,7}(?![0-9A-Za-z])", r"[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-]"),
         ("card", r"(?<![0-9A-Za-z])[0-9]{4}[\x20./_-][0-9]{6}[\x20./_-][0-9]{5}(?![0-9A-Za-z])", r"[0-9]{4}[\x20./_-][0-9]{6}[\x20./_-]"),
         ("phone", r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])", r"[0-9][)\x20.-]\x20?[0-9]{3,4}[\x20.-][0-9]{3}"),
         ("phone", r"(?<![0-9A-Za-z+.])0[0-9](?:[\x20.-][0-9]{2}){4}(?![0-9A-Za-z])", r"[0-9]{2}[\x20.-][0-9]{2}[\x20.-][0-9]{2}"),
-        ("secret", r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,127}[0-9])[0-9A-Fa-f]{16,128}(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16}"),
-        ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,255}[0-9])(?=[0-9_-]{0,255}[A-Za-z])[A-Za-z0-9_-]{20,255}(?![A-Za-z0-9_-])", "[A-Za-z_-][0-9]|[0-9][A-Za-z_-]"),
-        ("secret", r"(?<![A-Za-z0-9_-])(?:sk|pk|rk|ghp|gho|glpat|xox[abp]|AKIA|AIza|hf)(?=[A-Za-z_-]{0,255}[0-9])[_-]?[A-Za-z0-9_-]{14,255}(?![A-Za-z0-9_-])", r"(?<![A-Za-z0-9_-])(?:[spr]k|gh[po]|glpat|xox|AKIA|AIza|hf)[A-Za-z0-9_-]{14}"),
+        ("secret", r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16}"),
+        ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+", "[A-Za-z_-][0-9]|[0-9][A-Za-z_-]"),
+        ("secret", r"(?<![A-Za-z0-9_-])(?:sk|pk|rk|ghp|gho|glpat|xox[abp]|AKIA|AIza|hf)(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{14,}+", r"(?<![A-Za-z0-9_-])(?:[spr]k|gh[po]|glpat|xox|AKIA|AIza|hf)[A-Za-z0-9_-]{14}"),
     ),
 }
 #: Words before a value that speak for its kind.
@@ -275,27 +276,45 @@ def proposals(text: Column) -> Column:
     return F.concat(*(F.when(text.rlike(guard), F.concat(*(of(*x) for x in several))).otherwise(none) for guard, several in MORE.items()))
 
 
+def chains(found: Column, settle, kind: str, out: str) -> Column:
+    """settle(chain, end) of each chain of overlapping spans, joined: found is an array of `kind` (start, end, ...) by start, a chain the array of its
+    spans, end where the last of them ends, and what settle gives an array of `out`. Results are gathered in blocks, so n chains cost in proportion to n."""
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<{out}>")
+    start = F.struct(F.lit(0).alias("end"), none.alias("chain"), nothing.alias("out"), F.array().cast(f"array<array<{out}>>").alias("blocks"))
+    settled = lambda acc: F.when(F.size(acc["chain"]) > 0, F.concat(acc["out"], settle(acc["chain"], acc["end"]))).otherwise(acc["out"])
+
+    def step(acc: Column, s: Column) -> Column:
+        longer = F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.array_append(acc["chain"], s).alias("chain"), acc["out"].alias("out"), acc["blocks"].alias("blocks"))
+        fresh = lambda done, blocks: F.struct(s["end"].alias("end"), F.array(s).alias("chain"), done.alias("out"), blocks.alias("blocks"))
+        block = F.when(F.size(acc["out"]) >= found_spans.BLOCK, fresh(nothing, F.array_append(acc["blocks"], settled(acc)))).otherwise(fresh(settled(acc), acc["blocks"]))
+        return F.when((F.size(acc["chain"]) > 0) & (s["start"] < acc["end"]), longer).otherwise(block)
+
+    return F.aggregate(found, start, step, lambda acc: F.flatten(F.array_append(acc["blocks"], settled(acc))))
+
+
 def selected(base: Column, proposed: Column) -> Column:
     """The proposals that are redactions, by start: array<_SPAN>.
 
-    One pass in order of start over base spans and proposals that reach their threshold: one that overlaps the last span taken replaces it if it is
-    more probable (base spans are certain), and else is dropped.
+    Of the proposals that reach their threshold, the most probable one is taken first, then each that overlaps no base span and nothing taken
+    before. Only spans of one chain of overlaps are held against each other.
     """
     cuts = F.create_map(*(F.lit(x) for kind, cut in model()[3].items() for x in (kind, cut)))
-    scored = F.transform(proposed, lambda c: F.struct(c["span"]["start"].alias("start"), score(c["f"]).alias("p"), c["span"].alias("span")))
-    kept = F.filter(scored, lambda c: c["p"] >= F.element_at(cuts, c["span"]["kind"]))
-    sure = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(2.0).alias("p"), s.alias("span")))
+    kind = f"struct<start:int,p:double,end:int,span:{_SPAN}>"
+    rated = lambda p, span: F.struct(span["start"].alias("start"), p.alias("p"), span["end"].alias("end"), span.alias("span"))
+    kept = F.filter(F.transform(proposed, lambda c: rated(score(c["f"]), c["span"])), lambda c: c["p"] >= F.element_at(cuts, c["span"]["kind"]))
+    sure = F.transform(base, lambda s: rated(F.lit(2.0), s))
     empty = F.array().cast(f"array<{_SPAN}>")
-    start = F.struct(F.lit(None).cast(f"struct<start:int,p:double,span:{_SPAN}>").alias("last"), empty.alias("out"))
-    settle = lambda last, out: F.when(last.isNotNull() & (last["p"] <= 1), F.array_append(out, last["span"])).otherwise(out)
 
-    def step(acc: Column, c: Column) -> Column:
-        last = acc["last"]
-        over = last.isNotNull() & (c["start"] < last["span"]["end"])
-        moved = F.struct(c.alias("last"), settle(last, acc["out"]).alias("out"))
-        return F.when(~over, moved).when(c["p"] > last["p"], F.struct(c.alias("last"), acc["out"].alias("out"))).otherwise(acc)
+    def best(chain: Column, end: Column) -> Column:
+        ranked = F.array_sort(F.transform(chain, lambda c: F.struct((-c["p"]).alias("by"), c["start"].alias("start"), c["span"].alias("span"))))
+        apart = lambda taken, c: ~F.exists(taken, lambda t: (t["start"] < c["span"]["end"]) & (c["start"] < t["end"]))
+        # base spans come first and all stay, also those that overlap
+        taken = F.aggregate(ranked, empty, lambda acc, c: F.when((c["by"] < -1) | apart(acc, c), F.array_append(acc, c["span"])).otherwise(acc))
+        firm = F.transform(F.filter(ranked, lambda c: c["by"] < -1), lambda c: c["span"])
+        several = F.array_sort(F.slice(taken, F.size(firm) + 1, F.size(taken)))
+        return F.when(F.size(chain) > 1, several).when(chain[0]["p"] > 1, empty).otherwise(F.array(chain[0]["span"]))
 
-    some = lambda k: F.when(F.size(k) > 0, F.aggregate(F.array_sort(F.concat(k, sure)), start, step, lambda acc: settle(acc["last"], acc["out"]))).otherwise(empty)
+    some = lambda k: F.when(F.size(k) > 0, chains(F.array_sort(F.concat(k, sure)).cast(f"array<{kind}>"), best, kind, _SPAN)).otherwise(empty)
     return F.when(F.size(proposed) > 0, found_spans.bind(kept, some)).otherwise(empty)
 
 
@@ -312,24 +331,30 @@ def _joined(spans_: Column) -> Column:
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added (spans of the trees), n_proposed (by all generators)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added (spans of the trees)."""
     rows = with_spans(docs, F.col(text), [F.col(doc_id).alias("doc_id")])
     counts = [F.size(F.filter("_base", (lambda k: lambda x: x["kind"] == k)(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     every = F.array_sort(F.concat("_base", "_more"))
-    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("_more").cast("long").alias("n_added"), F.size("_proposed").cast("long").alias("n_proposed"))
+    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(every).alias("spans"), F.size("_more").cast("long").alias("n_added"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `text` rewritten: each stretch of overlapping spans becomes <KIND> of the first of them. Null text stays null; other columns stay, whatever their names."""
     rows = with_spans(docs, F.col(text), [F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")])
-    rows = rows.withColumn("_all", F.array_sort(F.concat("_base", "_more")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = lambda a, b: F.substr(F.col("_text"), a + 1, b - a)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], cut(acc["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    rest = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1)))
-    rows = rows.withColumn("_new", F.when(F.size("_all") > 0, rest).otherwise(F.col("_text")))
+    stretch = "struct<start:int,end:int,kind:string>"
+    merged = lambda chain, end: F.array(F.struct(chain[0]["start"].alias("start"), end.alias("end"), chain[0]["kind"].alias("kind")))
+    rows = rows.withColumn("_all", chains(F.array_sort(F.concat("_base", "_more")), merged, _SPAN, stretch))
+    size, all_ = found_spans.BLOCK, F.col("_all")
+    end_of = lambda k: F.when(k > 0, all_[F.greatest(k - 1, F.lit(0))]["end"]).otherwise(0)  # noqa: E731  where the text before stretch k ends
+
+    def block(b: Column) -> Column:
+        """The text from the end of the block before to the end of this one; cut from the text once, and then in itself."""
+        first, last = b * size, F.least((b + 1) * size, F.size(all_))
+        at = end_of(first)
+        inner = lambda part: F.array_join(F.transform(F.sequence(first, last - 1), lambda k: F.concat(F.substr(part, end_of(k) - at + 1, all_[k]["start"] - end_of(k)), F.lit("<"), F.upper(all_[k]["kind"]), F.lit(">"))), "")
+        return found_spans.bind(F.substr(F.col("_text"), at + 1, end_of(last) - at), inner)
+
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / size).cast("int")), block)
+    new = F.concat(F.array_join(blocks, ""), F.substr(F.col("_text"), end_of(F.size(all_)) + 1))
+    rows = rows.withColumn("_new", F.when(F.size(all_) > 0, new).otherwise(F.col("_text")))
     return rows.select(*(F.col("_new").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))

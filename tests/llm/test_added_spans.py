@@ -30,7 +30,7 @@ def assigned(text):
     name = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|credential|bearer)"
     before = re.compile(rf"(?i:{name})[\"']?\x20{{0,3}}(?:=|:|=>|:=|\x20is)\x20{{0,3}}[\"']?$")
     at = 0
-    while m := re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-][A-Za-z0-9_+/.=-]{7,255}").search(text, at):
+    while m := re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-][A-Za-z0-9_+/.=-]{7,}").search(text, at):
         if before.search(text[max(0, m.start() - 40) : m.start()]):
             yield m.start(), m.end()
             at = m.end()
@@ -39,23 +39,59 @@ def assigned(text):
 
 
 def twin(text):
-    """Spans that are added: score every proposal in Python and sweep once from left to right."""
+    """Spans that are added: score every proposal in Python and take the most probable first."""
     cuts, found = pii_boost.model()[3], []
     for kind, pattern, _ in PATTERNS:
         places = assigned(text) if "(?<=(?i:" in pattern else ((m.start(), m.end()) for m in re.finditer(pattern, text))
         for a, b in places:
             p = pii_boost.probability(pii_boost.features(kind, text[a:b], text[max(0, a - pii_boost.WIDTH) : a]))
             if p >= cuts[kind]:
-                found.append((a, p, pii_boost.ALL_KINDS.index(kind), b, kind))
-    found = sorted(found + [(a, 2.0, pii_boost.KINDS.index(kind), b, kind) for a, b, kind in base_of(text)])
-    kept = []
-    for s in found:
-        if kept and s[0] < kept[-1][3]:
-            if s[1] > kept[-1][1]:
-                kept[-1] = s
-        else:
-            kept.append(s)
-    return sorted(f"{kind}:{a}:{b}" for a, p, _, b, kind in kept if p <= 1)
+                found.append((-round(p, 12), a, pii_boost.ALL_KINDS.index(kind), b, kind))
+    base = [(a, b) for a, b, _ in base_of(text)]
+    return sorted(f"{kind}:{a}:{b}" for a, b, kind in best_first(base, [(p, a, b, kind) for p, a, _, b, kind in sorted(found)]))
+
+
+def best_first(base, ranked):
+    """Of (-p, start, end, kind) in order, what overlaps neither base nor anything taken before."""
+    taken = []
+    for _, a, b, kind in ranked:
+        if not any(a < y and x < b for x, y in base + [t[:2] for t in taken]):
+            taken.append((a, b, kind))
+    return taken
+
+
+def selected_of(spark, base, proposed, monkeypatch):
+    """selected() with the probabilities given: of each proposal (start, end, p) its only feature is p."""
+    monkeypatch.setattr(pii_boost, "score", lambda f: f[0])
+    span = lambda a, b, kind, rank: f"named_struct('start', {a}, 'rank', {rank}, 'end', {b}, 'kind', '{kind}', 'value', 'x')"
+    columns = [f"array({', '.join(span(a, b, 'email', 0) for a, b in base)})", f"array({', '.join(f'named_struct({chr(39)}span{chr(39)}, {span(a, b, chr(115) + chr(101) + chr(99) + chr(114) + chr(101) + chr(116), 4)}, {chr(39)}f{chr(39)}, array(cast({p} as double)))' for a, b, p in proposed)})"]
+    kinds = [f"array<{pii_boost._SPAN}>", f"array<struct<span:{pii_boost._SPAN},f:array<double>>>"]
+    row = spark.range(1).select(*(F.expr(c).cast(k).alias(n) for c, k, n in zip(columns, kinds, "bp", strict=True)))
+    return [(s["start"], s["end"]) for s in row.select(pii_boost.selected(F.col("b"), F.col("p")).alias("s")).first()["s"]]
+
+
+def test_chains_lose_nothing_that_only_a_dropped_span_overlaps(spark, monkeypatch):
+    assert selected_of(spark, [], [(0, 10, 0.95), (8, 30, 0.97), (28, 40, 0.99)], monkeypatch) == [(0, 10), (28, 40)]
+    assert selected_of(spark, [(28, 40)], [(0, 10, 0.95), (8, 30, 0.97)], monkeypatch) == [(0, 10)]
+    assert selected_of(spark, [(5, 20), (15, 30)], [(0, 6, 0.99), (25, 40, 0.98), (38, 50, 0.97), (50, 60, 0.96)], monkeypatch) == [(38, 50), (50, 60)]
+    assert selected_of(spark, [], [(0, 10, 0.99), (5, 15, 0.99), (14, 20, 0.99)], monkeypatch) == [(0, 10), (14, 20)]
+    rng = random.Random(3)
+    for _ in range(6):
+        at = [rng.randrange(0, 120) for _ in range(25)]
+        proposed = [(a, a + rng.randrange(1, 15), round(rng.uniform(0.9, 1), 3)) for a in at]
+        base = [(a, a + rng.randrange(1, 8)) for a in (rng.randrange(0, 120) for _ in range(rng.randrange(0, 4)))]
+        want = best_first(base, [(-p, a, b, "secret") for p, a, b in sorted(((p, a, b) for a, b, p in proposed), key=lambda x: (-x[0], x[1], x[2]))])
+        assert selected_of(spark, base, proposed, monkeypatch) == sorted(t[:2] for t in want)
+
+
+def test_long_values_and_very_many(spark):
+    h = "0123456789abcdef"
+    texts = [f'token = "{h * 40}" end', f"token = {'aB3' * 200}", "x " + "A1b2c3d4e5f6g7h8i9j0k " * 4000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii_boost.report(docs).collect()}
+    assert got[0]["spans"] == f"secret:9:{9 + 640}" and got[1]["spans"] == f"secret:8:{8 + 600}" and got[2]["n_added"] == 4000
+    red = {r["doc_id"]: r["text"] for r in pii_boost.redacted(docs).collect()}
+    assert red[0] == 'token = "<SECRET>" end' and red[2] == "x " + "<SECRET> " * 4000
 
 
 def made(rng):
