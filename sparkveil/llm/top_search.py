@@ -204,7 +204,8 @@ def top(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
     best, used = best_classes(of, dims, longest, k + 1, lists, depth)  # one may be the query itself
     # k + 1 classes and as many rows of each hold the k best rows besides the query's own
     by_score: list[Column] = [F.desc("_total"), F.asc_nulls_last(F.col("_members")[0]), F.asc("_class")]
-    first = best.join(of.select("_class", "_members"), "_class").withColumn("_nth", F.row_number().over(Window.partitionBy("_query").orderBy(*by_score))).where(F.col("_nth") <= k + 1)
+    high = best.withColumn("_nth", F.rank().over(Window.partitionBy("_query").orderBy(F.desc("_total")))).where(F.col("_nth") <= k + 1).drop("_nth")  # and ties
+    first = high.join(of.select("_class", "_members"), "_class").withColumn("_nth", F.row_number().over(Window.partitionBy("_query").orderBy(*by_score))).where(F.col("_nth") <= k + 1)
     last = F.row_number().over(Window.partitionBy("_query").orderBy(F.desc("_total"), F.asc_nulls_last("_member"), F.asc("_class")))
     found = first.select("_query", "_class", "_total", F.explode("_members").alias("_member")).withColumn("_nth", last).where(F.col("_nth") <= k + 1)
     lists_of = saved_at(found.groupBy("_query").agg(F.array_sort(F.collect_list(F.struct("_nth", "_class", "_member", "_total"))).alias("_best")), best_at)
