@@ -5,7 +5,7 @@ u uniform in (0, 1] drawn from the key and b. Its shard is the last jump below t
 so shard n + 1 takes 1 / (n + 1) of the keys and no key moves between older shards. Draws come
 from xxhash64(key, b), which Spark has as a native expression.
 
-A null key is a key like any other. Null text has size 16 and CRC 0. Rows repeated with the same
+An empty table gives an empty result, and columns beside key and text are not read. A null key is a key like any other. Null text has size 16 and CRC 0. Rows repeated with the same
 id and text share a shard and get different slots.
 """
 
@@ -38,5 +38,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: st
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, key: str = "doc_id") -> None:
-    """Write the rows with all their columns as Parquet folders _shard=0 .. _shard=n-1."""
-    docs.withColumn("_shard", jump(F.col(key), shards)).write.partitionBy("_shard").parquet(path)
+    """Write the rows with all their columns as Parquet folders shard=0 .. shard=n-1; a column of that name is written beside, the folder has as many underscores more as it takes."""
+    folder = "shard"
+    while folder in docs.columns:
+        folder = f"_{folder}"
+    docs.withColumn(folder, jump(F.col(key), shards)).write.partitionBy(folder).parquet(path)
