@@ -70,6 +70,51 @@ def matches(text: Column, kind: str, value: str, before: str = "") -> Column:
     return odd_parts(parts(text, value, before), span, TYPE)
 
 
+def chains(found: Column, settle, kind: str, out: str) -> Column:
+    """What settle(chain) makes of each chain of overlapping spans, joined: found is an array of `kind` (with start and end) by start, a chain the array of its spans, and settle gives an array of `out`.
+
+    Spans are folded in blocks, as in odd_parts; the chain that is open at a block's end goes on in the next.
+    """
+    nothing, none_open = F.array().cast(f"array<{out}>"), F.array().cast(f"array<{kind}>")
+    settled = lambda acc: F.when(F.size(acc["chain"]) > 0, F.concat(acc["out"], settle(acc["chain"]))).otherwise(acc["out"])
+
+    def inside_block(end: Column, chain: Column, block: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            longer = F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.array_append(acc["chain"], s).alias("chain"), acc["out"].alias("out"))
+            return F.when((F.size(acc["chain"]) > 0) & (s["start"] < acc["end"]), longer).otherwise(F.struct(s["end"].alias("end"), F.array(s).alias("chain"), settled(acc).alias("out")))
+        return F.aggregate(block, F.struct(end.alias("end"), chain.alias("chain"), nothing.alias("out")), step)
+
+    def over_blocks(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, BLOCK))
+        start = F.struct(F.lit(0).alias("end"), none_open.alias("chain"), F.array().cast(f"array<array<{out}>>").alias("out"))
+        step = lambda acc, block: bind(inside_block(acc["end"], acc["chain"], block), lambda r: F.struct(r["end"].alias("end"), r["chain"].alias("chain"), F.array_append(acc["out"], r["out"]).alias("out")))
+        last = lambda acc: F.flatten(F.array_append(acc["out"], F.when(F.size(acc["chain"]) > 0, settle(acc["chain"])).otherwise(nothing)))
+        return F.aggregate(blocks, start, step, last)
+
+    short = lambda p: F.when(F.size(p) <= BLOCK, bind(inside_block(F.lit(0), none_open, p), settled)).otherwise(over_blocks(p))
+    return bind(found, short)
+
+
+#: Spans with the place of the rule that proposes them.
+RANKED = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+
+
+def ranked(spans: Column, rank: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+
+
+def by_rank(proposed: Column) -> Column:
+    """Of an array of RANKED, by start: those that overlap none of a lower rank, or of the same rank and further left, that is kept. Only spans of one chain of overlaps are held against each other."""
+    kind = f"array<{RANKED}>"
+
+    def settle(chain: Column) -> Column:
+        order = F.array_sort(F.transform(chain, lambda s: F.struct(s["rank"].alias("by"), s["start"].alias("start"), s["end"].alias("end"), s.alias("span"))))
+        kept = F.aggregate(order, F.array().cast(kind), lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.array_append(acc, s["span"])))
+        return F.when(F.size(chain) == 1, chain).otherwise(F.array_sort(kept))
+
+    return bind(proposed, lambda p: F.when(F.size(p) > 1, chains(F.array_sort(p), settle, RANKED, RANKED)).otherwise(p))
+
+
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 

@@ -28,24 +28,29 @@ def of_rule(text: Column, rule: rules.Rule, has_digit: Column | None = None) ->
     return F.when(guard, kept).otherwise(spans.none())
 
 
-def with_spans(df: DataFrame, text: str = "text", out: str = "spans", kinds: list[str] | None = None, addresses: bool = True) -> DataFrame:
-    """df with `out`, the spans of all rules by start. Rules go by priority: a span that overlaps one of an earlier rule is dropped.
+#: The rank of addresses, which come after all rules.
+ADDRESS_RANK = 1_000
 
-    Rules whose kind is not wanted are not in the plan at all. All rules propose their spans in
-    order of priority, and one fold keeps those that overlap none kept before. Only addresses need
-    Python, and only texts with a postal code reach it.
+
+def with_spans(df: DataFrame, text: str = "text", out: str = "spans", kinds: list[str] | None = None, addresses: bool = True, ranked: bool = False) -> DataFrame:
+    """df with `out`, the spans of all rules by start; with `ranked` each has the rank of its rule. Rules go by priority: a span that overlaps one of an earlier rule is dropped.
+
+    Rules whose kind is not wanted are not in the plan at all. All rules propose their spans, and only those of one chain of
+    overlaps are held against each other. Only addresses need Python, and only texts with a postal code reach it. All columns
+    of df are kept, whatever their names; one that is named `out` is replaced.
     """
-    body, names = F.col("_body"), df.columns
-    rows = df.withColumn("_body", spans.unmarked(F.col(text))).withColumn("_digit", body.rlike("[0-9]"))
-    wanted = [r for r in rules.RULES if kinds is None or r.kind in kinds]
-    found = [of_rule(body, r, F.col("_digit")) for r in wanted]
+    body, names = F.col("_body"), [c for c in df.columns if c != out]
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row") if names else F.struct(F.lit(0)).alias("_row"), spans.unmarked(F.col(text)).alias("_body"))
+    rows = rows.withColumn("_digit", body.rlike("[0-9]"))
+    wanted = [(n, r) for n, r in enumerate(rules.RULES) if kinds is None or r.kind in kinds]
+    found = [spans.ranked(of_rule(body, r, F.col("_digit")), n) for n, r in wanted]
     if addresses and (kinds is None or "ADDRESS" in kinds):
         rows = rows.withColumn("_addresses", address_spans(body))
-        found.append(F.col("_addresses"))
-    rows = rows.withColumn("_all", F.concat(*found) if found else spans.none())
-    first = F.aggregate("_all", spans.none(), lambda acc, s: F.when(F.exists(acc, lambda k: spans.overlap(k, s)), acc).otherwise(F.array_append(acc, s)))
-    found_spans = F.array_sort(F.when(F.size("_all") > 1, first).otherwise(F.col("_all")))
-    return rows.select(*(c for c in names if c != out), spans.computed_once(found_spans).alias(out))
+        found.append(spans.ranked(F.col("_addresses"), ADDRESS_RANK))
+    rows = rows.withColumn("_all", F.concat(*found) if found else F.array().cast(f"array<{spans.RANKED}>"))
+    kept = spans.by_rank(F.col("_all"))
+    shown = kept if ranked else F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in names), spans.computed_once(shown).alias(out))
 
 
 def link_spans(text: Column) -> Column:

@@ -51,6 +51,32 @@ def assign_tags(found: DataFrame, conv: str = "conv_id", order: tuple[str, ...]
     return numbered.select(conv, "kind", "norm", "raw", F.when(~F.col("blocked"), tag(F.col("kind"), F.col("_n"))).alias("tag"), "blocked")
 
 
+#: Where a find comes from, in the order in which they are taken: rules and addresses of a text, then a tagger's.
+DETECTED, TAGGED = 0, 1
+
+
+def assign_candidates(found: DataFrame, conv: str = "conv_id", call: str = "turn", visit: tuple[str, ...] = (), most: int | None = MAX_ENTRIES) -> DataFrame:
+    """found(conv, call, visit..., source, rank, start, kind, value) -> as assign_tags.
+
+    Within a call values of more words come first, so a full name is numbered before its parts; then a text's own finds before a tagger's, the
+    texts in the order of `visit`, the rules by rank (addresses last), and places from left to right. A value that was found before keeps the placeholder it
+    has, also if it is now found as another kind: such a kind is listed with the tag of the first, unless it has an entity of that norm itself.
+    """
+    words = F.size(F.filter(F.split("value", r"\s+"), lambda w: w != ""))
+    order = (call, "_few", "source", *visit, "rank", "start")
+    keyed = found.withColumn("_few", -words)
+    first = keyed.groupBy(conv, "value").agg(F.min_by("kind", F.struct(*order, "kind")).alias("_first"), F.collect_set("kind").alias("_kinds"))
+    several = first.where(F.size("_kinds") > 1)
+    as_first = keyed.join(first.select(F.col(conv).alias("_conv"), F.col("value").alias("_value"), "_first"), F.col(conv).eqNullSafe(F.col("_conv")) & (F.col("value") == F.col("_value"))).drop("_conv", "_value")
+    tags = assign_tags(as_first.withColumn("kind", F.col("_first")), conv, order, most)
+    alias = several.select(F.col(conv).alias("_conv"), "value", "_first", F.explode(F.array_remove("_kinds", F.col("_first"))).alias("_kind"))
+    named = alias.join(tags, F.col(conv).eqNullSafe(F.col("_conv")) & (F.col("kind") == F.col("_first")) & (F.col("norm") == scalars.normalize(F.col("_first"), F.col("value"))))
+    extra = named.select(conv, F.col("_kind").alias("kind"), scalars.normalize(F.col("_kind"), F.col("value")).alias("norm"), F.col("value").alias("raw"), "tag", "blocked")
+    extra = extra.groupBy(conv, "kind", "norm").agg(F.min_by("raw", "tag").alias("raw"), F.min("tag").alias("tag"), F.max("blocked").alias("blocked"))
+    own = tags.select(F.col(conv).alias("_conv"), F.col("kind").alias("_kind"), F.col("norm").alias("_norm"))
+    return tags.unionByName(extra.join(own, F.col(conv).eqNullSafe(F.col("_conv")) & (F.col("kind") == F.col("_kind")) & (F.col("norm") == F.col("_norm")), "left_anti"))
+
+
 def _limit_windows_to(spark: SparkSession, rows: int) -> None:
     """Let the optimizer limit windows of up to `rows` rows a group before their shuffle; a higher setting stays."""
     name = "spark.sql.optimizer.windowGroupLimitThreshold"

@@ -78,6 +78,18 @@ def replaced(text: Column, entries: list[tuple[str, str, bool]]) -> Column:
     return series_udf(scan, "string")(text)
 
 
+def found(text: Column, entries: list[tuple[str, str, bool]]) -> Column:
+    """Every occurrence in one scan, as array<struct<start, end, by, value>>; null for a null text."""
+    scanner: list[Scanner] = []
+
+    def scan(texts: pd.Series) -> pd.Series:
+        if not scanner:
+            scanner.append(Scanner(entries))
+        return pd.Series([[{"start": a, "end": b, "by": by, "value": t[a:b]} for a, b, by in scanner[0].find(t)] if isinstance(t, str) else None for t in texts], dtype=object)
+
+    return series_udf(scan, "array<struct<start:int,end:int,by:string,value:string>>")(text)
+
+
 def folded(text: str) -> str:
     """text so that two texts that differ only in the case of ASCII letters become one."""
     return text.lower().replace("ς", "σ")
