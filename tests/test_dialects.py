@@ -32,8 +32,9 @@ def text_of(stream):
     for part in stream.split("\n\n"):
         data = [x[6:] for x in part.split("\n") if x.startswith("data: {")]
         for body in map(json.loads, data):
-            for key, holder, name, _ in dialects.fields_of(body):
-                out[key] = out.get(key, "") + holder[name]
+            dialect = dialects.dialect_of(body)
+            for spot in dialect.texts(body) if dialect else ():
+                out[*spot.part, *spot.key] = out.get((*spot.part, *spot.key), "") + spot.holder[spot.name]
     return out
 
 
@@ -51,15 +52,15 @@ def run(stream, size, state=False):
 def test_any_cut_gives_the_whole(pieces, size, state):
     whole = Names(MAPPING, {"<SECRET:m>": "K"})
     streams = {
-        "c0:content": "".join(map(chat, pieces)) + chat(fin="stop") + "data: [DONE]\n\n",
-        "a2:text": "".join(event({"type": "content_block_delta", "index": 2, "delta": {"type": "text_delta", "text": p}}, "content_block_delta") for p in pieces) + event({"type": "content_block_stop", "index": 2}),
-        "ri:0::response.output_text": "".join(event({"type": "response.output_text.delta", "item_id": "i", "output_index": 0, "delta": p}) for p in pieces) + event({"type": "response.output_text.done", "item_id": "i", "output_index": 0}),
+        ("choice", 0, "content", 0): "".join(map(chat, pieces)) + chat(fin="stop") + "data: [DONE]\n\n",
+        ("block", "2", "text"): "".join(event({"type": "content_block_delta", "index": 2, "delta": {"type": "text_delta", "text": p}}, "content_block_delta") for p in pieces) + event({"type": "content_block_stop", "index": 2}),
+        ("item", "response.output_text", '"i"', "0", "null", "delta"): "".join(event({"type": "response.output_text.delta", "item_id": "i", "output_index": 0, "delta": p}) for p in pieces) + event({"type": "response.output_text.done", "item_id": "i", "output_index": 0}),
     }
     for key, stream in streams.items():
         assert text_of(run(stream, size, state)).get(key, "") == whole.restore("".join(pieces))
     tool = "".join(chat(tool=p) for p in pieces) + chat(fin="tool_calls")
     plain = dialects._ANGLE.sub(lambda m: m[1] + ("<" if m[2] in "cC" else ">"), "".join(pieces))
-    assert text_of(run(tool, size, state)).get("c0:t0", "") == whole.restore(plain, escape=True, names=False, tool=True)
+    assert text_of(run(tool, size, state)).get(("choice", 0, "arguments", 0, 0), "") == whole.restore(plain, escape=True, names=False, tool=True)
 
 
 def test_what_is_no_event_passes():
@@ -72,7 +73,7 @@ def test_what_is_no_event_passes():
 
 def test_flushed_text_precedes_the_end():
     out = run(chat("a <CARD_A") + chat("", fin="stop") + chat("b <X", index=1) + "data: [DONE]\n\n", 1000)
-    assert out.index("<X") < out.index("[DONE]") and text_of(out) == {"c0:content": "a <CARD_A", "c1:content": "b <X"}
+    assert out.index("<X") < out.index("[DONE]") and text_of(out) == {("choice", 0, "content", 0): "a <CARD_A", ("choice", 1, "content", 1): "b <X"}
 
 
 def test_order(spark):
@@ -105,7 +106,7 @@ def test_shuffled_chunks_over_two_batches(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = "".join(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect())
-    assert text_of(got) == {"c0:content": Names(MAPPING).restore(text)}
+    assert text_of(got) == {("choice", 0, "content", 0): Names(MAPPING).restore(text)}
 
 
 def test_masked_bodies(spark):
