@@ -276,22 +276,6 @@ def proposals(text: Column) -> Column:
     return F.concat(*(F.when(text.rlike(guard), F.concat(*(of(*x) for x in several))).otherwise(none) for guard, several in MORE.items()))
 
 
-def chains(found: Column, settle, kind: str, out: str) -> Column:
-    """settle(chain, end) of each chain of overlapping spans, joined: found is an array of `kind` (start, end, ...) by start, a chain the array of its
-    spans, end where the last of them ends, and what settle gives an array of `out`. Results are gathered in blocks, so n chains cost in proportion to n."""
-    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<{out}>")
-    start = F.struct(F.lit(0).alias("end"), none.alias("chain"), nothing.alias("out"), F.array().cast(f"array<array<{out}>>").alias("blocks"))
-    settled = lambda acc: F.when(F.size(acc["chain"]) > 0, F.concat(acc["out"], settle(acc["chain"], acc["end"]))).otherwise(acc["out"])
-
-    def step(acc: Column, s: Column) -> Column:
-        longer = F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.array_append(acc["chain"], s).alias("chain"), acc["out"].alias("out"), acc["blocks"].alias("blocks"))
-        fresh = lambda done, blocks: F.struct(s["end"].alias("end"), F.array(s).alias("chain"), done.alias("out"), blocks.alias("blocks"))
-        block = F.when(F.size(acc["out"]) >= found_spans.BLOCK, fresh(nothing, F.array_append(acc["blocks"], settled(acc)))).otherwise(fresh(settled(acc), acc["blocks"]))
-        return F.when((F.size(acc["chain"]) > 0) & (s["start"] < acc["end"]), longer).otherwise(block)
-
-    return F.aggregate(found, start, step, lambda acc: F.flatten(F.array_append(acc["blocks"], settled(acc))))
-
-
 def selected(base: Column, proposed: Column) -> Column:
     """The proposals that are redactions, by start: array<_SPAN>.
 
@@ -305,7 +289,7 @@ def selected(base: Column, proposed: Column) -> Column:
     sure = F.transform(base, lambda s: rated(F.lit(2.0), s))
     empty = F.array().cast(f"array<{_SPAN}>")
 
-    def best(chain: Column, end: Column) -> Column:
+    def best(chain: Column) -> Column:
         ranked = F.array_sort(F.transform(chain, lambda c: F.struct((-c["p"]).alias("by"), c["start"].alias("start"), c["span"].alias("span"))))
         apart = lambda taken, c: ~F.exists(taken, lambda t: (t["start"] < c["span"]["end"]) & (c["start"] < t["end"]))
         # base spans come first and all stay, also those that overlap
@@ -314,7 +298,7 @@ def selected(base: Column, proposed: Column) -> Column:
         several = F.array_sort(F.slice(taken, F.size(firm) + 1, F.size(taken)))
         return F.when(F.size(chain) > 1, several).when(chain[0]["p"] > 1, empty).otherwise(F.array(chain[0]["span"]))
 
-    some = lambda k: F.when(F.size(k) > 0, chains(F.array_sort(F.concat(k, sure)).cast(f"array<{kind}>"), best, kind, _SPAN)).otherwise(empty)
+    some = lambda k: F.when(F.size(k) > 0, found_spans.chains(F.array_sort(F.concat(k, sure)).cast(f"array<{kind}>"), best, kind, _SPAN)).otherwise(empty)
     return F.when(F.size(proposed) > 0, found_spans.bind(kept, some)).otherwise(empty)
 
 
@@ -342,8 +326,9 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `text` rewritten: each stretch of overlapping spans becomes <KIND> of the first of them. Null text stays null; other columns stay, whatever their names."""
     rows = with_spans(docs, F.col(text), [F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")])
     stretch = "struct<start:int,end:int,kind:string>"
-    merged = lambda chain, end: F.array(F.struct(chain[0]["start"].alias("start"), end.alias("end"), chain[0]["kind"].alias("kind")))
-    rows = rows.withColumn("_all", chains(F.array_sort(F.concat("_base", "_more")), merged, _SPAN, stretch))
+    end = lambda chain: F.array_max(F.transform(chain, lambda s: s["end"]))
+    merged = lambda chain: F.array(F.struct(chain[0]["start"].alias("start"), end(chain).alias("end"), chain[0]["kind"].alias("kind")))
+    rows = rows.withColumn("_all", found_spans.chains(F.array_sort(F.concat("_base", "_more")), merged, _SPAN, stretch))
     size, all_ = found_spans.BLOCK, F.col("_all")
     end_of = lambda k: F.when(k > 0, all_[F.greatest(k - 1, F.lit(0))]["end"]).otherwise(0)  # noqa: E731  where the text before stretch k ends
 
