@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import rules, spans
 from .operators import conversation, mask, scripts, surrogate
+from .plans import asof
 from .queries import _conversation_values, _rule, _values_sql, query, table
 from .sources.scratch import shared_dir
 from .streaming import numbering
@@ -115,3 +116,17 @@ def mask_tags_stream(spark, sf_dir):
     finally:
         spark.conf.set(name, before)
     return spark.read.schema(out.schema).parquet(f"{root}/out").select("conv_id", "turn", "value", "tag")
+
+
+# ---- pins in force ----------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS who FROM events), p AS (SELECT * FROM e WHERE event_id % 10 = 0),
+j AS (SELECT e.event_id, e.ts, p.event_id AS pin, p.ts AS since FROM (SELECT * FROM e WHERE event_id % 10 <> 0) e ASOF LEFT JOIN p ON e.who = p.who AND e.ts >= p.ts)
+SELECT event_id, CASE WHEN epoch_us(ts) - epoch_us(since) <= 21600 * 1000000::BIGINT THEN pin END AS pin FROM j""")
+def pin_in_force(spark, sf_dir):
+    """Every tenth event sets a pin for six hours; the others have the one in force. A third of all events belong to one user."""
+    events = table(spark, sf_dir, "events").withColumn("who", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("long"))
+    pins = events.where(F.col("event_id") % 10 == 0)
+    rest = events.where(F.col("event_id") % 10 != 0).select("event_id", "who", "ts")
+    return asof.in_force(rest, pins, "who", "ts", F.col("event_id"), "pin", valid=21_600).select("event_id", "pin")

@@ -402,9 +402,10 @@ def stream_gaps(spark, sf_dir):
 @query("""WITH w AS (SELECT DISTINCT lang, lower(unnest(regexp_split_to_array(text, '[^A-Za-zÀ-ÿ]+'))) AS word FROM documents), x AS (SELECT lang, word FROM w WHERE word <> '')
 SELECT word FROM x WHERE lang = 'en' INTERSECT SELECT word FROM x WHERE lang = 'fr' EXCEPT SELECT word FROM x WHERE lang = 'de'""")
 def word_list_ops(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "[^A-Za-zÀ-ÿ]+")).alias("w")).select("lang", F.lower("w").alias("word")).where("word <> ''")
-    of = lambda lang: words.where(F.col("lang") == lang).select("word")
-    return of("en").intersect(of("fr")).subtract(of("de"))
+    """One aggregation over all words: in which languages each occurs."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.transform(F.split("text", "[^A-Za-zÀ-ÿ]+"), F.lower))).alias("word")).where("word <> ''")
+    within = words.groupBy("word").agg(*(F.max(F.coalesce(F.col("lang") == lang, F.lit(False))).alias(lang) for lang in ("en", "fr", "de")))
+    return within.where("en AND fr AND NOT de").select("word")
 
 
 @query("""WITH r AS (SELECT p_partkey % 20 AS conv_id, p_partkey AS turn, p_brand, p_type FROM part),
