@@ -6,6 +6,7 @@ placeholder that a cut has split must still be restored. `Rehydrator` holds back
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BinaryType
 
 from ..functions.workers import on_workers
 
@@ -55,6 +57,29 @@ class Framer:
         return [e for e in events if e]
 
 
+class OfBytes:
+    """A kernel of text that is fed with bytes, each as the Latin-1 character of its number: a character that a cut has split waits for its rest, bytes that are no UTF-8 become U+FFFD."""
+
+    def __init__(self, kernel, held: str = ""):
+        self.kernel, self.bytes = kernel, held
+
+    def feed(self, piece: str) -> str:
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        text = decoder.decode((self.bytes + piece).encode("latin-1"))
+        self.bytes = decoder.getstate()[0].decode("latin-1")
+        return self.kernel.feed(text)
+
+    def finish(self) -> str:
+        rest, self.bytes = self.bytes.encode("latin-1").decode("utf-8", "replace"), ""
+        return (self.kernel.feed(rest) if rest else "") + self.kernel.finish()
+
+
+def in_pieces(chunks: DataFrame, chunk: str = "chunk") -> tuple[DataFrame, bool]:
+    """chunks with text pieces, and whether these stand for bytes: binary chunks, which may be cut within a character, are for OfBytes."""
+    binary = isinstance(chunks.schema[chunk].dataType, BinaryType)
+    return (chunks.withColumn(chunk, F.decode(chunk, "ISO-8859-1")) if binary else chunks), binary
+
+
 class BlockConverter:
     """Chat deltas to typed blocks: opens, fills and closes blocks as text and tool calls alternate."""
 
@@ -107,10 +132,11 @@ def reassembled(chunks: DataFrame) -> DataFrame:
 
 
 def restored_streams(chunks: DataFrame, mapping: dict[str, str], chunk: str = "chunk") -> DataFrame:
-    """Batch: stream_id and text with placeholders restored across chunk borders."""
+    """Batch: stream_id and text with placeholders restored across chunk borders; chunks are text or binary."""
     on_workers()
+    chunks, binary = in_pieces(chunks, chunk)
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        kernel = Rehydrator(mapping)
+        kernel = OfBytes(Rehydrator(mapping)) if binary else Rehydrator(mapping)
         text = "".join(map(kernel.feed, pdf.sort_values("seq")[chunk])) + kernel.finish()
         return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]], "text": [text]})
     return chunks.groupBy("stream_id").applyInPandas(one, f"stream_id {chunks.schema['stream_id'].dataType.simpleString()}, text string")
@@ -136,12 +162,14 @@ def in_order(batches, due: int, waiting: str, all_of_them: bool = False) -> tupl
 
 
 def restoring_stream(chunks: DataFrame, mapping: dict[str, str], idle: str = "6 hours") -> DataFrame:
-    """Streaming: the same kernel with its held text as state; a null chunk, or the timeout, ends a stream and flushes it. Chunks are taken in the order of seq, which counts from 0, whatever order they come in."""
+    """Streaming: the same kernel with its held text as state; a null chunk, or the timeout, ends a stream and flushes it. Chunks, of text or binary, are taken in the order of seq, which counts from 0, whatever order they come in."""
     on_workers()
+    chunks, binary = in_pieces(chunks)
     milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, due, waiting = state.get if state.exists else ("", 0, "{}")
-        kernel, out, ended = Rehydrator(mapping, held), [], state.hasTimedOut
+        held, due, waiting, cut = state.get if state.exists else ("", 0, "{}", "")
+        text_kernel = Rehydrator(mapping, held)
+        kernel, out, ended = OfBytes(text_kernel, cut) if binary else text_kernel, [], state.hasTimedOut
         ready, due, waiting = in_order(() if ended else batches, due, waiting, ended)
         for seq, chunk in ready:
             ended = ended or chunk is None
@@ -150,11 +178,11 @@ def restoring_stream(chunks: DataFrame, mapping: dict[str, str], idle: str = "6
             out.append((due, kernel.finish()))
             state.remove()
         else:
-            state.update((kernel.held, due, waiting))
+            state.update((text_kernel.held, due, waiting, kernel.bytes if binary else ""))
             state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": [s for s, _ in out], "text": [t for _, t in out]})
     key = chunks.schema["stream_id"].dataType.simpleString()
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {key}, seq long, text string", "held string, due long, waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {key}, seq long, text string", "held string, due long, waiting string, cut string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
