@@ -102,14 +102,16 @@ def mask_tags_stream(spark, sf_dir):
     rows = _notices(spark, sf_dir).withColumn("turn", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
     span = F.struct(F.lit(5).alias("start"), (F.length("mail") + 5).alias("end"), F.lit("EMAIL").alias("kind"), F.col("mail").alias("value"))
     at = F.timestamp_seconds(F.lit(1_714_521_600) + F.col("turn") * 60)
-    turns = rows.select(F.col("o_custkey").alias("conv_id"), "turn", at.alias("ts"), F.array(span).alias("spans"), F.pmod(F.hash("o_orderkey"), F.lit(4)).alias("part"))
+    turns = rows.select(F.col("o_custkey").alias("conv_id"), "turn", at.alias("ts"), F.array(span).alias("spans"), F.hash("o_orderkey").alias("dealt"))
+    # every file has turns of all customers, so four equal shares of the files are dealt turns
+    share = spark.sparkContext.defaultParallelism
     root = f"{shared_dir(spark)}/tags-stream-{uuid.uuid4().hex}"
-    turns.repartition(4, "part").write.partitionBy("part").parquet(f"{root}/in")
+    turns.repartition(4 * share, "dealt").drop("dealt").write.parquet(f"{root}/in")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, numbering.ROCKS)
     try:
-        stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").withWatermark("ts", "30 days")
+        stream = spark.readStream.schema(turns.drop("dealt").schema).option("maxFilesPerTrigger", share).parquet(f"{root}/in").withWatermark("ts", "30 days")
         out = numbering.numbered(stream)
         query_ = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
         query_.awaitTermination()

@@ -1,8 +1,10 @@
 """Placeholders over calls: the same turns in one batch and in shuffled micro-batches with a restart, and how long state lives."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,108 @@ def test_needs_rocks(spark):
 
 def test_letters():
     assert [numbering.letters(n) for n in (0, 25, 26, 27, 701, 702)] == ["A", "Z", "AA", "AB", "ZZ", "AAA"]
+
+
+class Kept(dict):
+    """A map or value state in memory, which counts its calls."""
+
+    calls = 0
+
+    def _count(self, done):
+        Kept.calls += 1
+        return done
+
+    def getValue(self, key):
+        return self._count(dict.get(self, key))
+
+    def updateValue(self, key, value):
+        self._count(self.__setitem__(key, value))
+
+    def removeKey(self, key):
+        self._count(dict.pop(self, key, None))
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def clear(self):
+        self.removeKey(())
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Kept())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    @property
+    def handle(self):
+        return self
+
+
+class Expiry:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def in_memory(batches, most=5_000):
+    """Rows of one bucket (page, conv, turn, ms, values), batch by batch, each by a new processor; then every timer, until none is left."""
+    handle, out, calls = Handle(), [], []
+
+    def step():
+        made = numbering.Numbering(6 * numbering.HOUR, numbering.HOUR, most)
+        made.init(handle)
+        return made
+
+    for batch in batches:
+        Kept.calls = 0
+        rows = [(p, c, t, ms, json.dumps([[n, "IP", v, v] for n, v in enumerate(values)])) for p, c, t, ms, values in batch]
+        for pdf in step().handleInputRows((0,), iter([pd.DataFrame(rows, columns=["page", "conv", "turn", "ms", "spans"])]), None):
+            out += pdf.itertuples(index=False, name=None)
+        calls.append(Kept.calls)
+    held = sum(map(len, handle.states.values()))
+    while handle.timers:
+        handle.timers.remove(at := min(handle.timers))
+        for pdf in step().handleExpiredTimer((0,), None, Expiry(at)):
+            out += pdf.itertuples(index=False, name=None)
+    assert held and not any(handle.states.values())  # all state is freed in the end
+    return out, calls
+
+
+def test_calls_to_the_state_do_not_grow_with_conversations():
+    rng = random.Random(1)
+    rows = [(c % 4, str(c), t, t * 60_000, [f"{c}.{t % 3}"]) for c in range(2_000) for t in range(6)]
+    rng.shuffle(rows)
+    out, calls = in_memory([rows[k::4] for k in range(4)])
+    assert {(c, t): (v, tag) for c, t, _, _, v, tag, _ in out} == {(c, t): (v[0], f"<IP_{'ABC'[t % 3]}>") for _, c, t, _, v in rows} and len(out) == len(rows)
+    assert max(calls) <= 2 * 4 + 2  # 2,000 and more a batch, when each conversation was a key
+
+
+@pytest.mark.parametrize("most", [5_000, 150])
+def test_large_conversations_lie_in_pages_of_their_own(most):
+    rng = random.Random(2)
+    rows = [(c % 2, f"c{c}", t, t * 1_000, [str(rng.randrange(700)) for _ in range(rng.randrange(4))]) for c in range(3) for t in range(500) if (c, t) != (2, 0)]
+    want = []
+    for of in range(3):
+        tags = {}
+        for _, c, t, _, values in (r for r in rows if r[1] == f"c{of}"):
+            for v in values:
+                if v not in tags and len(tags) < most:
+                    tags[v] = f"<IP_{numbering.letters(len(tags))}>"
+            full = any(v not in tags for v in values)
+            want += [(c, t, n, "IP", v, tags.get(v), full) for n, v in enumerate(values)]
+    dealt = rng.sample(rows, len(rows))
+    late = [r for r in dealt if r[2] < 5]
+    batches = [[r for r in dealt if r[2] >= 5][k::3] for k in range(3)] + [late, late]
+    assert sorted(in_memory(batches, most)[0]) == sorted(want)
