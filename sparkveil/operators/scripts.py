@@ -1,13 +1,13 @@
 """Stand-ins that come back in Devanagari or Bengali letters, restored in the texts of their conversations.
 
 1. Every different stand-in is written in both scripts by rule, with the spellings near it (translit); an organisation also by
-   its head alone, with the tokens that its tail may be. One row for each form: a form table.
+   its head alone, with the tokens that its tail may be.
 2. Of a conversation's forms those stay as they are that lead to several originals, and those that its request holds itself.
    Single words also have their consonant skeleton in the table, for spellings that no form has, under the same two conditions.
-3. The runs of words of all texts (without a Bengali case ending, too) are joined with the form table, so only
-   what stands somewhere in a conversation's texts is kept of its forms.
-4. That is sent once to each part of the conversation and meets its rows in one sorted stream. In a text the leftmost,
-   then the longest form wins; a tail behind it goes with it, a case ending stays.
+3. A conversation's names are sent once to each part of it and meet its rows in one sorted stream; they are written where they meet, each
+   stand-in once a worker. A conversation with more than MOST_NAMES of them gets forms instead, from a table that is joined
+   with the runs of words of its texts (without a Bengali case ending, too), so only what stands somewhere in them is kept.
+4. In a text the leftmost, then the longest form wins; a tail behind it goes with it, a case ending stays.
 
 Texts that are null, have no Indic letter, or belong to no conversation stay as they are and go around the join. Repeated
 rows are restored alike. A name without an original is no name. All columns are kept, whatever their names; one that is
@@ -16,6 +16,7 @@ named as the result is replaced.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Mapping
 
@@ -31,6 +32,8 @@ from .conversation import head_length
 
 #: Words of the longest phrase that is looked up; bytes of one conversation's texts in a part, and what a row counts besides.
 MOST_WORDS, PART, ROW_BYTES = 4, 4 << 20, 256
+#: Names of a conversation that are written where they meet its rows.
+MOST_NAMES = 5_000
 # Bengali case endings, longest first, and what ends a token.
 ENDINGS = ("\u09af\u09bc\u09c7\u09b0", "\u09df\u09c7\u09b0", "\u09a6\u09c7\u09b0", "\u09c7\u09b0", "\u0995\u09c7", "\u09b0", "\u09c7", "\u0993", "\u0987")
 _TOKEN = re.compile(r"( +)([^\s,;:!?()\[\]\"'।॥]*)")
@@ -38,6 +41,8 @@ _WORD = re.compile("[\\wऀ-ॣ०-৿‌‍]+")
 _INDIC = re.compile("[ऀ-ॣ०-৿]")
 _BENGALI = re.compile("[ঀ-৿]")
 FORM, SKELETON = "form", "skeleton"
+#: Names that are still to be written, and what stays as it is.
+NAME, STAYS = "name", "stays:"
 
 
 def _stems(phrase: str) -> Iterator[tuple[str, int]]:
@@ -66,29 +71,71 @@ def keys_of(text: str) -> set[tuple[str, str]]:
 class Forms:
     """What may stand in the texts of one conversation, ready to restore them."""
 
-    def __init__(self):
+    def __init__(self, seeds: Mapping[str, tuple[str, ...]] | None = None):
         self.forms: dict[str, tuple[str | None, frozenset[str]]] = {}  # without an original: a word to leave alone
         self.skeletons: dict[str, str] = {}
-
-    def add(self, how: str, key: str, raw: str | None, tails: list[str] | None) -> None:
-        if how == FORM:
+        self.longest = 1
+        self.seen: dict[str, tuple[str, int, frozenset[str]] | bool] = {}
+        self.seeds, self.names, self.stay = seeds or {}, [], set()
+
+    def add(self, how: str, key: str, raw: str | None, tails: list[str] | None, kind: str | None = None, head: int | None = None) -> None:
+        if how == NAME:
+            self.names.append((key, kind, head, raw))
+        elif how.startswith(STAYS):
+            self.stay.add((how[len(STAYS) :], key))
+        elif how == FORM:
             self.forms[key] = (raw, frozenset(tails or ()))
+            if " " in key or not key.isalnum():
+                self.longest = max(self.longest, min(MOST_WORDS, len(_WORD.findall(key))))
         elif raw is not None:
             self.skeletons[key] = raw
 
+    def write(self) -> None:
+        """Write the names; what leads to several originals, or is to stay, has none."""
+        table: dict[tuple[str, str], tuple[str | None, list[str] | None]] = {}
+        for surrogate, kind, head, raw in self.names:
+            for how, key, tails in _writings(surrogate, kind, head, tuple((w, self.seeds[w]) for w in dict.fromkeys(surrogate.lower().split()) if w in self.seeds)):
+                if (known := table.get((how, key))) is not None:
+                    raw_, tails = known[0] if known[0] == raw else None, max(filter(None, (known[1], tails)), default=None)
+                else:
+                    raw_ = raw
+                table[how, key] = raw_, tails
+        for (how, key), (raw, tails) in table.items():
+            self.add(how, key, None if (how, key) in self.stay else raw, tails)
+        self.names, self.stay = [], set()
+
+    def _found(self, phrase: str) -> tuple[str, int, frozenset[str]] | bool:
+        """The original of a form, the length of its case ending, its tails; else whether a form without an original is meant."""
+        known = False
+        for stem, ending in _stems(phrase.lower()):
+            if (hit := self.forms.get(stem)) is not None:
+                if hit[0] is not None:
+                    return hit[0], ending, hit[1]
+                known = True
+        return known
+
+    def _word(self, word: str) -> tuple[str, int, frozenset[str]] | bool:
+        """As _found, for a single word, or by its skeleton."""
+        found = self._found(word)
+        if found is False and word not in translit.STOP and (raw := self.skeletons.get(translit.skeleton(word) or "")) is not None:
+            return raw, 0, frozenset()
+        return found
+
     def _at(self, text: str, words: list[re.Match], k: int) -> tuple[int, str] | None:
         """Where the longest form from word k on ends, and what it stands for."""
-        start, word = words[k].start(), words[k][0]
-        for last in reversed(words[k : k + MOST_WORDS]):
-            for stem, ending in _stems(text[start : last.end()].lower()):
-                raw, tails = self.forms.get(stem, (None, frozenset()))
-                if raw is not None:
-                    return (last.end() - ending if ending else _with_tail(text, last.end(), tails)), raw
-        if any(stem in self.forms for stem, _ in _stems(word.lower())):
+        start = words[k].start()
+        for last in reversed(words[k + 1 : k + self.longest]):
+            found = self._found(text[start : last.end()])
+            if not isinstance(found, bool):
+                break
+        else:
+            last, word = words[k], words[k][0]
+            if (found := self.seen.get(word)) is None:
+                found = self.seen[word] = self._word(word)
+        if isinstance(found, bool):
             return None
-        if word not in translit.STOP and (raw := self.skeletons.get(translit.skeleton(word) or "")) is not None:
-            return words[k].end(), raw
-        return None
+        raw, ending, tails = found
+        return (last.end() - ending if ending else _with_tail(text, last.end(), tails)), raw
 
     def restore(self, text: str) -> str:
         words, out, at = list(_WORD.finditer(text)), [], 0
@@ -112,17 +159,25 @@ def _with_tail(text: str, end: int, tails: frozenset[str]) -> int:
     return end
 
 
+@functools.lru_cache(maxsize=8192)
+def _writings(surrogate: str, kind: str, head: int, seeds: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[tuple[str, str, list[str] | None], ...]:
+    """how, key and tails of each form and skeleton of a stand-in."""
+    words, known = surrogate.split(), dict(seeds)
+    tails = translit.tail_tokens(words[head:], known) if kind == "ORG" and head < len(words) else None
+    rows = [(FORM, form, tails) for form in translit.phrase_forms(words, head if kind == "ORG" else None, known)]
+    if len(words) == 1 or kind == "ORG" and head == 1:
+        found = dict.fromkeys(filter(None, (translit.skeleton(f) for script in translit.word_forms(words[0], known.get(words[0].lower(), ())) for f in script)))
+        rows += [(SKELETON, key, None) for key in found]
+    return tuple(rows)
+
+
 def _written(seeds: Mapping[str, tuple[str, ...]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """surrogate, kind, head -> its forms and skeletons."""
     for batch in batches:
         rows = []
         for surrogate, kind, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = surrogate.split()
-            tails = translit.tail_tokens(words[head:], seeds) if kind == "ORG" and head < len(words) else None
-            rows += [(surrogate, kind, FORM, form, tails) for form in translit.phrase_forms(words, head if kind == "ORG" else None, seeds)]
-            if len(words) == 1 or kind == "ORG" and head == 1:
-                found = dict.fromkeys(filter(None, (translit.skeleton(f) for script in translit.word_forms(words[0], seeds.get(words[0].lower(), ())) for f in script)))
-                rows += [(surrogate, kind, SKELETON, key, None) for key in found]
+            known = tuple((w, seeds[w]) for w in dict.fromkeys(surrogate.lower().split()) if w in seeds)
+            rows += [(surrogate, kind, *row) for row in _writings(surrogate, kind, head, known)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.list_(pa.string()) if k == 4 else pa.string()) for k in range(5)], ["surrogate", "kind", "how", "key", "tails"])
 
 
@@ -150,14 +205,18 @@ def held_keys(texts: DataFrame, conv: str, text: str) -> DataFrame:
     return rows.mapInArrow(_keys, f"_conv {rows.schema['_conv'].dataType.simpleString()}, how string, key string").distinct()
 
 
-def form_table(names: DataFrame, requests: DataFrame | None = None, conv: str = "conv_id", text: str = "text", heads: list[str] | None = None, seeds: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """names(conv, surrogate, kind, raw) -> _conv, how, key, raw, tails. What leads to several originals or is in the request has a null raw: it is known, and stays."""
+def own_names(names: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """names(conv, surrogate, kind, raw) -> _conv, surrogate, kind, raw: those that are looked for."""
     own = names.where(F.col("raw").isNotNull() & F.col(conv).isNotNull()).select(F.col(conv).alias("_conv"), "surrogate", "kind", "raw").distinct()
     # a person whose words are all stand-ins of their own is found by those
     words = own.where(F.col("kind").isin("PERSON", "NAME") & F.col("surrogate").contains(" ")).select("_conv", "surrogate", F.explode(F.array_distinct(F.split(F.trim("surrogate"), r"\s+"))).alias("_word"))
     singles = own.select("_conv", F.col("surrogate").alias("_word")).distinct().withColumn("_own", F.lit(1))
     parted = words.join(singles, ["_conv", "_word"], "left").groupBy("_conv", "surrogate").agg(F.count(F.lit(1)).alias("_n"), F.count("_own").alias("_known")).where("_n = _known").select("_conv", "surrogate")
-    own = own.join(parted, ["_conv", "surrogate"], "left_anti")
+    return own.join(parted, ["_conv", "surrogate"], "left_anti")
+
+
+def form_table(own: DataFrame, requests: DataFrame | None = None, conv: str = "conv_id", text: str = "text", heads: list[str] | None = None, seeds: Mapping[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """own_names -> _conv, how, key, raw, tails. What leads to several originals or is in the request has a null raw: it is known, and stays."""
     table = own.join(written(own, heads, seeds), ["surrogate", "kind"])
     one = table.groupBy("_conv", "how", "key").agg(F.when(F.min("raw") == F.max("raw"), F.min("raw")).alias("raw"), F.max("tails").alias("tails"))
     if requests is None:
@@ -166,8 +225,8 @@ def form_table(names: DataFrame, requests: DataFrame | None = None, conv: str =
     return held.select("_conv", "how", "key", F.when(F.col("_held").isNull(), F.col("raw")).alias("raw"), "tails")
 
 
-def _restored(at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forms, of = Forms(), None
+def _restored(at: int, seeds: Mapping[str, tuple[str, ...]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forms, of = Forms(seeds), None
     for batch in batches:
         keys, parts, hows = (batch.column(c).to_pylist() for c in ("_key", "_part", "how"))
         rows = []
@@ -175,10 +234,12 @@ def _restored(at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         out = []
         for k, key in enumerate(zip(keys, parts, strict=True)):
             if key != of:
-                forms, of = Forms(), key
+                forms, of = Forms(seeds), key
             if hows[k] is not None:
-                forms.add(hows[k], batch.column("key")[k].as_py(), batch.column("raw")[k].as_py(), batch.column("tails")[k].as_py())
+                forms.add(hows[k], *(batch.column(c)[k].as_py() for c in ("key", "raw", "tails", "kind", "head")))
             else:
+                if forms.names:
+                    forms.write()
                 rows.append(k)
                 out.append(forms.restore(texts[k].as_py()))
         yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(rows, pa.int64())), pa.array(out, pa.string())], ["_row", "_out"])
@@ -191,16 +252,24 @@ def restored(texts: DataFrame, names: DataFrame, requests: DataFrame | None = No
     row = F.struct(*(F.col(f"`{c}`") for c in kept))
     scanned = F.coalesce(F.col(conv).isNotNull() & content.has_indic(F.col(text)), F.lit(False))
     rows, others = texts.where(scanned), texts.where(~scanned)
-    found = form_table(names, requests, conv, text, heads, seeds).join(held_keys(rows, conv, text), ["_conv", "how", "key"], "left_semi")
+    own = own_names(names, conv)
+    many = own.groupBy("_conv").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST_NAMES).select("_conv")
+    of_many = rows.join(many.withColumnRenamed("_conv", "_many"), F.col(conv) == F.col("_many"), "left_semi")
+    found = form_table(own.join(many, "_conv", "left_semi"), requests, conv, text, heads, seeds).join(held_keys(of_many, conv, text), ["_conv", "how", "key"], "left_semi")
+    few = own.join(many, "_conv", "left_anti").where(F.trim("surrogate") != "")
+    found = found.unionByName(few.select("_conv", F.lit(NAME).alias("how"), F.col("surrogate").alias("key"), "raw", "kind", head_length(F.col("surrogate"), heads or []).alias("head")), allowMissingColumns=True)
+    if requests is not None:
+        held = held_keys(requests, conv, text).join(many, "_conv", "left_anti")
+        found = found.unionByName(held.select("_conv", F.concat(F.lit(STAYS), "how").alias("how"), "key"), allowMissingColumns=True)
     sizes = rows.groupBy(F.col(conv).alias("_of")).agg(F.sum(F.octet_length(text).cast("long") + ROW_BYTES).alias("_bytes")).where(F.col("_bytes") > PART)
     sizes = sizes.select("_of", F.ceil(F.col("_bytes") / PART).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
-    entries = found.join(sizes, F.col("_conv") == F.col("_of"), "left").select(F.col("_conv").alias("_key"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), "how", "key", "raw", "tails")
+    entries = found.join(sizes, F.col("_conv") == F.col("_of"), "left").select(F.col("_conv").alias("_key"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), "how", "key", "raw", "tails", "kind", "head")
     spread = F.xxhash64(F.col(text), F.monotonically_increasing_id())
     packed = rows.select(row.alias("_row"), F.col(conv).alias("_key"), spread.alias("_spread")).join(sizes, F.col("_key") == F.col("_of"), "left").select("_key", F.pmod("_spread", parts).cast("int").alias("_part"), "_row")
     stream = entries.unionByName(packed, allowMissingColumns=True).repartition("_key", "_part").sortWithinPartitions("_key", "_part", F.col("how").isNull())
-    at = kept.index(text)
+    at, known = kept.index(text), dict(seeds or {})
     schema = T.StructType([T.StructField("_row", packed.schema["_row"].dataType), T.StructField("_out", T.StringType())])
-    done = stream.mapInArrow(lambda batches: _restored(at, batches), schema)
+    done = stream.mapInArrow(lambda batches: _restored(at, known, batches), schema)
     rest = others.select(row.alias("_row"), F.col(text).alias("_out"))
     return done.unionByName(rest).select(*(F.col("_row").getField(c).alias(c) for c in kept), F.col("_out").alias(out))

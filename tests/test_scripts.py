@@ -113,3 +113,17 @@ def test_many_rows_equal_a_plain_search(spark, part, monkeypatch):
     stems = {f + e for f in every for e in scripts.ENDINGS} & set(every)  # where a form is another's with an ending, the plain search has no answer
     assert [g for g, (_, t) in zip(got, texts, strict=True) if not stems & set(t.split(", "))] == [w for w, (_, t) in zip(want, texts, strict=True) if not stems & set(t.split(", "))]
     assert sum(g != t for g, (_, t) in zip(got, texts, strict=True)) > 150
+
+
+def test_names_written_where_they_meet_equal_the_form_table(spark, monkeypatch):
+    rng = random.Random(11)
+    pool = ["Delphine", "Quentin", "Dalia Farrow", "Dalia", "Farrow", "Arlo Ridley", "Ridley", "Amber Foods", "Amber Logistics", "Amber", " "]
+    names = [(c, s, "ORG" if s.startswith("Amber") else "PERSON", f"raw {rng.randrange(9)}") for c in range(4) for s in rng.sample(pool, 7)]
+    forms = [f for s in pool if s.strip() for f in translit.phrase_forms(s.split(), 1 if s.startswith("Amber") else None)]
+    words = lambda: rng.choice(("को ", "वह ", "ab 12: ", "")) + rng.choice(forms) + rng.choice(("", "কে", "ের", " फूड्स", " को"))
+    texts = [(c, " ".join(words() for _ in range(3))) for c in range(4) for _ in range(25)]
+    requests = [(c, words()) for c in range(3)]
+    written = restored(spark, names, texts, requests)
+    monkeypatch.setattr(scripts, "MOST_NAMES", 0)
+    assert restored(spark, names, texts, requests) == written
+    assert sum(t != w for (_, t), w in zip(texts, written, strict=True)) > 40
