@@ -118,13 +118,14 @@ def known_values(spelt: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 def _patterns(found: DataFrame) -> DataFrame:
-    """found with _known, _exact and _any in the place of _hits: the values (loose, value, tag) that a row's text holds, and the patterns that find them, longest value first, loose ones before the others."""
+    """found with _known, _exact, _any and _least in the place of _hits: the values (loose, value, tag) that a row's text holds, and the patterns that find them, longest value first, loose ones before the others, and the length of the shortest."""
     pattern = lambda wanted: F.nullif(F.array_join(F.transform(F.filter("_all", lambda x: x["loose"] == wanted), lambda x: _bounded(x["value"])), "|"), F.lit(""))
     entry = lambda x: F.struct(F.concat(F.when(x["loose"], "i:").otherwise("c:"), x["value"]).alias("key"), x["tag"].alias("value"))
     listed = F.array_sort(F.transform("_hits", lambda x: F.struct((-F.length(x["value"])).alias("by"), x["value"].alias("value"), x["loose"].alias("loose"), x["tag"].alias("tag"))))
     rows = found.withColumn("_all", listed).drop("_hits").withColumn("_exact", pattern(False)).withColumn("_loose", pattern(True)).withColumn("_known", F.map_from_entries(F.transform("_all", entry)))
     either = F.concat_ws("|", F.concat(F.lit("(?i:"), F.col("_loose"), F.lit(")")), F.col("_exact"))
-    return rows.withColumn("_any", F.when(F.col("_loose").isNotNull(), either)).drop("_all", "_loose")
+    least = F.array_min(F.transform("_all", lambda x: F.length(x["value"])))
+    return rows.withColumn("_any", F.when(F.col("_loose").isNotNull(), either)).withColumn("_least", least).drop("_all", "_loose")
 
 
 def _known_masked(text: Column, known: Column, exact: Column, any_: Column) -> Column:
@@ -143,7 +144,7 @@ def _known_masked(text: Column, known: Column, exact: Column, any_: Column) -> C
 
 
 def _with_entries(rows: DataFrame, tags: DataFrame, conv: str, text: str, span_column: str) -> DataFrame:
-    """_row (all columns of rows), _tags (the tag of each span, null without one) and _hits (the known values of the conversation that the text holds; null if it has none).
+    """_row (all columns of rows), _tags (the tag of each span, null without one) and _hits (the known values of the conversation that the text holds outside its spans; null if it has none).
 
     Each conversation's entries go once to every part of it, of PART bytes of text or so, and meet its rows in one sorted stream. So a
     row carries only what its own text holds, and a conversation of any size is as many pieces of work as it has parts. With very many
@@ -170,7 +171,7 @@ def _with_entries(rows: DataFrame, tags: DataFrame, conv: str, text: str, span_c
     )
     stream = entries.union(packed).repartition("_key", "_part").sortWithinPartitions("_key", "_part", F.col("_sort").isNull())
     schema = T.StructType([packed.schema["_row"], T.StructField("_tags", T.ArrayType(T.StringType())), T.StructField("_hits", T.ArrayType(T.StructType.fromDDL("loose boolean, value string, tag string")))])
-    return stream.mapInArrow(occurrences.entries_of_rows(rows.columns.index(text), spans.MARK, spans.OTHER), schema)
+    return stream.mapInArrow(occurrences.entries_of_rows(rows.columns.index(text), rows.columns.index(span_column), spans.MARK, spans.OTHER), schema)
 
 
 def mask_rows(rows: DataFrame, tags: DataFrame, conv: str = "conv_id", text: str = "text", span_column: str = "spans") -> DataFrame:
@@ -183,11 +184,12 @@ def mask_rows(rows: DataFrame, tags: DataFrame, conv: str = "conv_id", text: str
     names = [c for c in rows.columns if c not in ("masked", "blocked_reason")]
     found = _patterns(_with_entries(rows.select(*names), tags, conv, text, span_column))
     tagged = lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.get("_tags", i).alias("tag"))
-    joined = found.select("_row", "_known", "_exact", "_any", F.col("_row").getField(text).alias("_text"), F.transform(F.col("_row").getField(span_column), tagged).alias("_spans"))
+    joined = found.select("_row", "_known", "_exact", "_any", "_least", F.col("_row").getField(text).alias("_text"), F.transform(F.col("_row").getField(span_column), tagged).alias("_spans"))
     by = lambda s: F.when(s["tag"].startswith("<"), s["tag"]).otherwise(scalars.apply_case(s["tag"], s["value"]))
     missing = F.coalesce(F.exists("_spans", lambda s: s["tag"].isNull()), F.lit(False))
     marked = F.split(spans.replaced(spans.unmarked(F.col("_text")), F.col("_spans"), lambda s: F.concat(F.lit(spans.MARK), by(s), F.lit(spans.MARK))), spans.MARK, -1)
-    rest = lambda part: _known_masked(part, F.col("_known"), F.col("_exact"), F.col("_any"))
+    # a pattern is compiled for each part, so only for parts that are long enough for a value
+    rest = lambda part: F.when(F.length(part) >= F.col("_least"), _known_masked(part, F.col("_known"), F.col("_exact"), F.col("_any"))).otherwise(part)
     masked = F.array_join(F.transform(marked, lambda part, i: F.when(i % 2 == 1, part).otherwise(rest(part))), "")
     masked = F.when(F.col("_text").isNull() | F.col("_known").isNull(), F.col("_text")).otherwise(masked)
     done = joined.select("_row", F.when(missing, "no placeholder").alias("blocked_reason"), masked.alias("masked"))

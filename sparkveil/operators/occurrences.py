@@ -129,16 +129,26 @@ class Entries:
 HITS = pa.list_(pa.struct([("loose", pa.bool_()), ("value", pa.string()), ("tag", pa.string())]))
 
 
-def entries_of_rows(at: int, mark: str, other: str):
+def between(text: str, spans: Iterable[tuple[int, int]], mark: str) -> str:
+    """text with a mark in the place of each span."""
+    out, end = [], 0
+    for start, after in spans:
+        out.append(text[end:start])
+        end = after
+    return mark.join([*out, text[end:]])
+
+
+def entries_of_rows(at: int, spans: int, mark: str, other: str):
     """For mapInArrow: a stream of _key, _part, _keys, _sort, _value, _tag and _row, in which the entries (_row null) of each key and part come
-    before its rows, becomes its rows with _tags, those of _keys, and _hits, the values that field number `at` of the row holds (null if
+    before its rows, becomes its rows with _tags, those of _keys, and _hits, the values that field number `at` of the row holds outside the spans in field number `spans` (null if
     nothing is known to the conversation). One conversation's entries are held at a time. mark is read as other.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, known = None, Entries()
         for batch in batches:
             is_row = batch.column("_row").is_valid()
-            texts = batch.column("_row").field(at)
+            texts, places = batch.column("_row").field(at), batch.column("_row").field(spans)
+            starts, ends, offsets = places.values.field("start").to_pylist(), places.values.field("end").to_pylist(), places.offsets.to_pylist()
             tags, hits = [], []
             columns = (batch.column(c).to_pylist() for c in ("_key", "_part", "_keys", "_sort", "_value", "_tag"))
             for i, (key, part, keys, sort, value, tag) in enumerate(zip(*columns, strict=True)):
@@ -149,7 +159,7 @@ def entries_of_rows(at: int, mark: str, other: str):
                     continue
                 tags.append([known.tags.get(k) for k in keys or ()])
                 text = texts[i].as_py() if known.values else None
-                found = known.within(text.replace(mark, other)) if text is not None else []
+                found = known.within(between(text.replace(mark, other), zip(starts[offsets[i] : offsets[i + 1]], ends[offsets[i] : offsets[i + 1]], strict=True), mark)) if text is not None else []
                 hits.append([dict(zip(("loose", "value", "tag"), h, strict=True)) for h in found] if known.values else None)
             if tags:
                 rows = batch.filter(is_row).column("_row")

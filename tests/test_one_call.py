@@ -3,10 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkveil.functions import spans
-from sparkveil.operators import conversation, detect, mask
+from sparkveil.operators import conversation, detect, mask, occurrences
 
 SPANS = "conv_id long, turn long, start int, end int, kind string, value string"
 
@@ -94,3 +95,16 @@ def test_detection_keeps_the_columns_of_its_caller(spark):
     df = spark.createDataFrame([("a@b.org", "mine", 1, 2, 3, 4)], "text string, _body string, _digit int, _all int, _row int, _addresses int")
     got = detect.with_spans(df, out="_all").first()
     assert (got["_body"], got["_digit"], got["_row"], got["_addresses"], len(got["_all"])) == ("mine", 1, 3, 4, 1)
+
+
+def test_known_values_are_looked_for_outside_spans_only():
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+    row = pa.struct([("text", pa.string()), ("spans", span)])
+    of = lambda *places: [{"start": a, "end": b, "kind": "X", "value": ""} for a, b in places]
+    rows = [None, {"text": "é Ann, Bob", "spans": of((2, 5), (7, 10))}, {"text": "Ann, ANN", "spans": of((0, 3))}, {"text": "Bo\x01b Ann", "spans": None}, {"text": None, "spans": of()}, {"text": "AnAnnn", "spans": of((2, 5))}]
+    entries = [{"_key": 1, "_part": 0, "_keys": None, "_sort": "loose", "_value": "ann", "_tag": "<X_A>", "_row": None}]
+    stream = entries + [{"_key": 1, "_part": 0, "_keys": [], "_sort": None, "_value": None, "_tag": None, "_row": r} for r in rows[1:]]
+    schema = pa.schema([("_key", pa.int64()), ("_part", pa.int32()), ("_keys", pa.list_(pa.string())), ("_sort", pa.string()), ("_value", pa.string()), ("_tag", pa.string()), ("_row", row)])
+    whole = pa.RecordBatch.from_pylist(stream, schema=schema)
+    hits = [h for batch in (whole, whole.slice(0, 2), whole.slice(2)) for out in occurrences.entries_of_rows(0, 1, "\x01", "\x02")(iter([whole.slice(0, 1), batch])) for h in out.column("_hits").to_pylist()]
+    assert [[x["value"] for x in h] for h in hits] == [[], ["ann"], ["ann"], [], []] * 2
